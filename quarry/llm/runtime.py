@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,7 +39,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def by_bytes(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values in a string or binary column take about limit bytes (one row at least)."""
     start, taken = 0, 0
-    for i, v in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, v in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         if taken and taken + (v or 0) > limit:
             yield batch.slice(start, i - start)
             start, taken = i, 0
