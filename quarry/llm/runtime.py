@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,16 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quarry-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, a single machine) a folder of this machine is set.
+    Only where the session names none (tests, a single machine) it is a folder of this machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"quarry-{uuid.uuid4().hex}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -46,7 +47,3 @@ def by_bytes(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Reco
         taken += v or 0
     if start < batch.num_rows:
         yield batch.slice(start)
-
-
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
