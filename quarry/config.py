@@ -9,10 +9,40 @@ from typing import Any
 # Embedding profiles as model, dimension, query and passage prefix.
 PROFILES = {
     "compact": ("BAAI/bge-small-en-v1.5", 384, "", ""),
-    "quality": ("intfloat/multilingual-e5-large", 1024, "query: ", "passage: "),
+    "quality": ("BAAI/bge-large-en-v1.5", 1024, "", ""),
     "multilingual": ("intfloat/multilingual-e5-large", 1024, "query: ", "passage: "),
 }
 
+# Categories by pattern of the path.
+CATEGORIES = {
+    "security/redteam": "redteam",
+    "security/blueteam": "blueteam",
+    "security/ctf": "ctf",
+    "security": "security",
+    "aar": "aar",
+    "logscale": "logscale",
+    "development": "development",
+    "general": "general",
+}
+
+#: Where the values lie in a YAML file.
+PLACES = {
+    "chunk_size": ("documents", "chunking", "chunk_size"),
+    "chunk_overlap": ("documents", "chunking", "chunk_overlap"),
+    "batch_size": ("documents", "batch_size"),
+    "exclude": ("documents", "exclude_patterns"),
+    "max_results": ("search", "max_results"),
+    "default_results": ("search", "default_results"),
+    "min_hits": ("search", "lexical_fast_path", "min_hits"),
+    "patterns": ("search", "lexical_fast_path", "patterns"),
+    "profile": ("models", "embedding", "profile"),
+    "embedding_model": ("models", "embedding", "model"),
+    "embedding_dim": ("models", "embedding", "dimensions"),
+    "query_prefix": ("models", "embedding", "query_prefix"),
+    "passage_prefix": ("models", "embedding", "passage_prefix"),
+    "rerank_multiplier": ("models", "reranker", "top_k_multiplier"),
+}
+
 
 def merged_synonyms(expansions: dict[str, Iterable[str]], groups: Iterable[Iterable[str]] = ()) -> dict[str, list[str]]:
     """U4: every member of a group expands to the others; lists are joined in first-seen order, in lower case."""
@@ -31,6 +61,20 @@ def merged_synonyms(expansions: dict[str, Iterable[str]], groups: Iterable[Itera
     return out
 
 
+def flattened(values: dict[str, Any]) -> dict[str, Any]:
+    """The values of a nested file under the names of Config's fields; top-level keys stay as they are."""
+    out = {k: v for k, v in values.items() if k not in ("documents", "search", "models")}
+    for name, place in PLACES.items():
+        at: Any = values
+        for key in place:
+            at = at.get(key) if isinstance(at, dict) else None
+        if at is not None:
+            out[name] = at
+    if "embedding_model" in out and "profile" not in out:
+        out["profile"] = "custom"
+    return out
+
+
 @dataclass
 class Config:
     chunk_size: int = 1000
@@ -49,7 +93,7 @@ class Config:
     query_prefix: str = ""
     passage_prefix: str = ""
     exclude: list[str] = field(default_factory=list)
-    category_mappings: dict[str, str] = field(default_factory=dict)
+    category_mappings: dict[str, str] = field(default_factory=lambda: dict(CATEGORIES))
     keyword_routes: dict[str, list[str]] = field(default_factory=dict)
     query_expansions: dict[str, list[str]] = field(default_factory=dict)
     query_expansion_groups: list[list[str]] = field(default_factory=list)
@@ -92,7 +136,7 @@ class Config:
 
         with open(path) as f:
             values = yaml.safe_load(f)
-        return cls.of(values if isinstance(values, dict) else None)
+        return cls.of(flattened(values) if isinstance(values, dict) else None)
 
     @property
     def synonyms(self) -> dict[str, list[str]]:
@@ -103,11 +147,11 @@ class Config:
         return min(self.max_results, max(1, self.default_results if k is None else k))
 
 
-# Presets. Only what differs from the defaults.
+# Presets. Only what differs from the defaults; routes and synonyms come with the user's file.
 PRESETS: dict[str, dict[str, Any]] = {
     "general": {"max_results": 20},
-    "cybersecurity": {"max_results": 20, "category_mappings": {"redteam": "redteam", "blueteam": "blueteam", "ctf": "ctf"}, "keyword_routes": {"redteam": ["exploit", "payload"], "blueteam": ["detection", "siem"]}},
-    "developer": {"max_results": 20, "category_mappings": {"src/": "code", "docs/": "documentation"}},
-    "research": {"max_results": 20, "category_mappings": {"papers/": "paper", "notes/": "note"}},
+    "cybersecurity": {"max_results": 20},
+    "developer": {"max_results": 20, "chunk_size": 1200, "chunk_overlap": 250},
+    "research": {"max_results": 20, "chunk_size": 1500, "chunk_overlap": 300},
     "multilingual": {"max_results": 20, "profile": "multilingual"},
 }

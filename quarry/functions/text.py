@@ -21,6 +21,18 @@ TOOLS = [
     "sqlmap", "nuclei", "ffuf", "bloodhound", "mimikatz", "responder", "crackmapexec", "impacket",
 ]
 
+# Words that ask rather than name a subject, beginnings of such words, and lead-ins of questions.
+ASKING = ["что", "чем", "чём", "чего", "чему"]
+ASKING_PREFIXES = ["как", "наш", "материал", "сказ", "говор", "рассказ", "расскаж", "информац", "данн", "известн", "описан", "упомян", "упомин"]
+LEAD_INS = [
+    "что в наших материалах сказано об ",
+    "что в наших материалах сказано о ",
+    "что в материалах сказано об ",
+    "что в материалах сказано о ",
+    "что сказано об ",
+    "что сказано о ",
+]
+
 # Control strings that are defused in text from outside, in this order, as (first character)(rest).
 _ROLE = "(?:system|instructions?|assistant|user|developer)[ \\t]*:"
 SENTINELS = [
@@ -68,14 +80,14 @@ def phrases(query: Column | str) -> Column:
     return F.filter(F.transform(F.filter(F.split(_c(query), r"\s+"), lambda t: t != ""), lexical_tokens), lambda p: F.size(p) > 0)
 
 
-def stems(x: Column | str, stop: Sequence[str] = (), stop_prefixes: Sequence[str] = ()) -> Column:
+def stems(x: Column | str, stop: Sequence[str] = tuple(ASKING), stop_prefixes: Sequence[str] = tuple(ASKING_PREFIXES)) -> Column:
     """The first six letters of words of three letters or more, distinct, in order."""
     w = F.regexp_extract_all(F.lower(_c(x)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     keep = lambda t: (F.length(t) >= 3) & (~t.isin(*stop) if stop else F.lit(True)) & (~t.rlike("^(?:" + "|".join(stop_prefixes) + ")") if stop_prefixes else F.lit(True))
     return F.array_distinct(F.transform(F.filter(w, keep), lambda t: F.substring(t, 1, 6)))
 
 
-def subject(query: Column | str, prefixes: Sequence[str]) -> Column:
+def subject(query: Column | str, prefixes: Sequence[str] = tuple(LEAD_INS)) -> Column:
     """A query without its lead-in; the query itself where nothing is left."""
     q = F.ltrim(_c(query))
     out = _c(query)

@@ -25,7 +25,7 @@ def without_frontmatter(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("---")) & (end > 2) & (end < 2000), F.substring(text, end + 5, F.lit(1 << 30))).otherwise(text)
 
 
-def units(results: DataFrame, stop: Sequence[str] = (), stop_prefixes: Sequence[str] = ()) -> DataFrame:
+def units(results: DataFrame, stop: Sequence[str] = tuple(tx.ASKING), stop_prefixes: Sequence[str] = tuple(tx.ASKING_PREFIXES)) -> DataFrame:
     """query_id, uid, rank, position, distinct, weighted, unit_text of the units that pass gate and budget.
     results: query_id, query_text, rank, content."""
     text = F.regexp_replace(without_frontmatter(F.col("content")), r"(?ms)^[ \t]*(```|~~~).*?^[ \t]*\1[^\n]*$", "")

@@ -98,3 +98,16 @@ def test_hostile_paths(path):
 
 def test_contained():
     assert contained("a/./b/../c.md", "/corpus/") == "/corpus/a/c.md"
+
+
+def test_russian_lead_ins(spark):
+    q = "Что в наших материалах сказано об азотемии?"
+    assert one(spark, tx.subject("q"), q=q) == "азотемии"
+    assert one(spark, tx.stems("q"), q=q) == ["азотем"]
+    assert one(spark, tx.subject("q"), q="Что сказано о ?") == "Что сказано о ?"
+
+
+def test_config_file(tmp_path):
+    (tmp_path / "c.yaml").write_text("documents:\n  chunking: {chunk_size: 1200, chunk_overlap: 250}\nmodels:\n  embedding: {model: m, dimensions: 7}\nsearch: {max_results: 20}\ncategory_mappings: {a: b}\n")
+    c = Config.read(str(tmp_path / "c.yaml"))
+    assert (c.chunk_size, c.chunk_overlap, c.embedding_model, c.embedding_dim, c.max_results, c.category_mappings) == (1200, 250, "m", 7, 20, {"a": "b"})
