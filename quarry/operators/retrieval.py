@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from . import index as ix
 RRF, MISSING = 60, 1000
 #: Query rows (or query terms) that may be broadcast; beyond, joins shuffle.
 BROADCAST = 200_000
+#: Query vectors that are held as one matrix by each task.
+PROBES = 20_000
 
 
 def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
@@ -40,11 +45,48 @@ def bm25(queries: DataFrame, index: dict[str, DataFrame], k: int = 20, key: str
     return ranked(scores, [F.desc(F.round("score", 9)), F.asc(key)], k).select("query_id", "rank", key, "score")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", condition: Column | None = None) -> DataFrame:
-    """R2: query_id, rank, key, distance (squared L2), exact. A block of queries meets every vector; condition filters before the cut."""
-    q = queries.select("query_id", F.col("embedding").alias("probe"), *[c for c in queries.columns if c not in ("query_id", "embedding", "query_text")])
-    pairs = vectors.where(F.col("embedding").isNotNull()).join(small(q), F.lit(True) if condition is None else condition)
-    d = pairs.withColumn("distance", tx.squared_distance("probe", "embedding")).where("distance is not null")
+def _best_of_batches(probes: list, k: int, key: str):
+    """Of each batch of (key, embedding) the rows that may be among a query's k nearest: its k nearest in the batch, with ties."""
+    by_size: dict[int, tuple[list, list]] = {}
+    for r in probes:
+        ids, rows = by_size.setdefault(len(r["embedding"]), ([], []))
+        ids.append(r["query_id"])
+        rows.append(r["embedding"])
+    matrices = {n: (pa.array(ids), np.array(rows, dtype=np.float64)) for n, (ids, rows) in by_size.items()}
+
+    def run(batches):
+        for batch in batches:
+            for n, (ids, q) in matrices.items():
+                fit = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), n))
+                flat = fit.column(1).flatten()
+                if not fit.num_rows or flat.null_count:
+                    whole = [i for i, e in enumerate(fit.column(1).to_pylist()) if None not in e]
+                    fit = fit.take(pa.array(whole, pa.int64()))
+                    flat = fit.column(1).flatten()
+                if not fit.num_rows:
+                    continue
+                x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(fit.num_rows, n)
+                step = max(1, (1 << 22) // max(1, x.size))
+                for i in range(0, len(q), step):
+                    d = np.square(x[None, :, :] - q[i : i + step, None, :]).sum(axis=2)
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
+                    of, at = np.nonzero(d <= last + 1e-8)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + i)), fit.column(0).take(pa.array(at)), pa.array(d[of, at])], names=["query_id", key, "distance"])
+
+    return run
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
+    """R2: query_id, rank, key, distance (squared L2), exact. Up to PROBES queries meet every block of vectors as one matrix, and a
+    block sends on k rows a query; beyond, the queries are joined in."""
+    v = vectors.where(F.col("embedding").isNotNull()).select(key, "embedding")
+    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    probes = q.limit(PROBES + 1).collect()
+    if len(probes) <= PROBES:
+        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
+        d = v.mapInArrow(_best_of_batches(probes, k, key), schema)
+    else:
+        d = v.join(q.withColumnRenamed("embedding", "probe"), F.lit(True)).withColumn("distance", tx.squared_distance("probe", "embedding")).where("distance is not null")
     return ranked(d, [F.round("distance", 9), F.asc(key)], k).select("query_id", "rank", key, "distance")
 
 

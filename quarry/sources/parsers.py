@@ -240,23 +240,32 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.inside, self.title, self.in_title, self.parts = 0, None, False, []
+        self.inside, self.title, self.in_title, self.parts, self.open = 0, None, False, [], False
 
     def handle_starttag(self, tag, attrs):
+        self.open = False
         self.inside += tag in self.DROPPED
         if tag == "title" and self.title is None:
             self.in_title, self.title = True, ""
 
     def handle_endtag(self, tag):
+        self.open = False
         self.inside = max(0, self.inside - (tag in self.DROPPED))
         if tag == "title":
             self.in_title = False
 
+    def handle_comment(self, data):
+        self.open = False
+
     def handle_data(self, data):
         if self.in_title:
             self.title += data
-        if not self.inside:
-            self.parts.append(data)
+        if not self.inside:  # the parser may give one text node in parts
+            if self.open:
+                self.parts[-1] += data
+            else:
+                self.parts.append(data)
+            self.open = True
 
 
 def page_text(html: str) -> tuple[str, str]:

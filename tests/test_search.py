@@ -36,6 +36,14 @@ def test_missing_rank_counts_as_1000(spark):
     assert rt.fused(s, b, 1.0).count() == 2 and rt.fused(s, b, 0.0).count() == 1
 
 
+def test_nearest_is_exact_on_either_path(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(60)] + [(98, None), (99, [1.0]), (97, [None, 1.0])], "chunk_id long, embedding array<float>").repartition(4)
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, [9.0, 0.0]), (3, None)], "query_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in rt.nearest(q, v, 5).collect())
+    monkeypatch.setattr(rt, "PROBES", 0)
+    assert got == sorted(tuple(r) for r in rt.nearest(q, v, 5).collect()) and len(got) == 10
+
+
 def test_cohort_scores(spark):
     d = spark.createDataFrame([(1, 2.0), (1, 4.0), (1, 3.0), (2, 5.0), (2, 5.0)], "query_id long, v double")
     assert sorted((r[0], r[1]) for r in d.select("query_id", rt.cohort_score(d, "v")).collect()) == [(1, 0.0), (1, 0.5), (1, 1.0), (2, 1.0), (2, 1.0)]
