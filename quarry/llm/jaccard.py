@@ -4,14 +4,15 @@ Documents with one and the same shingle set form a node (exact copies collapse,
 that link share o = ceil(T * max(x, y)) shingles at least, so under any global order of shingles they share l of them
 within their first x - o + l and y - o + l. Two orders are used, and a candidate has to pass both:
 
-1. By hash. Each node's first x - ceil(T x) + l(x) shingles, l(x) = ceil(x / 10), are its sample; its linked nodes share
-   r(x) = l(ceil(T x)) of them or more. A node with fewer shingles in other samples leaves.
+1. By hash. Each node's first x - ceil(T x) + l(x) shingles are its sample, l(x) = max(128, ceil(x / 10)) or ceil(T x) where that is
+   less; its linked nodes share r(x) = l(ceil(T x)) of them or more. A node with fewer shingles in other samples leaves. Shingles of
+   its sample that no other sample holds are in no linked node, which bounds its overlap with any.
 2. By how many samples a shingle is in, rarest first, as counted over all documents. Within its sample a linked pair shares a
    shingle of the first (sample - r + 1) under this order. Shingles of passages that many documents share come last.
 
 Candidates are verified on whole sets. First come star rounds: in the list of each shingle one pivot is tried against the
-others, and what is connected then needs no further test. After STARS rounds all pairs of a list that are still in
-different components and of fitting sizes are verified, so no link between components is lost.
+others (first the one with fewest shingles of its own), and what is connected then needs no further test. After STARS rounds all pairs
+of a list that are still in different components and whose bounds allow a link are verified, so no link between components is lost.
 
 Shingles and sets are told apart by 64-bit hashes. Cases: null texts are empty; empty sets link with nothing; rows with a null
 doc_id are left out of the search and get a null component_id; rows that repeat a doc_id count as copies or as documents of their
@@ -29,7 +30,9 @@ from .components import components
 from .runtime import by_bytes, table, written
 from .words import mixed, shingle_sets
 
-STARS = 4
+STARS = 3
+#: Shingles that linked nodes share of their samples, if they have so many.
+SHARED = 128
 #: Rows that may be broadcast, of three longs at most; beyond, joins shuffle.
 BROADCAST = 1_000_000
 FLUSH = 1 << 21
@@ -41,9 +44,13 @@ def required(n, percent: int):
     return -(-n * percent // 100)
 
 
-def overlap(n):
+def overlap(n, percent: int):
     """l(n)"""
-    return -(-n // 10)
+    return np.minimum(required(n, percent), np.maximum(SHARED, -(-n // 10)))
+
+
+def sample_size(n, percent: int):
+    return n - required(n, percent) + overlap(n, percent)
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -87,7 +94,7 @@ def _sampled(width: int, percent: int, buckets: int):
                     nodes.append(node)
                     if n and doc is not None and node not in seen:
                         seen.add(node)
-                        samples.append(s[: n - required(n, percent) + overlap(n)])
+                        samples.append(s[: int(sample_size(n, percent))])
                         counts.append(n)
                         names.append(node)
                         held += len(samples[-1])
@@ -147,10 +154,11 @@ def _prefixes(percent: int):
             first[1:] = node[1:] != node[:-1]
             heads = np.flatnonzero(first)
             shared = np.diff(np.append(heads, len(node)))
-            least = overlap(required(n[heads], percent))
-            take = np.maximum(0, shared - least + 1)
+            size = n[heads]
+            most = size - (sample_size(size, percent) - shared)  # shingles that any other node can have
+            take = np.where(100 * most >= percent * size, np.maximum(0, shared - overlap(required(size, percent), percent) + 1), 0)
             keep = np.arange(len(node)) - np.repeat(heads, shared) < np.repeat(take, shared)
-            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(n[keep])], names=["token", "node", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(np.repeat(most, shared)[keep])], names=["token", "node", "n", "most"])
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
@@ -205,8 +213,10 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
-def fits(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def may_link(n: Column, most: Column, m: Column, most_m: Column, percent: int) -> Column:
+    """Whether two nodes of sizes n and m, of whose shingles others can have most and most_m, may reach the threshold."""
+    both = F.least(most, most_m)
+    return 100 * both >= percent * (n + m - both)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +238,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
     members = first.where("bucket is null").select("doc_id", "n", "node")
     blocks = first.where("bucket is not null").select("bucket", "tokens", "nodes", "sizes")
     shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "node long, n long, token long, df long")
-    lists = written(shared.repartition("node").sortWithinPartitions("node").mapInArrow(_prefixes(percent), "token long, node long, n long"), "prefixes")
+    lists = written(shared.repartition("node").sortWithinPartitions("node").mapInArrow(_prefixes(percent), "token long, node long, n long, most long"), "prefixes")
     alone = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     lists = written(lists.join(alone, "token"), "lists")
     names = members.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -241,13 +251,15 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
     for turn in range(stars + 1):
         here = lists if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         here = here.withColumn("root", F.col("node")) if roots is None else here
-        split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))).alias("p")).where("lo <> hi")
+        order = [F.xxhash64("node", F.lit(turn)).alias("h")] if turn else [(F.col("n") - F.col("most")).alias("own"), F.xxhash64("node", F.lit(turn)).alias("h")]
+        pivot = F.struct(*order, F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("root").alias("ra"))
+        split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pivot).alias("p")).where("lo <> hi")
         if turn < stars:
-            pairs = here.join(split.select("token", "p.a", "p.na", "p.ra"), "token")
+            pairs = here.join(split.select("token", "p.a", "p.na", "p.ma", "p.ra"), "token")
         else:
             open_ = here.join(split.select("token"), "token")
-            pairs = open_.join(open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), "token").where("a < node")
-        pairs = pairs.where((F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na"), percent))
+            pairs = open_.join(open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("root").alias("ra")), "token").where("a < node")
+        pairs = pairs.where((F.col("root") != F.col("ra")) & may_link(F.col("n"), F.col("most"), F.col("na"), F.col("ma"), percent))
         pairs = pairs.select("a", F.col("node").alias("b"), F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")).dropDuplicates(["x", "y"])
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
