@@ -16,6 +16,8 @@ label 1 (0.5 with no labels at all); repeated rows score alike; further columns
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,6 +63,21 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.sqrt(ones) * scale, np.sqrt(pairs) * scale, extra], axis=1).astype(np.float32), starts
 
 
+def in_parts(texts: list[bytes], limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """passages() of many texts, made a part at a time, as its intermediate arrays take some hundred bytes a byte."""
+    xs, starts, i, n = [], [], 0, 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= limit):
+            size += len(texts[j])
+            j += 1
+        x, s = passages(texts[i:j])
+        xs.append(x)
+        starts.append(s + n)
+        i, n = j, n + len(x)
+    return np.concatenate(xs), np.concatenate(starts)
+
+
 class GatedAttention:
     """The model. Passages of all documents lie one after the other; starts marks each document's first."""
 
@@ -95,9 +112,11 @@ class GatedAttention:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, share: float, epochs: int = EPOCHS, bag: int = 32, rate: float = 3e-3):
         """share: of label 1 among all labelled rows, to which the intercept is shifted."""
-        x, starts = passages(texts)
-        self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x = (x - self.mean) / self.spread
+        x, starts = in_parts(texts)
+        self.mean = x.mean(axis=0)
+        x -= self.mean
+        self.spread = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-3)
+        x /= self.spread
         ends = np.append(starts[1:], len(x))
         r, y = np.random.default_rng(11), labels.astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -150,10 +169,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
     picked = rows.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).unionByName(rows.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # at most 2 * per_class rows
-    got = got.toPandas().sort_values("doc_id")
-    if got["y"].nunique() < 2:
-        return Constant(shares[1] / total)
-    return GatedAttention().fit([t.encode() for t in got["text"]], got["y"].to_numpy(), shares[1] / total)
+    share = shares[1] / total
+
+    def train(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        y = np.array([r[2] for r in rows], dtype=np.float32)
+        model = GatedAttention().fit([r[1].encode() for r in rows], y, share) if 0 < y.sum() < len(y) else Constant(share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # One task learns, as its rows are bounded; the driver gets the model alone.
+    return pickle.loads(got.select("doc_id", "text", "y").repartition(1).mapInArrow(train, "model binary").first()["model"])
 
 
 def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
@@ -163,7 +188,7 @@ def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for b in by_bytes(batch, at, 2 << 20):
+            for b in by_bytes(batch, at, 1 << 20):
                 s = model.score([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*b.schema.names, "score", "predicted"])
 
