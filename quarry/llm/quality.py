@@ -172,13 +172,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
     share = shares[1] / total
 
     def train(batches):
-        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if not (rows := sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))):
+            return
         y = np.array([r[2] for r in rows], dtype=np.float32)
         model = GatedAttention().fit([r[1].encode() for r in rows], y, share) if 0 < y.sum() < len(y) else Constant(share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # One task learns, as its rows are bounded; the driver gets the model alone.
-    return pickle.loads(got.select("doc_id", "text", "y").repartition(1).mapInArrow(train, "model binary").first()["model"])
+    learned = got.select("doc_id", "text", "y").repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else Constant(share)
 
 
 def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:

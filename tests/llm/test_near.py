@@ -175,3 +175,5 @@ def test_quality_without_labels(spark):
     assert quality.learn(docs, none).score([b"x"]).tolist() == [0.5]
     ones = spark.createDataFrame([(1, 1, 0), (2, None, 0), (9, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.learn(docs, ones).score([b"x"]).tolist() == [1.0]
+    elsewhere = spark.createDataFrame([(i, i % 4 // 3, 0) for i in range(100, 140)], "doc_id long, quality int, toxic int")
+    assert 0 < quality.learn(docs, elsewhere).score([b"x"])[0] < 1
