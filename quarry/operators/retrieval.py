@@ -29,6 +29,11 @@ def ranked(df: DataFrame, order: list[Column], k: int, per: str = "query_id", na
     return df.withColumn(name, F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col(name) <= k)
 
 
+def few_words(queries: DataFrame, text: str, most: int = 4_000_000) -> bool:
+    """Whether the queries' texts have so few characters that their words may be broadcast; read from the queries alone."""
+    return queries.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first()["n"] <= most
+
+
 def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """query_id, term, qtf: repeated words count again."""
     return queries.select("query_id", F.explode(tx.tokens(F.coalesce(text, F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -37,7 +42,7 @@ def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
 def bm25(queries: DataFrame, index: dict[str, DataFrame], k: int = 20, key: str = "chunk_id", text: str = "query_text", within: DataFrame | None = None) -> DataFrame:
     """query_id, rank, key, score. within: (query_id, key) pairs or keys that may be found; statistics stay those of the whole corpus."""
     terms = query_terms(queries, text).join(index["term_stats"].where("idf <> 0").select("term", "idf"), "term")
-    hits = index["postings"].join(small(terms), "term").join(F.broadcast(index["corpus_stats"].select("avgdl")), F.lit(True))
+    hits = index["postings"].join(F.broadcast(terms) if few_words(queries, text) else terms, "term").join(F.broadcast(index["corpus_stats"].select("avgdl")), F.lit(True))
     part = F.col("qtf") * F.col("idf") * ix.contribution(F.col("tf"), F.col("dl"), F.col("avgdl"))
     scores = hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))
     if within is not None:
