@@ -4,15 +4,17 @@ Documents with one and the same shingle set form a node (exact copies collapse,
 that link share o = ceil(T * max(x, y)) shingles at least, so under any global order of shingles they share l of them
 within their first x - o + l and y - o + l. Two orders are used, and a candidate has to pass both:
 
-1. By hash. Each node's first x - ceil(T x) + l(x) shingles are its sample, l(x) = max(128, ceil(x / 10)) or ceil(T x) where that is
-   less; its linked nodes share r(x) = l(ceil(T x)) of them or more. A node with fewer shingles in other samples leaves. Shingles of
-   its sample that no other sample holds are in no linked node, which bounds its overlap with any.
+1. By hash. Each node's first x - ceil(T x) + l(x) shingles are its sample, l(x) = max(160, ceil(x / 10)) or ceil(T x) where that is
+   less; its linked nodes share r(x) = l(ceil(T x)) of them or more. A node with fewer shingles in other samples leaves. The samples
+   of all linked nodes reach beyond its first r(x) shingles (its core; the whole sample, where they are whole sets), so shingles of the core
+   that no other sample holds are in no linked node, which bounds its overlap with any.
 2. By how many samples a shingle is in, rarest first, as counted over all documents. Within its sample a linked pair shares a
    shingle of the first (sample - r + 1) under this order. Shingles of passages that many documents share come last.
 
 Candidates are verified on whole sets. First come star rounds: in the list of each shingle one pivot is tried against the
 others (first the one with fewest shingles of its own), and what is connected then needs no further test. After STARS rounds all pairs
-of a list that are still in different components and whose bounds allow a link are verified, so no link between components is lost.
+of a list that are still in different components, each taken at its first common shingle, are verified unless a bound rules a
+link out: that of the cores, or the sum of lesser counts of two histograms of the whole sets. So no link between components is lost.
 
 Shingles and sets are told apart by 64-bit hashes. Cases: null texts are empty; empty sets link with nothing; rows with a null
 doc_id are left out of the search and get a null component_id; rows that repeat a doc_id count as copies or as documents of their
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,7 +34,9 @@ from .words import mixed, shingle_sets
 
 STARS = 3
 #: Shingles that linked nodes share of their samples, if they have so many.
-SHARED = 128
+SHARED = 160
+#: Counts in a set's histogram, by hash.
+BINS = 128
 #: Rows that may be broadcast, of three longs at most; beyond, joins shuffle.
 BROADCAST = 1_000_000
 FLUSH = 1 << 21
@@ -53,6 +57,13 @@ def sample_size(n, percent: int):
     return n - required(n, percent) + overlap(n, percent)
 
 
+def core_size(n, percent: int):
+    """How many of a sample's first shingles the samples of all linked nodes reach beyond."""
+    largest = n * 100 // percent + 1
+    whole = overlap(largest, percent) == required(largest, percent)
+    return np.where(whole, sample_size(n, percent), overlap(required(n, percent), percent))
+
+
 def set_hash(s: np.ndarray) -> int:
     """Node of a set: a hash of its sorted members."""
     with np.errstate(over="ignore"):
@@ -69,9 +80,12 @@ def _sampled(width: int, percent: int, buckets: int):
 
     def block(samples, sizes, nodes):
         tokens = np.concatenate(samples)
-        owner = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
+        lengths = np.array([len(s) for s in samples])
+        owner = np.repeat(np.arange(len(samples)), lengths)
+        within = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        core = within < np.repeat(core_size(np.array(sizes), percent), lengths)
         order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+        tokens, owner, core = tokens[order], owner[order], core[order].astype("<u4") << np.uint32(31)
         cut = [0, *np.searchsorted(tokens, edges).tolist(), len(tokens)]
         nodes, sizes = np.array(nodes, dtype="<i8"), np.array(sizes, dtype="<u4")
         rows = [(b, x, y) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
@@ -79,7 +93,7 @@ def _sampled(width: int, percent: int, buckets: int):
         for i in range(0, n, 64):
             part = rows[i : i + 64]
             k = len(part)
-            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array([b for b, _, _ in part], pa.int32()), pa.array([tokens[x:y].tobytes() for _, x, y in part], pa.binary()), pa.array([nodes[owner[x:y]].tobytes() for _, x, y in part], pa.binary()), pa.array([sizes[owner[x:y]].tobytes() for _, x, y in part], pa.binary())], names=[x.split()[0] for x in FIRST.split(", ")])
+            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array([b for b, _, _ in part], pa.int32()), pa.array([tokens[x:y].tobytes() for _, x, y in part], pa.binary()), pa.array([nodes[owner[x:y]].tobytes() for _, x, y in part], pa.binary()), pa.array([(sizes[owner[x:y]] | core[x:y]).tobytes() for _, x, y in part], pa.binary())], names=[x.split()[0] for x in FIRST.split(", ")])
 
     def run(batches):
         seen: set[int] = set()
@@ -109,7 +123,7 @@ def _sampled(width: int, percent: int, buckets: int):
 
 
 def _shared(batches):
-    """Rows (node, n, token, df) of the shingles that lie in two samples or more, one bucket at a time."""
+    """Rows (node, n, token, df) of the shingles that lie in two samples or more, one bucket at a time; the highest bit of n marks the core."""
 
     def out(parts):
         t, v, z = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -154,11 +168,12 @@ def _prefixes(percent: int):
             first[1:] = node[1:] != node[:-1]
             heads = np.flatnonzero(first)
             shared = np.diff(np.append(heads, len(node)))
+            core, n = n >> 31, n & 0x7FFFFFFF
             size = n[heads]
-            most = size - (sample_size(size, percent) - shared)  # shingles that any other node can have
+            most = size - (core_size(size, percent) - np.add.reduceat(core, heads))  # shingles that a linked node can have
             take = np.where(100 * most >= percent * size, np.maximum(0, shared - overlap(required(size, percent), percent) + 1), 0)
             keep = np.arange(len(node)) - np.repeat(heads, shared) < np.repeat(take, shared)
-            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(np.repeat(most, shared)[keep])], names=["token", "node", "n", "most"])
+            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(np.repeat(most, shared)[keep]), pa.array(np.repeat(shared, shared)[keep])], names=["token", "node", "n", "most", "shared"])
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
@@ -183,7 +198,7 @@ def _sets(width: int):
         for batch in batches:
             for b in by_bytes(batch, 0, 4 << 20):
                 sets = shingle_sets([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()], width)
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "want", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.bincount((s % BINS).astype(np.int64), minlength=BINS) for s in sets], pa.list_(pa.int64()))], names=["node", "want", "members", "bins"])
 
     return run
 
@@ -208,15 +223,35 @@ def _verified(percent: int):
     return run
 
 
-def small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if it holds no more than BROADCAST rows."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """With a broadcast hint if it holds no more than so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def may_link(a: list[Column], b: list[Column], percent: int) -> Column:
+    """Whether two nodes, given as [n, most, shared], may reach the threshold."""
+    (n, most, shared), (m, most_m, shared_m) = a, b
+    both, less = F.least(most, most_m), F.least(n, m)
+    needed = F.least(F.ceil(less * percent / 100), F.greatest(F.lit(SHARED), F.ceil(less / 10)))
+    return (100 * both >= percent * (n + m - both)) & (F.least(shared, shared_m) >= needed)
+
+
+def open_pairs(here: DataFrame, split: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list in different components, each once: where neither node's earlier shingles meet the other's."""
+    before = Window.partitionBy("node").orderBy("token").rowsBetween(Window.unboundedPreceding, -1)
+    left = here.join(split.select("token"), "token").withColumn("earlier", F.collect_list("token").over(before))
+    right = left.select(F.col("token").alias("token_a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "most", "shared", "root", "earlier")], F.col("node").alias("a"))
+    bound = may_link([F.col(c) for c in ("n", "most", "shared")], [F.col(f"{c}_a") for c in ("n", "most", "shared")], percent)
+    on = (F.col("token") == F.col("token_a")) & (F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a")) & bound & ~F.arrays_overlap("earlier", "earlier_a")
+    return left.join(right, on).select("a", F.col("node").alias("b"), "n", F.col("n_a").alias("na"))
 
 
-def may_link(n: Column, most: Column, m: Column, most_m: Column, percent: int) -> Column:
-    """Whether two nodes of sizes n and m, of whose shingles others can have most and most_m, may reach the threshold."""
-    both = F.least(most, most_m)
-    return 100 * both >= percent * (n + m - both)
+def within_histograms(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n, na) whose histograms allow a link."""
+    bins = lambda name: small(sets.select(F.col("node").alias(name), F.col("bins").alias(f"bins_{name}")), 50_000)
+    both = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    p = pairs.join(bins("a"), "a").join(bins("b"), "b").withColumn("both", both)
+    return p.where(100 * F.col("both") >= percent * (F.col("n") + F.col("na") - F.col("both"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,29 +273,29 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
     members = first.where("bucket is null").select("doc_id", "n", "node")
     blocks = first.where("bucket is not null").select("bucket", "tokens", "nodes", "sizes")
     shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "node long, n long, token long, df long")
-    lists = written(shared.repartition("node").sortWithinPartitions("node").mapInArrow(_prefixes(percent), "token long, node long, n long, most long"), "prefixes")
+    lists = written(shared.repartition("node").sortWithinPartitions("node").mapInArrow(_prefixes(percent), "token long, node long, n long, most long, shared long"), "prefixes")
     alone = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     lists = written(lists.join(alone, "token"), "lists")
     names = members.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     left = lists.select("node").distinct()
     want = names.join(left, "node").select(F.col("least").alias("doc_id"), F.col("node").alias("want"))
     want = written(want, "want")
-    sets = d.join(small(want), "doc_id").select("text", "want").mapInArrow(_sets(width), "node long, want long, members binary").where("node = want")
-    sets = written(sets.select("node", "members"), "sets")
+    sets = d.join(small(want), "doc_id").select("text", "want").mapInArrow(_sets(width), "node long, want long, members binary, bins array<long>").where("node = want")
+    sets = written(sets.select("node", "members", "bins"), "sets")
     links, tried, roots = None, None, None
     for turn in range(stars + 1):
         here = lists if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         here = here.withColumn("root", F.col("node")) if roots is None else here
-        order = [F.xxhash64("node", F.lit(turn)).alias("h")] if turn else [(F.col("n") - F.col("most")).alias("own"), F.xxhash64("node", F.lit(turn)).alias("h")]
-        pivot = F.struct(*order, F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("root").alias("ra"))
+        order = [F.xxhash64("node", F.lit(turn)).alias("h")] if turn else [(F.col("n") - F.col("most")).alias("own"), (F.col("n") - F.col("shared")).alias("rare"), F.xxhash64("node", F.lit(turn)).alias("h")]
+        pivot = F.struct(*order, F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "most", "shared", "root")])
         split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pivot).alias("p")).where("lo <> hi")
         if turn < stars:
-            pairs = here.join(split.select("token", "p.a", "p.na", "p.ma", "p.ra"), "token")
+            pairs = here.join(split.select("token", "p.a", "p.n_a", "p.most_a", "p.shared_a", "p.root_a"), "token").where("root <> root_a")
+            pairs = pairs.where(may_link([F.col(c) for c in ("n", "most", "shared")], [F.col(f"{c}_a") for c in ("n", "most", "shared")], percent))
+            pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         else:
-            open_ = here.join(split.select("token"), "token")
-            pairs = open_.join(open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("root").alias("ra")), "token").where("a < node")
-        pairs = pairs.where((F.col("root") != F.col("ra")) & may_link(F.col("n"), F.col("most"), F.col("na"), F.col("ma"), percent))
-        pairs = pairs.select("a", F.col("node").alias("b"), F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")).dropDuplicates(["x", "y"])
+            pairs = within_histograms(written(open_pairs(here, split, percent), "open"), sets, percent)
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).dropDuplicates(["x", "y"])
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = written(pairs, "tried")
