@@ -39,7 +39,7 @@ SHARED = 160
 BINS = 128
 #: Rows that may be broadcast, of three longs at most; beyond, joins shuffle.
 BROADCAST = 1_000_000
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 FIRST = "doc_id long, n long, node long, bucket int, tokens binary, nodes binary, sizes binary"
 
 
@@ -99,7 +99,7 @@ def _sampled(width: int, percent: int, buckets: int):
         seen: set[int] = set()
         samples, counts, names, held = [], [], [], 0
         for batch in batches:
-            for b in by_bytes(batch, 1, 4 << 20):
+            for b in by_bytes(batch, 1, 1 << 20):
                 docs, sizes, nodes = b.column(0).to_pylist(), [], []
                 for doc, s in zip(docs, shingle_sets([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], width), strict=True):
                     n = len(s)
@@ -196,7 +196,7 @@ def _prefixes(percent: int):
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            for b in by_bytes(batch, 0, 4 << 20):
+            for b in by_bytes(batch, 0, 1 << 20):
                 sets = shingle_sets([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()], width)
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.bincount((s % BINS).astype(np.int64), minlength=BINS) for s in sets], pa.list_(pa.int64()))], names=["node", "want", "members", "bins"])
 
