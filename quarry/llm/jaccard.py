@@ -283,7 +283,8 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
     sets = d.join(small(want), "doc_id").select("text", "want").mapInArrow(_sets(width), "node long, want long, members binary, bins array<long>").where("node = want")
     sets = written(sets.select("node", "members", "bins"), "sets")
     links, tried, roots = None, None, None
-    for turn in range(stars + 1):
+    turn = 0
+    while turn <= stars:
         here = lists if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         here = here.withColumn("root", F.col("node")) if roots is None else here
         order = [F.xxhash64("node", F.lit(turn)).alias("h")] if turn else [(F.col("n") - F.col("most")).alias("own"), (F.col("n") - F.col("shared")).alias("rare"), F.xxhash64("node", F.lit(turn)).alias("h")]
@@ -299,14 +300,15 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = written(pairs, "tried")
-        if not pairs.limit(1).count():
-            if turn < stars:
-                continue
-            break
-        found = verified(pairs.select("a", "b"), sets, percent)
-        tried = pairs.select("x", "y") if tried is None else tried.union(pairs.select("x", "y"))
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "roots")
+        new = verified(pairs.select("a", "b"), sets, percent) if pairs.limit(1).count() else None
+        if new is not None:
+            tried = pairs.select("x", "y") if tried is None else tried.union(pairs.select("x", "y"))
+        if new is not None and new.limit(1).count():
+            links = new if links is None else links.union(new)
+            roots = written(components(links), "roots")
+            turn += 1
+        else:  # a round without links makes room for the last one
+            turn = stars if turn < stars else stars + 1
     if roots is None:
         cid = names.withColumnRenamed("least", "cid")
     else:
