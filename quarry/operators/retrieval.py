@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import text as tx
 from . import index as ix
@@ -199,22 +203,78 @@ def keyword_route(queries: DataFrame, routes: DataFrame) -> DataFrame:
     return queries.select("query_id").join(best, "query_id", "left")
 
 
-def phrase_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, term counts of chunks that hold every phrase of a query, with FTS-like BM25 (k1 1.2, b 0.75)."""
-    c = chunks.select("chunk_id", tx.lexical_tokens(F.concat_ws(" ", "content", "filename", "category")).alias("toks")).withColumn("dl", F.size("toks"))
-    q = queries.select("query_id", F.posexplode(tx.phrases("query_text")).alias("p", "phrase"))
-    rare = q.withColumn("term", F.col("phrase")[0])
-    at = c.select("chunk_id", "dl", "toks", F.posexplode("toks").alias("i", "term")).join(small(rare), "term")
-    whole = F.slice("toks", F.col("i") + 1, F.size("phrase")) == F.col("phrase")
-    tf = at.where(whole).groupBy("query_id", "p", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    stats = c.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("query_id", "p").agg(F.count("*").alias("df"))
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    s = tf.join(df, ["query_id", "p"]).join(F.broadcast(stats), F.lit(True))
+def _times(phrase: tuple, toks: list) -> int:
+    return sum(t == phrase[0] and tuple(toks[i : i + len(phrase)]) == phrase for i, t in enumerate(toks))
+
+
+def _spread(asked: set[tuple]):
+    """Rows (key, df): in how many of a batch's (chunk_id, toks) each phrase stands."""
+    single, longer = {p[0] for p in asked if len(p) == 1}, [p for p in asked if len(p) > 1]
+
+    def run(batches):
+        for batch in batches:
+            df: Counter = Counter()
+            for toks in batch.column(1):
+                toks = toks.as_py()
+                words = set(toks)
+                df.update(words & single)
+                df.update(" ".join(p) for p in longer if words.issuperset(p) and _times(p, toks))
+            yield [list(df), list(df.values())]
+
+    return run
+
+
+def _held(queries: list):
+    """Rows (query_id, chunk_id, dl, key, times, tf): of each batch of (chunk_id, toks) the phrases of queries whose phrases a chunk all holds."""
+    by_word: dict[str, list] = {}
+    for r in queries:
+        by_word.setdefault(max((p[0] for p in r["phrases"]), key=lambda w: (len(w), w)), []).append((r["query_id"], frozenset(t for p in r["phrases"] for t in p), Counter(map(tuple, r["phrases"]))))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for chunk, toks in zip(batch.column(0), batch.column(1), strict=True):
+                toks = toks.as_py()
+                words, counts = set(toks), None
+                for query, needed, phrases in (x for w in words & by_word.keys() for x in by_word[w] if x[1] <= words):
+                    counts = counts or Counter(toks)
+                    tfs = [counts[p[0]] if len(p) == 1 else _times(p, toks) for p in phrases]
+                    if all(tfs):
+                        found += [(query, chunk.as_py(), len(toks), " ".join(p), n, tf) for (p, n), tf in zip(phrases.items(), tfs, strict=True)]
+            yield [list(x) for x in zip(*found, strict=True)] or [[] for _ in range(6)]
+
+    return run
+
+
+def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow of a function that gives lists of columns."""
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(b, arrow, strict=True)], schema=arrow) for b in run(batches)), schema)
+
+
+def phrase_hits(queries: DataFrame, chunks: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """query_id, chunk_id, score of chunks that hold every phrase of a query, with FTS-like BM25 (k1 1.2, b 0.75); repeated phrases
+    score again. Both ids are keys. Queries of at most so many characters meet every chunk's words at once; beyond, they are joined in."""
+    c = chunks.select("chunk_id", tx.lexical_tokens(F.concat_ws(" ", "content", "filename", "category")).alias("toks"))
+    q = queries.select("query_id", tx.phrases("query_text").alias("phrases")).where(F.size("phrases") > 0)
+    if few_words(queries, "query_text", most):
+        asked = q.collect()
+        df = _mapped(c, _spread({tuple(p) for r in asked for p in r["phrases"]}), "key string, df long").groupBy("key").agg(F.sum("df").alias("df"))
+        types = [d.schema[n].dataType.simpleString() for n, d in (("query_id", queries), ("chunk_id", chunks))]
+        held = _mapped(c, _held(asked), f"query_id {types[0]}, chunk_id {types[1]}, dl long, key string, times long, tf long").join(F.broadcast(df), "key")
+    else:
+        each = q.select("query_id", F.explode("phrases").alias("phrase")).groupBy("query_id", F.array_join("phrase", " ").alias("key"), "phrase").agg(F.count("*").alias("times"))
+        asked = each.select("key", "phrase", F.col("phrase")[0].alias("term")).distinct()
+        at = c.select("chunk_id", F.size("toks").alias("dl"), "toks", F.posexplode("toks").alias("i", "term")).join(asked, "term")
+        tf = at.where(F.slice("toks", F.col("i") + 1, F.size("phrase")) == F.col("phrase")).groupBy("key", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+        df = tf.groupBy("key").agg(F.count("*").alias("df"))
+        need = each.groupBy("query_id").agg(F.count("*").alias("need"))
+        held = each.drop("phrase").join(df, "key").join(tf, "key").join(need, "query_id")
+        held = held.withColumn("held", F.count("*").over(Window.partitionBy("query_id", "chunk_id"))).where("held = need")
+    held = held.join(F.broadcast(c.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))), F.lit(True))
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    s = s.withColumn("s", idf * ix.contribution(F.col("tf"), F.col("dl"), F.col("avgdl"), 1.2, 0.75))
-    s = s.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"), F.count("*").alias("held"))
-    return s.join(need, "query_id").where("held = need").select("query_id", "chunk_id", "score")
+    part = F.col("times") * idf * ix.contribution(F.col("tf"), F.col("dl"), F.col("avgdl"), 1.2, 0.75)
+    return held.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def dispatched(queries: DataFrame, hit_counts: DataFrame, min_hits: int = 3) -> DataFrame:

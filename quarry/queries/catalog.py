@@ -412,8 +412,7 @@ fts as (select query_id, doc_id, score from hits join need using (query_id) wher
 
 
 def fts_hits(spark, sf_dir) -> DataFrame:
-    q = log(spark, sf_dir).withColumn("query_text", F.array_join(F.slice(F.split("query_text", " "), 1, 3), " "))
-    return rt.phrase_hits(q, corpus(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")).withColumnRenamed("chunk_id", "doc_id")
+    return rt.phrase_hits(log(spark, sf_dir), corpus(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")).withColumnRenamed("chunk_id", "doc_id")
 
 
 @query(f"with {FTS} select query_id, rank, doc_id, round(score, 6) as score from {top('fts', 'round(score, 9) desc, doc_id', 20)}")
