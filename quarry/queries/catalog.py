@@ -140,7 +140,7 @@ def query_subject(spark, sf_dir):
 @query(r"""select doc_id, case when regexp_matches(h, '[A-Z]{2,}-\d+') or regexp_matches(h, 'CVE-\d{4}-\d+') or regexp_matches(h, '^[a-f0-9]{32,64}$') then 'lexical' else 'semantic' end as route
   from (select doc_id, case doc_id % 4 when 0 then md5(text) when 1 then 'see MDR-' || doc_id else substr(text, 1, 80) end as h from documents)""")
 def route_lexical(spark, sf_dir):
-    q = F.when(F.col("doc_id") % 4 == 0, F.md5("text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("see MDR-"), F.col("doc_id").cast("string"))).otherwise(F.substring("text", 1, 80))
+    q = F.when(F.col("doc_id") % 4 == 0, F.md5("text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("see MDR-"), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
     return t(spark, sf_dir, "documents").select("doc_id", tx.route(q).alias("route"))
 
 
@@ -184,7 +184,7 @@ select doc_id, round(case when len(qt) = 0 or len(pt) = 0 then 0 else least(0.00
   + case when trim(q) <> '' and contains(p, lower(trim(q))) then 0.0012 else 0 end) end, 6)::double as boost from y""")
 def path_boost(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    q = F.concat("source", F.lit(" "), "lang", F.lit(" "), F.substring("text", 1, 40))
+    q = F.concat("source", F.lit(" "), "lang", F.lit(" "), "text")
     return d.select("doc_id", F.round(tx.path_boost(q, F.concat("source", F.lit("/"), "lang"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md"))), 6).alias("boost"))
 
 

@@ -56,8 +56,18 @@ def test_auto_dispatch_counts_hits_of_whole_queries(spark, folder):
     assert {r["query_id"]: (r["hits"], r["route"]) for r in catalog.auto_dispatch(spark, folder).collect()} == {0: (3, "hybrid"), 1: (3, "lexical"), 2: (0, "hybrid"), 3: (1, "hybrid"), 4: (3, "lexical")}
 
 
-@pytest.mark.parametrize("name", ["fts_search", "auto_dispatch"])
+def test_identifiers_and_path_words_behind_the_prefix_count(spark, tmp_path):
+    texts = {2: "x " * 60 + "see CVE-2024-12345", 3: "x " * 60 + "nothing", 6: "x " * 60 + "ABC-12", 7: "y " * 30 + "doc7 md"}
+    spark.createDataFrame([(i, x, "s", "en") for i, x in texts.items()], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["route"] for r in catalog.route_lexical(spark, str(tmp_path)).collect()} == {2: "lexical", 3: "semantic", 6: "lexical", 7: "semantic"}
+    assert {r["doc_id"]: r["boost"] for r in catalog.path_boost(spark, str(tmp_path)).collect()} == {2: 0.0012, 3: 0.0012, 6: 0.0012, 7: 0.0024}
+
+
+CUTS = {"fts_search": "array_to_string(string_split(text, ' ')[1:3], ' ')", "auto_dispatch": "array_to_string(string_split(text, ' ')[1:3], ' ')", "route_lexical": "substr(text, 1, 80)", "path_boost": "substr(text, 1, 40)"}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
 def test_equals_sql_without_its_cut(spark, sf, name):
-    cut = "array_to_string(string_split(text, ' ')[1:3], ' ')"
+    cut = CUTS[name]
     assert cut in catalog.SQL[name]
     same(catalog.QUERIES[name](spark, sf), connection(sf), catalog.SQL[name].replace(cut, "text"))
