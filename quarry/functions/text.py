@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,6 +13,9 @@ WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 #: A token of the lexical index, where . _ - belong to words.
 LEXICAL = r"[\p{L}\p{N}._-]+"
 
+#: Precomposed small letters and the letter of a to z that they stand on; the long s counts as s, and ǡ is left out, as in SQLite's table.
+PLAIN = {c: b for c in map(chr, range(0x80, 0x2000)) if c == c.lower() and c != "ǡ" and "a" <= (b := unicodedata.normalize("NFD", c)[0].replace("ſ", "s")) <= "z"}
+
 # What sends a query to the lexical index.
 LEXICAL_PATTERNS = [r"[A-Z]{2,}-\d+", r"CVE-\d{4}-\d+", r"^[a-f0-9]{32,64}$"]
 
@@ -65,8 +69,9 @@ def tokens(x: Column | str) -> Column:
 
 
 def lexical_tokens(x: Column | str) -> Column:
-    """Lower case without diacritics; . _ - are letters. Marks are dropped after canonical decomposition of Latin letters."""
-    plain = F.translate(F.lower(_c(x)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without diacritics; . _ - are letters. Letters fold as by SQLite's unicode61 with remove_diacritics 2: precomposed ones to their
+    letter of a to z; precomposed Greek and Cyrillic ones stay. Marks of their own are dropped."""
+    plain = F.translate(F.lower(_c(x)), "".join(PLAIN), "".join(PLAIN.values()))
     return F.regexp_extract_all(F.regexp_replace(plain, r"\p{M}", ""), F.lit(LEXICAL), F.lit(0))
 
 

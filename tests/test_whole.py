@@ -71,3 +71,22 @@ def test_equals_sql_without_its_cut(spark, sf, name):
     cut = CUTS[name]
     assert cut in catalog.SQL[name]
     same(catalog.QUERIES[name](spark, sf), connection(sf), catalog.SQL[name].replace(cut, "text"))
+
+
+def test_lexical_tokens_fold_letters_as_sqlite_does(spark):
+    import sqlite3
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from quarry.functions import text as tx
+
+    letters = [c for c in map(chr, range(0x80, 0x2000)) if unicodedata.category(c) == "Ll" and len(unicodedata.normalize("NFD", c)) > 1]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize='unicode61 remove_diacritics 2')")
+    db.execute("create virtual table v using fts5vocab(t, 'instance')")
+    db.executemany("insert into t(rowid, x) values (?, ?)", [(ord(c), f"q{c}q") for c in letters])
+    want = dict(db.execute("select doc, term from v"))
+    got = dict(spark.createDataFrame([(ord(c), f"q{c}q") for c in letters], "i int, t string").select("i", F.concat_ws(" ", tx.lexical_tokens("t"))).collect())
+    assert len(want) > 400 and got == want
+    assert got[ord("č")] == "qcq" and got[ord("ế")] == "qeq" and got[ord("й")] == "qйq"
