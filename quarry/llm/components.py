@@ -1,11 +1,11 @@
-"""Connected components of a graph of long ids, by alternating large-star and small-star steps on DataFrames."""
+"""Connected components of a graph of ids (of any ordered type, structs too), by alternating large-star and small-star steps on DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import spent, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # larger neighbours go to the smallest
         mine = large.groupBy("a").agg(F.min("b").alias("m"))
+        before = e
         e = written(large.join(mine, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), "edges")
+        spent(before)
         now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.sum(F.hash("a", "b").cast("long")).alias("s")).first()
         if now == last:
             break

@@ -2,19 +2,25 @@
 
 Documents with one and the same shingle set form a node (exact copies collapse, and never make pairs). Two nodes of sizes x and y
 that link share o = ceil(T * max(x, y)) shingles at least, so under any global order of shingles they share l of them
-within their first x - o + l and y - o + l. Two orders are used, and a candidate has to pass both:
+within their first x - o + l and y - o + l. Several orders are used, and a candidate has to pass them all:
 
-1. By hash. Each node's first x - ceil(T x) + l(x) shingles are its sample, l(x) = max(160, ceil(x / 10)) or ceil(T x) where that is
+1. By hash. Each node's first x - ceil(T x) + l(x) shingles are its sample, l(x) = max(SHARED, ceil(x / 10)) or ceil(T x) where that is
    less; its linked nodes share r(x) = l(ceil(T x)) of them or more. A node with fewer shingles in other samples leaves. The samples
    of all linked nodes reach beyond its first r(x) shingles (its core; the whole sample, where they are whole sets), so shingles of the core
    that no other sample holds are in no linked node, which bounds its overlap with any.
 2. By how many samples a shingle is in, rarest first, as counted over all documents. Within its sample a linked pair shares a
    shingle of the first (sample - r + 1) under this order. Shingles of passages that many documents share come last.
-
-Candidates are verified on whole sets. First come star rounds: in the list of each shingle one pivot is tried against the
-others (first the one with fewest shingles of its own), and what is connected then needs no further test. After STARS rounds all pairs
-of a list that are still in different components, each taken at its first common shingle, are verified unless a bound rules a
-link out: that of the cores, or the sum of lesser counts of two histograms of the whole sets. So no link between components is lost.
+3. and 4. In the lists of shingles that many nodes share (more than FEW), sets are replaced by their differences from the list's pivot, a
+   member of it. If x and y differ from the pivot by the sets u and v, they differ from each other by u ^ v, and a link allows no more than
+   (1 - T) / (1 + T) * (x + y) of that; so u and v share (|u| + |v| - that) / 2 elements or more, which is one at least unless
+   both are linked to the pivot. Prefixes of the differences under two orders, rarest first among those of the same pivot
+   and by hash, have to meet. What near copies have in common is thereby gone, and only what sets them apart is compared. Their
+   lists are split in the same way while they have more than FEW members of different components, LEVELS times.
+
+Candidates are verified on whole sets. First come star rounds: the list of each shingle has one pivot, which is tried against the
+others (first the one with fewest shingles of its own), and what is connected then needs no further test. Then the lists that
+still hold several components are gone through as said; only lists of FEW members or less, and those of the last level, give the pairs of their
+members, as far as they lie in different components and pass the orders. No link between components is lost.
 
 Shingles and sets are told apart by 64-bit hashes. Cases: null texts are empty; empty sets link with nothing; rows with a null
 doc_id are left out of the search and get a null component_id; rows that repeat a doc_id count as copies or as documents of their
@@ -25,22 +31,29 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import by_bytes, table, written
+from .runtime import by_bytes, spent, table, written
 from .words import mixed, shingle_sets
 
-STARS = 3
+STARS = 2
 #: Shingles that linked nodes share of their samples, if they have so many.
 SHARED = 160
 #: Counts in a set's histogram, by hash.
 BINS = 128
 #: Rows that may be broadcast, of three longs at most; beyond, joins shuffle.
 BROADCAST = 1_000_000
+#: Members of a list whose pairs may be tried one by one; longer lists are split by the differences from a pivot. Lists of differences
+#: overlap more, and few of their pairs pass, so MORE times as many members are allowed there.
+FEW, MORE, LEVELS = 64, 16, 4
+#: Bytes of shingles of a bucket that one task counts; larger buckets are salted.
+HOT = 1 << 24
 FLUSH = 1 << 20
-FIRST = "doc_id long, n long, node long, bucket int, tokens binary, nodes binary, sizes binary"
+BLOCKS = "bucket int, tokens binary, nodes binary, sizes binary"
+FIRST = "doc_id long, text_hash long, n long, node long, " + BLOCKS
+SHARED_ROWS = "node long, n long, token long, df long"
 
 
 def required(n, percent: int):
@@ -70,60 +83,66 @@ def set_hash(s: np.ndarray) -> int:
         return int(mixed(np.array([np.bitwise_xor.reduce(mixed(s + np.uint64(77))) + s.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def edges_of(buckets: int) -> np.ndarray:
+    """Borders of equal ranges of hashes."""
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+
+
+def dealt(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, edges: np.ndarray):
+    """Columns of BLOCKS, a few rows at a time: entries (token, node, size), by range of token."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+    cut = [0, *np.searchsorted(tokens, edges).tolist(), len(tokens)]
+    rows = [(b, x, y) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+    for i in range(0, len(rows), 64):
+        part = rows[i : i + 64]
+        yield pa.array([b for b, _, _ in part], pa.int32()), *(pa.array([c[x:y].tobytes() for _, x, y in part], pa.binary()) for c in (tokens, nodes, sizes))
+
+
 def _sampled(width: int, percent: int, buckets: int):
     """Per document its set's size and node; and blocks of (shingle, node, size) of the samples, by range of hash."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
-
-    def documents(docs, sizes, nodes):
-        n, none = len(docs), pa.nulls
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary()), none(n, pa.binary())], names=[x.split()[0] for x in FIRST.split(", ")])
+    edges, names = edges_of(buckets), [x.split()[0] for x in FIRST.split(", ")]
 
     def block(samples, sizes, nodes):
-        tokens = np.concatenate(samples)
         lengths = np.array([len(s) for s in samples])
         owner = np.repeat(np.arange(len(samples)), lengths)
-        within = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        core = within < np.repeat(core_size(np.array(sizes), percent), lengths)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner, core = tokens[order], owner[order], core[order].astype("<u4") << np.uint32(31)
-        cut = [0, *np.searchsorted(tokens, edges).tolist(), len(tokens)]
-        nodes, sizes = np.array(nodes, dtype="<i8"), np.array(sizes, dtype="<u4")
-        rows = [(b, x, y) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-        n, none = len(rows), pa.nulls
-        for i in range(0, n, 64):
-            part = rows[i : i + 64]
-            k = len(part)
-            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array([b for b, _, _ in part], pa.int32()), pa.array([tokens[x:y].tobytes() for _, x, y in part], pa.binary()), pa.array([nodes[owner[x:y]].tobytes() for _, x, y in part], pa.binary()), pa.array([(sizes[owner[x:y]] | core[x:y]).tobytes() for _, x, y in part], pa.binary())], names=[x.split()[0] for x in FIRST.split(", ")])
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        sizes = np.array(sizes)
+        core = (within < core_size(sizes, percent)[owner]).astype("<u4") << np.uint32(31)
+        for columns in dealt(np.concatenate(samples), np.array(nodes, dtype="<i8")[owner], sizes.astype("<u4")[owner] | core, edges):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(columns[0]), pa.int64())] * 4, *columns], names=names)
 
     def run(batches):
         seen: set[int] = set()
-        samples, counts, names, held = [], [], [], 0
+        samples, counts, nodes, held = [], [], [], 0
         for batch in batches:
             for b in by_bytes(batch, 1, 1 << 20):
-                docs, sizes, nodes = b.column(0).to_pylist(), [], []
+                docs, sizes, mine = b.column(0).to_pylist(), [], []
                 for doc, s in zip(docs, shingle_sets([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()], width), strict=True):
                     n = len(s)
                     node = set_hash(s) if n else None
                     sizes.append(n)
-                    nodes.append(node)
+                    mine.append(node)
                     if n and doc is not None and node not in seen:
-                        seen.add(node)
+                        if len(seen) < FLUSH:  # what is beyond is sent again and counted once by the receiver
+                            seen.add(node)
                         samples.append(s[: int(sample_size(n, percent))])
                         counts.append(n)
-                        names.append(node)
+                        nodes.append(node)
                         held += len(samples[-1])
                         if held > FLUSH:
-                            yield from block(samples, counts, names)
-                            samples, counts, names, held = [], [], [], 0
-                yield documents(docs, sizes, nodes)
+                            yield from block(samples, counts, nodes)
+                            samples, counts, nodes, held = [], [], [], 0
+                none = pa.nulls(len(docs), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), b.column(2), pa.array(sizes, pa.int64()), pa.array(mine, pa.int64()), pa.nulls(len(docs), pa.int32()), none, none, none], names=names)
         if samples:
-            yield from block(samples, counts, names)
+            yield from block(samples, counts, nodes)
 
     return run
 
 
-def _shared(batches):
-    """Rows (node, n, token, df) of the shingles that lie in two samples or more, one bucket at a time; the highest bit of n marks the core."""
+def _counted(least: int):
+    """SHARED_ROWS of the entries that lie in `least` nodes of those here or more, one bucket at a time; the highest bit of n marks the core."""
 
     def out(parts):
         t, v, z = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -136,22 +155,43 @@ def _shared(batches):
         first[1:] = t[1:] != t[:-1]
         runs = np.diff(np.append(np.flatnonzero(first), len(t)))
         df = np.repeat(runs, runs)
-        keep = df > 1
+        keep = df >= least
         t, v, z, df = t[keep].view(np.int64), v[keep], z[keep].astype(np.int64), df[keep]
         for i in range(0, len(t), 100_000):
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(v[s]), pa.array(z[s]), pa.array(t[s]), pa.array(df[s].astype(np.int64))], names=["node", "n", "token", "df"])
 
-    at, parts = None, []
-    for batch in batches:
-        for b, t, v, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != at and parts:
-                yield from out(parts)
-                parts = []
-            at = b
-            parts.append((np.frombuffer(t, dtype="<u8"), np.frombuffer(v, dtype="<i8"), np.frombuffer(z, dtype="<u4")))
-    if parts:
-        yield from out(parts)
+    def run(batches):
+        at, parts = None, []
+        for batch in batches:
+            for b, t, v, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != at and parts:
+                    yield from out(parts)
+                    parts = []
+                at = b
+                parts.append((np.frombuffer(t, dtype="<u8"), np.frombuffer(v, dtype="<i8"), np.frombuffer(z, dtype="<u4")))
+        if parts:
+            yield from out(parts)
+
+    return run
+
+
+def shared_entries(blocks: DataFrame, hot: int = HOT) -> DataFrame:
+    """SHARED_ROWS of all tokens of two nodes or more. Buckets of more than hot bytes (a token in a third of all nodes, say) are salted,
+    and their counts are added up."""
+    columns = ["bucket", "tokens", "nodes", "sizes"]
+    sizes = blocks.groupBy("bucket").agg(F.sum(F.length("tokens")).alias("bytes")).where(F.col("bytes") > hot)
+    large = {r["bucket"]: -(-r["bytes"] // hot) for r in sizes.collect()}  # buckets, of which there are a few for each partition
+    if not large:
+        return blocks.select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(2), SHARED_ROWS)
+    among = F.col("bucket").isin(list(large))
+    whole = blocks.where(~among).select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(2), SHARED_ROWS)
+    salts = F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("bucket"))
+    some = blocks.where(among).withColumn("salt", F.pmod(F.xxhash64("nodes"), salts))
+    some = some.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").select(columns)
+    rows = written(some.mapInArrow(_counted(1), SHARED_ROWS).groupBy("node", "token").agg(F.max("n").alias("n")), "salted")
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    return whole.unionByName(rows.join(counts, "token").select("node", "n", "token", "df"))
 
 
 def _prefixes(percent: int):
@@ -194,31 +234,63 @@ def _prefixes(percent: int):
 
 
 def _sets(width: int):
+    """The set of each wanted node, with counts of BINS classes of hashes; rows that repeat a document are left out, as far as a task sees."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for b in by_bytes(batch, 0, 1 << 20):
                 sets = shingle_sets([t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()], width)
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.bincount((s % BINS).astype(np.int64), minlength=BINS) for s in sets], pa.list_(pa.int64()))], names=["node", "want", "members", "bins"])
+                rows = []
+                for s, want, least in zip(sets, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if want not in seen and len(s) and set_hash(s) == want:
+                        if len(seen) < FLUSH:
+                            seen.add(want)
+                        rows.append((want, least, len(s), s.tobytes(), np.minimum(np.bincount((s % BINS).astype(np.int64), minlength=BINS), 32767).astype(np.int16)))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["node", "least", "n", "members", "bins"])
 
     return run
 
 
-def _verified(percent: int):
-    """Rows sorted by pivot, salt and kind: the pivot's set first, then those to be held against it. Gives the links."""
+LINKS = "a long, a_least long, b long, b_least long"
+DIFFERENCES = LINKS + ", linked boolean, n long, d long, need long, tokens binary"
+
+
+def most_apart(n, percent: int):
+    """By how many shingles a set of n and one that links with it differ at most."""
+    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+
+
+def _verified(percent: int, differences: bool):
+    """Rows sorted by pivot, salt and kind: the pivot's set first, then those to be held against it. Gives the links; or
+    of all pairs what the set differs by from the pivot's, and how much of that it shares with the difference of any set of another component
+    that it links with (need)."""
+    more, less = 100 + percent, 100 - percent
 
     def run(batches):
-        at, pivot = None, None
+        at, pivot, pivot_least = None, None, None
         for batch in batches:
             found = []
-            for a, salt, kind, b, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, salt, kind, b, least, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(members, dtype="<u8")
                 if kind == 0:
-                    at, pivot = (a, salt), s
+                    at, pivot, pivot_least = (a, salt), s, least
                 elif at == (a, salt):
-                    both = len(np.intersect1d(pivot, s, assume_unique=True))
-                    if 100 * both >= percent * (len(pivot) + len(s) - both):
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+                    n, m = len(s), len(pivot)
+                    if differences:
+                        t = np.setxor1d(pivot, s, assume_unique=True)
+                        d = len(t)
+                        linked = d * more <= less * (n + m)
+                        need = max(1, d - most_apart(n, percent), -(-(more * d + less * (m - n) + 1) // (2 * more)) if linked else 1)
+                        found.append((a, pivot_least, b, least, linked, n, d, need, mixed(t ^ np.uint64(a & 0xFFFFFFFFFFFFFFFF)).tobytes()))
+                    else:
+                        both = len(np.intersect1d(pivot, s, assume_unique=True))
+                        if 100 * both >= percent * (m + n - both):
+                            found.append((a, pivot_least, b, least))
+            schema = (DIFFERENCES if differences else LINKS).split(", ")
+            types = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], types[c.split()[1]]) for i, c in enumerate(schema)], names=[c.split()[0] for c in schema])
 
     return run
 
@@ -236,89 +308,227 @@ def may_link(a: list[Column], b: list[Column], percent: int) -> Column:
     return (100 * both >= percent * (n + m - both)) & (F.least(shared, shared_m) >= needed)
 
 
-def open_pairs(here: DataFrame, split: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list in different components, each once: where neither node's earlier shingles meet the other's."""
-    before = Window.partitionBy("node").orderBy("token").rowsBetween(Window.unboundedPreceding, -1)
-    left = here.join(split.select("token"), "token").withColumn("earlier", F.collect_list("token").over(before))
-    right = left.select(F.col("token").alias("token_a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "most", "shared", "root", "earlier")], F.col("node").alias("a"))
-    bound = may_link([F.col(c) for c in ("n", "most", "shared")], [F.col(f"{c}_a") for c in ("n", "most", "shared")], percent)
-    on = (F.col("token") == F.col("token_a")) & (F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a")) & bound & ~F.arrays_overlap("earlier", "earlier_a")
-    return left.join(right, on).select("a", F.col("node").alias("b"), "n", F.col("n_a").alias("na"))
+def may_differ(a: list[Column], b: list[Column], percent: int) -> Column:
+    """Whether two nodes, given by their differences from one pivot as [n, d, shared, second], may reach the threshold: the
+    differences can share enough, and their prefixes under the second order meet."""
+    (n, d, shared, second), (m, e, shared_m, second_m) = a, b
+    apart = F.floor((n + m) * (100 - percent) / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (2 * F.least(shared, shared_m) + apart >= d + e) & F.arrays_overlap(second, second_m)
+
+
+def open_pairs(here: DataFrame, info: list[str], allowed) -> DataFrame:
+    """Pairs (a, b) of lists (token, node, root and info) that lie in different components and are allowed."""
+    right = here.select(F.col("token").alias("token_a"), F.col("node").alias("a"), F.col("root").alias("root_a"), *[F.col(c).alias(f"{c}_a") for c in info])
+    on = (F.col("token") == F.col("token_a")) & (F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a"))
+    return here.join(right, on & allowed([F.col(c) for c in info], [F.col(f"{c}_a") for c in info])).select("a", F.col("node").alias("b")).distinct()
 
 
 def within_histograms(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n, na) whose histograms allow a link."""
-    bins = lambda name: small(sets.select(F.col("node").alias(name), F.col("bins").alias(f"bins_{name}")), 50_000)
+    """Pairs (a, b) whose sets' counts of BINS classes of hashes allow a link."""
+    bins = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bins").alias(f"bins_{name}"))
     both = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     p = pairs.join(bins("a"), "a").join(bins("b"), "b").withColumn("both", both)
-    return p.where(100 * F.col("both") >= percent * (F.col("n") + F.col("na") - F.col("both"))).select("a", "b")
+    clipped = F.greatest("n_a", "n_b") > 32767  # counts may be too low
+    return p.where(clipped | (100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a, b). Pivots of many pairs are salted."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """The links among pairs (a, b), or the differences of all pairs. Pivots of many pairs are salted."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("k"))
-    p = pairs.join(counts, "a").select("a", "b", F.pmod(F.hash("b"), F.ceil(F.col("k") / 256).cast("int")).alias("salt"))
-    p = written(p, "pairs")
-    heads = sets.join(small(p.select("a", "salt").distinct().withColumnRenamed("a", "node")), "node").select(F.col("node").alias("a"), "salt", F.lit(0).alias("kind"), F.col("node").alias("b"), "members")
-    rest = sets.join(small(p.withColumnRenamed("b", "node")), "node").select("a", "salt", F.lit(1).alias("kind"), F.col("node").alias("b"), "members")
-    return written(heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(_verified(percent), "a long, b long"), "links")
+    p = written(pairs.join(small(counts), "a").select("a", "b", F.pmod(F.hash("b"), F.ceil(F.col("k") / 256).cast("int")).alias("salt")), "pairs")
+    heads = sets.join(small(p.select("a", "salt").distinct().withColumnRenamed("a", "node")), "node").select(F.col("node").alias("a"), "salt", F.lit(0).alias("kind"), F.col("node").alias("b"), "least", "members")
+    rest = sets.join(small(p.withColumnRenamed("b", "node")), "node").select("a", "salt", F.lit(1).alias("kind"), F.col("node").alias("b"), "least", "members")
+    rows = heads.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    out = written(rows.mapInArrow(_verified(percent, differences), DIFFERENCES if differences else LINKS), "links")
+    spent(p)
+    return out
 
 
-def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: int = STARS) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _differences(buckets: int):
+    """BLOCKS of the rows (key, need, tokens)."""
+    edges, names = edges_of(buckets), [x.split()[0] for x in BLOCKS.split(", ")]
+
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            keys, needs, tokens = zip(*held, strict=True)
+            held.clear()
+            lengths = [len(t) for t in tokens]
+            for columns in dealt(np.concatenate(tokens), np.repeat(np.array(keys, dtype="<i8"), lengths), np.repeat(np.array(needs, dtype="<u4"), lengths), edges):
+                yield pa.RecordBatch.from_arrays(list(columns), names=names)
+
+        for batch in batches:
+            for key, need, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((key, need, np.frombuffer(tokens, dtype="<u8")))
+                n += len(tokens) // 8
+                if n > FLUSH:
+                    yield from flush()
+                    n = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _two_prefixes(batches):
+    """Of each key's shared tokens, sorted by key: how many there are, and the prefixes under two orders, rarest first and by hash; nothing of
+    keys that share too few."""
+    names = ["key", "shared", "tokens", "second"]
+    held: list[tuple] = []
+
+    def out(columns):
+        key, need, token, df = columns
+        hashed = mixed(token.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        by_df, by_hash = np.lexsort((hashed, df, key)), np.lexsort((hashed, key))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[by_df][1:] != key[by_df][:-1]
+        heads = np.flatnonzero(new)
+        shared = np.diff(np.append(heads, len(key)))
+        take = shared - need[by_df][heads] + 1
+        rows = [(h, s, k) for h, s, k in zip(heads.tolist(), shared.tolist(), take.tolist(), strict=True) if k > 0]
+        t, u, v = token[by_df], token[by_hash], key[by_df]
+        lists = lambda x: pa.array([x[h : h + k] for h, _, k in rows], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([v[h] for h, _, _ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.int64()), lists(t), lists(u)], names=names)
+
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        held.append(columns)
+        last = columns[0][-1]
+        if columns[0][0] == last:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.flatnonzero(whole[0] != last)[-1]) + 1
+        yield out([c[:cut] for c in whole])
+        held = [[c[cut:] for c in whole]]
+    if held:
+        yield out([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def difference_lists(differences: DataFrame, buckets: int) -> DataFrame:
+    """Lists (token, node, n, d, shared, second) of the differences from each pivot."""
+    d = differences.withColumn("key", F.xxhash64("a", "b"))
+    blocks = written(d.select("key", "need", "tokens").mapInArrow(_differences(buckets), BLOCKS), "differences")
+    rows = shared_entries(blocks).repartition("node").sortWithinPartitions("node").mapInArrow(_two_prefixes, "key long, shared long, tokens array<long>, second array<long>")
+    rows = written(rows, "prefixes")
+    spent(blocks)
+    lists = rows.join(d.select("key", F.col("b").alias("node"), "n", "d"), "key").select(F.explode("tokens").alias("token"), "node", "n", "d", "shared", "second")
+    out = written(lists, "lists")
+    spent(rows)
+    return out
+
+
+class Search:
+    """The links found so far, and the components that they make."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent, self.links, self.roots = sets, percent, [], None
+
+    def found(self, new: DataFrame) -> bool:
+        """Takes up the links that join different components, if there are any."""
+        new = new.select("a", "a_least", "b", "b_least")
+        if self.roots is not None:
+            root = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            known = new.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            new = written(known.select("a", "a_least", "b", "b_least"), "fresh")
+        if not new.limit(1).count():
+            return False
+        self.links.append(new)
+        every = self.links[0]
+        for x in self.links[1:]:
+            every = every.union(x)
+        end = lambda c: F.struct(F.col(f"{c}_least").alias("least"), F.col(c).alias("node"))
+        ids = components(every.select(end("a").alias("a"), end("b").alias("b")))
+        before, self.roots = self.roots, written(ids.select(F.col("node.node").alias("node"), F.col("root.node").alias("root"), F.col("root.least").alias("cid")), "roots")
+        spent(before)
+        return True
+
+    def rooted(self, lists: DataFrame) -> DataFrame:
+        if self.roots is None:
+            return lists.withColumn("root", F.col("node"))
+        return lists.join(self.roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def star(self, lists: DataFrame, turn: int) -> bool:
+        """Every list's pivot against the members that are not yet connected with it."""
+        here = self.rooted(lists)
+        rank = [F.xxhash64("node", F.lit(turn)).alias("h")] if turn else [(F.col("n") - F.col("most")).alias("own"), (F.col("n") - F.col("shared")).alias("rare"), F.xxhash64("node", F.lit(turn)).alias("h")]
+        info = ("n", "most", "shared")
+        pivot = F.struct(*rank, F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in (*info, "root")])
+        split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pivot).alias("p")).where("lo <> hi")
+        pairs = here.join(split.select("token", "p.a", "p.root_a", *[f"p.{c}_a" for c in info]), "token").where("root <> root_a")
+        pairs = written(pairs.where(may_link([F.col(c) for c in info], [F.col(f"{c}_a") for c in info], self.percent)).select("a", F.col("node").alias("b")).distinct(), "tried")
+        out = pairs.limit(1).count() > 0
+        if out:
+            links = verified(pairs, self.sets, self.percent)
+            out = self.found(links)
+        spent(pairs)
+        return out
+
+    def level(self, lists: DataFrame, info: list[str], allowed, few: int | None) -> DataFrame | None:
+        """Tries the pairs of all lists with few members (of all lists, where few is None). Of longer lists gives the
+        differences from their pivots, if there are any."""
+        here = written(self.rooted(lists), "here")
+        split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"))).alias("p")).where("lo <> hi")
+        split = written(split.select("token", "k", "p.a"), "split")
+        short = split if few is None else split.where(F.col("k") <= few)
+        pairs = written(open_pairs(here.join(short.select("token"), "token"), info, allowed), "open")
+        kept = written(within_histograms(pairs, self.sets, self.percent), "candidates")
+        spent(pairs)
+        if kept.limit(1).count():
+            self.found(verified(kept, self.sets, self.percent))
+        spent(kept)
+        out = None
+        if few is not None and split.where(F.col("k") > few).limit(1).count():
+            stars = written(here.join(split.where(F.col("k") > few).select("token", "a"), "token").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
+            out = verified(stars, self.sets, self.percent, differences=True)
+            spent(stars)
+            self.found(out.where("linked"))
+        spent(here, split)
+        return out
+
+
+def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: int = STARS, few: int = FEW, levels: int = LEVELS) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, which with doc_id names a row)."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long"), "text")
+    d = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = written(d.mapInArrow(_sampled(width, percent, buckets), FIRST), "samples")
-    members = first.where("bucket is null").select("doc_id", "n", "node")
-    blocks = first.where("bucket is not null").select("bucket", "tokens", "nodes", "sizes")
-    shared = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "node long, n long, token long, df long")
-    lists = written(shared.repartition("node").sortWithinPartitions("node").mapInArrow(_prefixes(percent), "token long, node long, n long, most long, shared long"), "prefixes")
-    alone = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    lists = written(lists.join(alone, "token"), "lists")
+    members = written(first.where("bucket is null").select("doc_id", "text_hash", "n", "node"), "members")
+    shared = shared_entries(first.where("bucket is not null"))
+    prefixes = written(shared.repartition("node").sortWithinPartitions("node").mapInArrow(_prefixes(percent), "token long, node long, n long, most long, shared long"), "prefixes")
+    spent(first)
+    several = prefixes.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    lists = written(prefixes.join(several, "token"), "lists")
+    spent(prefixes)
     names = members.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    left = lists.select("node").distinct()
-    want = names.join(left, "node").select(F.col("least").alias("doc_id"), F.col("node").alias("want"))
-    want = written(want, "want")
-    sets = d.join(small(want), "doc_id").select("text", "want").mapInArrow(_sets(width), "node long, want long, members binary, bins array<long>").where("node = want")
-    sets = written(sets.select("node", "members", "bins"), "sets")
-    links, tried, roots = None, None, None
-    turn = 0
-    while turn <= stars:
-        here = lists if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        here = here.withColumn("root", F.col("node")) if roots is None else here
-        order = [F.xxhash64("node", F.lit(turn)).alias("h")] if turn else [(F.col("n") - F.col("most")).alias("own"), (F.col("n") - F.col("shared")).alias("rare"), F.xxhash64("node", F.lit(turn)).alias("h")]
-        pivot = F.struct(*order, F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "most", "shared", "root")])
-        split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pivot).alias("p")).where("lo <> hi")
-        if turn < stars:
-            pairs = here.join(split.select("token", "p.a", "p.n_a", "p.most_a", "p.shared_a", "p.root_a"), "token").where("root <> root_a")
-            pairs = pairs.where(may_link([F.col(c) for c in ("n", "most", "shared")], [F.col(f"{c}_a") for c in ("n", "most", "shared")], percent))
-            pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        else:
-            pairs = within_histograms(written(open_pairs(here, split, percent), "open"), sets, percent)
-        pairs = pairs.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).dropDuplicates(["x", "y"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = written(pairs, "tried")
-        new = verified(pairs.select("a", "b"), sets, percent) if pairs.limit(1).count() else None
-        if new is not None:
-            tried = pairs.select("x", "y") if tried is None else tried.union(pairs.select("x", "y"))
-        if new is not None and new.limit(1).count():
-            links = new if links is None else links.union(new)
-            roots = written(components(links), "roots")
-            turn += 1
-        else:  # a round without links makes room for the last one
-            turn = stars if turn < stars else stars + 1
-    if roots is None:
-        cid = names.withColumnRenamed("least", "cid")
-    else:
-        rooted = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        cid = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("cid")), "root").select("node", "cid")
-    cid = written(cid, "classes")
+    want = written(names.join(lists.select("node").distinct(), "node").select(F.col("least").alias("doc_id"), F.col("node").alias("want")), "want")
+    sets = d.join(small(want), "doc_id").select("text", "want", F.col("doc_id").alias("least"))
+    sets = written(sets.mapInArrow(_sets(width), "node long, least long, n long, members binary, bins array<short>"), "sets")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():
+        once = written(sets.dropDuplicates(["node"]), "sets")
+        spent(sets)
+        sets = once
+    search, turn = Search(sets, percent), 0
+    while turn < stars and search.star(lists, turn):
+        turn += 1
+    info, allowed = ["n", "most", "shared"], lambda a, b: may_link(a, b, percent)
+    for level in range(levels + 1):
+        differences = search.level(lists, info, allowed, (few * MORE if level else few) if level < levels else None)
+        spent(lists)
+        if differences is None:
+            break
+        lists = difference_lists(differences, buckets)
+        info, allowed = ["n", "d", "shared", "second"], lambda a, b: may_differ(a, b, percent)
+    spent(sets, want)
+    cid = names.withColumnRenamed("least", "cid")
+    if search.roots is not None:
+        cid = names.join(search.roots.select("node", F.col("cid").alias("linked")), "node", "left").select("node", F.coalesce("linked", "least").alias("cid"))
     out = members.join(cid, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("cid")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -7,6 +7,8 @@ import numpy as np
 _R = np.random.default_rng(20240229)
 BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Positions of a word whose hashes are looked up.
+PLACES = 64
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,11 +22,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, STEP, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def placed(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A hash of a byte at its place in a word. The places are inside the mixing, so that no rearrangement of bytes keeps a sum."""
+    return mixed((place.astype(np.uint64) << np.uint64(8) | byte) * STEP + BYTE[0])
+
+
+PLACED = placed(np.repeat(np.arange(PLACES), 256), np.tile(np.arange(256, dtype=np.uint64), PLACES))
 
 
 def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +47,12 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     heads = np.flatnonzero(first[places])
     lengths = np.diff(np.append(heads, len(places)))
     within = np.arange(len(places)) - np.repeat(heads, lengths)
-    sums = np.add.reduceat(BYTE[raw[places]] * powers(int(lengths.max()))[within], heads)
+    found = raw[places]
+    each = PLACED[np.minimum(within, PLACES - 1) << 8 | found]
+    far = np.flatnonzero(within >= PLACES)
+    if len(far):
+        each[far] = placed(within[far], found[far])
+    sums = np.add.reduceat(each, heads)
     return mixed(sums + lengths.astype(np.uint64)), starts
 
 

@@ -67,14 +67,57 @@ def corpus(seed=1):
     return docs
 
 
-@pytest.mark.parametrize(("width", "percent", "stars"), [(4, 85, 3), (5, 80, 0), (5, 80, 1)])
-def test_jaccard_classes(spark, width, percent, stars):
+@pytest.mark.parametrize(("width", "percent", "stars", "few", "levels", "hot"), [(4, 85, 2, 64, 4, 1 << 24), (5, 80, 0, 3, 2, 3000), (5, 80, 1, 2, 5, 1 << 24), (4, 85, 0, 2, 1, 800)])
+def test_jaccard_classes(spark, monkeypatch, width, percent, stars, few, levels, hot):
     docs = corpus()
+    monkeypatch.setattr(jaccard.shared_entries, "__defaults__", (hot,))
+    monkeypatch.setattr(jaccard, "MORE", 1 if few < 64 else 16)
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, node int").repartition(4)
-    got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(d, width, percent, stars).collect()], key=repr)
+    got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(d, width, percent, stars, few, levels).collect()], key=repr)
     assert got == brute(docs, width, percent)
 
 
+def near(n, seed=5):
+    """Copies of one text of 200 words, each with some words changed."""
+    r = random.Random(seed)
+    base = r.choices([f"b{i}" for i in range(3000)], k=200)
+    docs = []
+    for i in range(n):
+        copy = list(base)
+        for at in r.sample(range(200), 3 + i % 3):
+            copy[at] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def test_pairs_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """A group of copies that are near, but not linked, does not give all its pairs."""
+    counts = []
+
+    def tables(df, name, codec="zstd", own=jaccard.written):
+        out = own(df, name, codec)
+        if name in ("open", "stars", "tried"):
+            counts[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", tables)
+    for n in (150, 300):
+        docs = near(n)
+        counts.append(0)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), few=16).collect())
+        assert got == sorted(brute(docs, 4, 85))
+    assert counts[1] <= 2.5 * counts[0] and counts[1] < 300 * 20
+
+
+def test_words_of_equal_sums_are_told_apart(spark):
+    """Strings on which polynomial sums modulo a power of two agree."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    d = spark.createDataFrame([(1, a), (2, a.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jaccard.jaccard_classes(d).collect()) == [1, 2]
+
+
 def test_jaccard_on_nothing(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
