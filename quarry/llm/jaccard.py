@@ -490,7 +490,8 @@ class Search:
 
 
 def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: int = STARS, few: int = FEW, levels: int = LEVELS) -> DataFrame:
-    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, which with doc_id names a row)."""
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text, which with doc_id names a row), node (of equal sets) and
+    component_node (of the node that component_id is in: as doc_ids may repeat, only the two together name a component)."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -522,13 +523,14 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
         lists = difference_lists(differences, buckets)
         info, allowed = ["n", "d", "shared", "second"], lambda a, b: may_differ(a, b, percent)
     spent(sets, want)
-    cid = names.withColumnRenamed("least", "cid")
+    cid = names.select("node", F.col("least").alias("cid"), F.col("node").alias("root"))
     if search.roots is not None:
-        cid = names.join(search.roots.select("node", F.col("cid").alias("linked")), "node", "left").select("node", F.coalesce("linked", "least").alias("cid"))
+        found = names.join(search.roots.withColumnRenamed("cid", "first"), "node", "left")
+        cid = found.select("node", F.coalesce("first", "least").alias("cid"), F.coalesce("root", "node").alias("root"))
     out = members.join(cid, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("cid")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash", "node", F.col("root").alias("component_node"))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

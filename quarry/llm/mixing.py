@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import table
+from .runtime import private, table
 
 CHUNK, MOST, SALTS = 500.0, 4096, 64
 SEED = "mix-1"
@@ -52,21 +52,22 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
-    """The documents' columns, copy (from 0) and shuffle_key; rows lie in the order of shuffle_key within partitions dealt by it."""
+    """The documents' columns, copy (from 0) and shuffle_key; rows lie in the order of shuffle_key within partitions dealt by it. Where the
+    documents have columns of these names, those are kept and the new ones end in an underscore."""
     r = rates(docs, weights)
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
-    d = docs.withColumn("mix_key", key).withColumn("mix_source", F.coalesce("source", F.lit("\0")))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("mix_key"), F.coalesce("source", F.lit("\0")).alias("mix_source"))
     if r.select("mix_source").limit(MOST + 1).count() <= MOST:
         d = d.join(F.broadcast(r), "mix_source")
     else:
         d = d.withColumn("salt", F.pmod(F.hash("mix_key"), F.lit(SALTS)))
-        d = d.join(r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["mix_source", "salt"]).drop("salt")
+        d = d.join(r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["mix_source", "salt"])
     draw = lambda i: F.size(F.filter("cdf", lambda c: c < uniform(F.lit(seed), F.col("mix_key"), i.cast("string"))))
     count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda s, i: s + draw(i))
-    d = d.withColumn("copies", count).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "mix_key", F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    d = d.withColumn("shuffle_key", order).drop("mix_key", "mix_source", "copies", "rate", "draws", "cdf")
-    return d.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    d = d.select("row", "mix_key", count.alias("copies")).where("copies > 0").select("row", "mix_key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("nth"))
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "mix_key", F.col("nth").cast("string"))), 1, 15), 16, 10).cast("long")
+    d = d.select("row", "nth", order.alias("place")).repartition("place").sortWithinPartitions("place")
+    return d.select("row.*", F.col("nth").alias(private("copy", docs)), F.col("place").alias(private("shuffle_key", docs)))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

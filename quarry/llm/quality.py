@@ -6,12 +6,13 @@ word repetition, through a learned layer), gated attention weighs the passages,
     h_p = tanh(W x_p + b);  a = softmax_p(w . (tanh(V h_p) * sigmoid(U h_p)));  score = sigmoid(o . sum_p a_p h_p + c)
 
 All of W, V, U, w, o are learned together from document labels alone, by Adam with fixed seeds. Training takes at most
-TRAIN_PER_CLASS documents of each label, those of the smallest hash of their id, among the rows that are not held out; the intercept
-is then shifted back to the labels' true shares. Only the text enters a score.
+TRAIN_PER_CLASS documents and TRAIN_BYTES bytes of text of each label, those of the smallest hash of their id, among the rows that are not
+held out; the intercept is then shifted back to the labels' true shares. Only the text enters a score.
 
 Cases: a null or empty text is one empty passage and gets a score; labels that are null or of unknown documents are left out; a document with several
 labels takes their mean, 0.5 and over as 1; without any label of one class every score is the share of
-label 1 (0.5 with no labels at all); repeated rows score alike; further columns are not read.
+label 1 (0.5 with no labels at all); repeated rows score alike; a labelled text of more than TRAIN_BYTES bytes is not learned from, and scored
+like any other; scored() keeps columns of docs that are named score or predicted, and its own then end in an underscore.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import by_bytes, table
+from .runtime import by_bytes, private, table
 from .words import word_hashes
 
 PASSAGE, TRAIN_PER_CLASS, THRESHOLD = 400, 1500, 0.3
+#: Of the texts that one task learns from, for each label; their features take about 3.3 times as much, twice.
+TRAIN_BYTES = 24 << 20
 PAIRS, EXTRA = 192, 6
 FEATURES = 128 + PAIRS + EXTRA
 HIDDEN, GATE, EPOCHS = 24, 12, 24
@@ -45,7 +48,8 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.bincount(at, minlength=n).astype(np.float32)
     ones = np.bincount(at * 128 + np.minimum(raw, 127), minlength=n * 128).reshape(n, 128)
     pair = ((raw[:-1].astype(np.int64) * 31 + raw[1:]) * 2654435761 >> 7) % PAIRS
-    pairs = np.bincount(at[1:] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) if len(raw) > 1 else np.zeros((n, PAIRS))
+    inside = doc[1:] == doc[:-1]  # a pair of bytes of two texts counts for neither
+    pairs = np.bincount((at[1:] * PAIRS + pair)[inside], minlength=n * PAIRS).reshape(n, PAIRS)
     word, place = word_hashes(raw, np.concatenate([offsets, [len(raw)]]).astype(np.int64))
     mine = at[place] if len(word) else np.zeros(0, dtype=np.int64)
     words = np.bincount(mine, minlength=n).astype(np.float32)
@@ -157,8 +161,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, use: Column | None = None):
-    """The model from at most per_class documents of each label. use: which rows of labels may be learned from."""
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, use: Column | None = None, most_bytes: int = TRAIN_BYTES):
+    """The model from at most per_class documents and most_bytes bytes of text of each label. use: which rows of labels may be learned from."""
     rows = labels.where("doc_id is not null and quality is not null")
     rows = rows.where(~held_out(F.col("doc_id")) if use is None else use)
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -167,8 +171,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
     if len(shares) < 2:
         return Constant(shares.get(1, 0) / total if total else 0.5)
     picked = rows.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).unionByName(rows.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
     got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # at most 2 * per_class rows
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    got = got.withColumn("bytes", so_far).where(F.col("bytes") <= most_bytes)
     share = shares[1] / total
 
     def train(batches):
@@ -184,19 +190,18 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
 
 
 def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, with score and predicted."""
-    docs = docs.drop("score", "predicted")
-    at = docs.columns.index("text")
+    """All columns of docs, with score and predicted (under the names of private(), where docs has them)."""
+    at, score, predicted = docs.columns.index("text"), private("score", docs), private("predicted", docs)
 
     def run(batches):
         for batch in batches:
             for b in by_bytes(batch, at, 1 << 20):
                 s = model.score([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*b.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*b.schema.names, score, predicted])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

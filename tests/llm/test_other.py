@@ -187,3 +187,62 @@ def test_near_duplicate_stage(spark):
     t = "one two three four five six seven eight"
     d = spark.createDataFrame([(2, t), (1, t.upper()), (3, "other words are here in this one now"), (4, ""), (4, ""), (None, t), (5, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in cp.near_duplicates(spark, d, "").collect()) == [0, 1, 3, 4, 5]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    t, u = "one two three four five six seven eight", "these are quite other words than those of one"
+    rows = [(1, t, "a", 1), (1, u, "b", 1), (1, u.upper(), "b", 1), (1, u.upper(), "a", 1), (1, u.upper(), "a", 1), (2, t, "c", 1), (3, "third text with words of its own", "d", 1), (3, t, "d", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, node int")
+    got = sorted(tuple(r) for r in cp.near_duplicates(spark, d, "").collect())
+    kept = [r for r in got if r[1].lower() == u]
+    assert len(kept) == 1 and kept[0][2] == ("a" if kept[0][1] == u.upper() else "b")
+    assert [r for r in got if r[1].lower() != u] == [(1, t, "a", 1), (3, "third text with words of its own", "d", 1)]
+
+
+CLASHES = ["score", "predicted", "key", "starts", "stops", "cdf", "draws", "rate", "copies", "copy", "mix_source", "mix_key", "shuffle_key", "row", "nth", "place", "node", "bucket", "text_hash", "component_id", "a", "b"]
+
+
+def test_pipeline_on_hard_input(spark, sf):
+    """Nulls, empty and long texts, repeated rows and clashing names go through all stages; so does an empty table."""
+    from quarry.llm.vocab import library
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = docs.where("length(text) > 300").orderBy("doc_id").first()
+    long = " ".join(r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(100).collect()) * 3
+    more = [(9001, None, "en", None, None), (9002, "", None, "s", 0), (None, None, None, None, None), (None, one["text"], "en", "s", 1), (9003, long, "en", "s", len(long)), (9004, one["text"], "en", "s", 1), (9004, one["text"], "en", "s", 1)]
+    d = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    for i, c in enumerate(CLASHES):
+        d = d.withColumn(c, F.lit(f"own {i}"))
+    for table in (d, d.where("false")):
+        ids, at = None, table
+        for name, stage in cp.STAGES[:-1]:
+            at = stage(spark, at, sf).cache()
+            assert at.columns == d.columns, name
+            assert at.where(" or ".join(f"{c} is distinct from 'own {i}'" for i, c in enumerate(CLASHES))).count() == 0, name
+            if name == "quality":
+                ids = sorted(repr(r["doc_id"]) for r in at.collect())
+            if name == "near_duplicates" and "9004" in ids:
+                kept = [r["doc_id"] for r in at.collect()]
+                assert kept.count(9004) == 0 and kept.count(9003) == ids.count("9003")
+        pieces = cp.STAGES[-1][1](spark, at, sf).collect()
+        k = library("byte_bpe_50k.json")
+        want = sorted([*k.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in at.collect())
+        got, open_ = [], {}
+        for p in sorted(pieces, key=lambda p: (repr(p["doc_id"]), p["doc_tokens"], p["start"])):
+            assert p["ids_crc32"] == zlib.crc32(p["ids"]) and len(p["ids"]) == 4 * p["length"]
+            open_[p["sequence_id"]] = open_.get(p["sequence_id"], 0) + p["length"]
+        assert sum(open_.values()) == sum(map(len, want)) and max(open_.values(), default=0) <= 1024
+        assert sorted(np.concatenate([np.frombuffer(p["ids"], dtype="<u4") for p in pieces]).tolist() if pieces else got) == sorted(i for w in want for i in w)
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_mix_keeps_columns(spark, monkeypatch, most):
+    """Also by the salted join, with the same rows."""
+    monkeypatch.setattr(mixing, "MOST", most)
+    d = spark.createDataFrame([(i, "t", "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    for c in CLASHES:
+        d = d.withColumn(c, F.lit(c))
+    got = mixing.mix(d)
+    assert got.columns == [*d.columns, "copy_", "shuffle_key_"] and got.where(" or ".join(f"{c} <> '{c}'" for c in CLASHES)).count() == 0
+    plain = mixing.mix(d.select("doc_id", "text", "source")).select("doc_id", "copy", "shuffle_key").collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, got.select("doc_id", "copy_", "shuffle_key_").collect()))
