@@ -15,7 +15,7 @@ from quarry.llm.mixing import mix
 from quarry.llm.packing import pack
 from quarry.llm.quality import learn, scored
 from quarry.llm.repeats import deduplicated
-from quarry.llm.runtime import table, written
+from quarry.llm.runtime import private, spent, table, written
 
 #: Near duplicates: words to a shingle, and percent of shingles that two documents share.
 WIDTH, PERCENT = 5, 80
@@ -26,19 +26,31 @@ PASSAGE = 200
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. A document without text is scored like any other."""
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).where("predicted = 1").select(docs.columns)
+    return scored(docs, model).where(F.col(private("predicted", docs)) == 1).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id. Of rows that repeat a doc_id one stays; rows without
-    doc_id all do."""
+    """Of each group of linked documents one stays: the one of the smallest doc_id; of several texts with the same words under
+    that doc_id the one of the smallest hash. Of rows that repeat doc_id and text the least one stays. Rows without doc_id all do, and
+    texts that are linked with nothing, though their doc_ids repeat."""
     classes = written(jaccard_classes(docs, WIDTH, PERCENT), "near")
-    gone = written(classes.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    left = docs.join(few(gone), "doc_id", "left_anti")
+    names = [private("doc_id_", docs), private("text_hash", docs)]
+    head = (F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("component_node"))
+    pairs = classes.where("doc_id is not null and n_shingles > 0")
+    gone = pairs.where(~head).select("doc_id", "text_hash")
     again = written(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.limit(1).count():
-        once = left.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(few(again), "doc_id", "left_anti").unionByName(once)
+    repeats = again.limit(1).count() > 0
+    if repeats:
+        heads = pairs.where(head).join(few(again), "doc_id", "left_semi")
+        least = heads.groupBy("doc_id", "node").agg(F.min("text_hash").alias("least"))
+        gone = gone.union(heads.join(least, ["doc_id", "node"]).where("text_hash <> least").select("doc_id", "text_hash"))
+    gone = written(gone.distinct().toDF(*names), "gone")
+    left = docs.withColumn(names[0], F.col("doc_id").cast("long")).withColumn(names[1], F.xxhash64("text")).join(few(gone), names, "left_anti")
+    if repeats:
+        several = few(again.toDF(names[0]))
+        row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+        once = left.join(several, names[0], "left_semi").groupBy(*names).agg(row).select("row.*")
+        return left.join(several, names[0], "left_anti").select(docs.columns).unionByName(once)
     return left.select(docs.columns)
 
 
@@ -65,5 +77,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        spent(before)
     return STAGES[-1][1](spark, docs, sf_dir)
