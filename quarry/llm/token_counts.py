@@ -28,44 +28,55 @@ from .runtime import by_bytes, table
 from .vocab import CACHE, WHITE, byte_encoder, ranges, ranks
 
 SPECIAL = "<|endoftext|>"
+#: Stands for the token before the first.
+START = (1 << 31) - 1
 
 
 class PrefixCounter:
     """Counts of tokens at every prefix, for the vocabulary of a rank file."""
 
     def __init__(self, name: str = "byte_bpe_50k.tiktoken"):
-        self.rank = ranks(name)
+        import ahocorasick
+
+        rank = ranks(name)
+        self.token = {i: t for t, i in rank.items()}
+        #: Finds the tokens that end at each byte, longest first.
+        self.ends = ahocorasick.Automaton()
+        for t, i in rank.items():
+            self.ends.add_word(t.decode("latin-1"), (len(t), i))
+        self.ends.make_automaton()
         self.merge = byte_encoder(name.removesuffix(".tiktoken")).fast._encode_single_piece
-        self.longest = max(map(len, self.rank))
         letters, numbers = ranges("L"), ranges("N")
         #: White space and the pre-token behind it. A contraction counts as one only where no blank stands before it.
         self.units = re.compile(f"([{WHITE}]*)((?<! )'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]+|[^{WHITE}{letters}{numbers}]+)|([{WHITE}]+)")
+        #: A blank beside other white space, or white space at the end.
+        self.wide = re.compile(r" \s|\s |\s\Z")
         self.pieces: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-
-    def fit(self, a: bytes, b: bytes) -> bool:
-        """Whether merging the joined bytes of two tokens gives the two again."""
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > CACHE:
-                self.fits.clear()
-            got = self.fits[a, b] = self.merge(a + b) == ([self.rank[a], self.rank[b]] if a else [self.rank[b]])
+        self.fits: dict[int, bool] = {}
+
+    def fit(self, a: int, b: int) -> bool:
+        """Whether merging the joined bytes of two tokens gives the two again (START: of the second alone)."""
+        if len(self.fits) > CACHE:
+            self.fits.clear()
+        got = self.fits[a << 32 | b] = self.merge(self.token[b]) == [b] if a == START else self.merge(self.token[a] + self.token[b]) == [a, b]
         return got
 
     def run(self, text: str) -> list[int]:
         """Counts at each character's end of one pre-token and its prefixes."""
-        raw = text.encode()
-        n, rank, fits, fit, longest = len(raw), self.rank, self.fits, self.fit, self.longest
-        last, count = [b""] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                if (t := raw[j:i]) in rank:
-                    ok = fits.get((last[j], t))
-                    if fit(last[j], t) if ok is None else ok:
-                        last[i], count[i] = t, count[j] + 1
-                        break
-        return count[1:] if n == len(text) else [count[i] for i in range(1, n + 1) if i == n or raw[i] & 0xC0 != 0x80]
+        raw = text if text.isascii() else text.encode().decode("latin-1")
+        known, fit = self.fits.get, self.fit
+        last, count, i = [START], [0], 0
+        # Every byte is a token, so all that ends before `end` is settled when its tokens come.
+        for end, (n, t) in self.ends.iter(raw):
+            if end == i:
+                a = last[i + 1 - n]
+                ok = known(a << 32 | t)
+                if fit(a, t) if ok is None else ok:
+                    last.append(t)
+                    count.append(count[i + 1 - n] + 1)
+                    i += 1
+        return count[1:] if text is raw else [c for c, x in zip(count[1:], [*raw[1:], "a"], strict=True) if not "\x80" <= x < "\xc0"]
 
     def unit(self, white: str, word: str, tail: str) -> bytes:
         """The steps of the counts over white space and the pre-token behind it."""
@@ -131,7 +142,7 @@ class PrefixCounter:
         try:
             steps = b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(parts) == 1 or any(len(p) < 2 or p[-1].isspace() or p[1].isspace() for p in parts[1:]) or (parts[0] and parts[0][-1].isspace()):
+            if len(parts) == 1 or self.wide.search(text):
                 parts = [p for p in re.split(r"(?<=\S)(?= \S)", text) if p]
             steps = b"".join([known.get(p) or piece(p) for p in parts if p])
         return np.cumsum(np.frombuffer(steps, dtype=np.int32), dtype=np.int32)
