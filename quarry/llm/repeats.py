@@ -9,11 +9,14 @@ group leave after each pass; the groups that are left after the last pass are ex
 2. Second digit: all bytes that the run's windows cover. Runs that are equal in it are repeated as a whole.
 3. Last digit, only for runs whose first digit but not second is shared: each suffix's whole window.
 
-Digits are grouped by 64-bit hashes. Each task groups its own rows before it sends them, so a window
+Bytes are compared by two hashes of different kinds: sums modulo 2**64, and sums modulo the prime 2**31 - 1 for two bases. The first digit
+is a hash of the first kind alone, as it only parts the work; runs are equal if first digit and second, which is made of both kinds, are
+(128 bits); windows of the last pass if both kinds are (126 bits). Each task groups its own rows before it sends them, so a window
 that a third of all documents hold is one row a task. Groups are read as sorted streams, one row ahead, so no group is held in memory.
 
 Cases: null texts are empty; texts shorter than DEPTH lose nothing; matches lie within documents, overlaps and repeats within one
-document count; rows that repeat a document are occurrences like others; null ids are kept; an empty table gives no rows.
+document count; rows that repeat a document are occurrences like others; null ids are kept; an empty table gives no rows; further columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import by_bytes, table, written
+from .runtime import by_bytes, private, spent, table, written
 from .words import BYTE, STEP, mixed
 
 DEPTH = 400
-PIECE = 1 << 20
-FLUSH = 1 << 19
+PIECE = 1 << 18
+FLUSH = 1 << 18
 #: Entries of lists that may be broadcast; beyond, joins shuffle.
 BROADCAST = 1_000_000
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -45,6 +48,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+PRIME = (1 << 31) - 1
+#: Random values for two sums modulo PRIME: of each byte, and the bases.
+FIELD = np.random.default_rng(20260114).integers(1, PRIME, (2, 257), dtype=np.uint64)
+
+
+@functools.lru_cache(1)
+def _field_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for base in FIELD[:, 256].tolist():
+        both = []
+        for g in (base, pow(base, -1, PRIME)):
+            x = np.ones(1, dtype=np.uint64)
+            while len(x) < n:
+                x = np.concatenate([x, x * np.uint64(pow(g, len(x), PRIME)) % np.uint64(PRIME)])
+            both.append(x[:n])
+        out.append(tuple(both))
+    return out
+
+
 class Hashes:
     """Hashes of any byte ranges of one piece of text, from sums over its prefixes."""
 
@@ -53,6 +75,11 @@ class Hashes:
         self.up, self.down = _powers(max(n, 2 * PIECE))
         self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(BYTE[raw] * self.up[: len(raw)], out=self.sums[1:])
+        self.field = []
+        for value, (up, down) in zip(FIELD, _field_powers(len(self.up)), strict=True):
+            x = value[raw] * up[: len(raw)]
+            x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))  # below 2**32, and their sums below 2**64
+            self.field.append((np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x)]), down))
 
     def every(self, n: int) -> np.ndarray:
         """Of all ranges of n bytes."""
@@ -63,6 +90,11 @@ class Hashes:
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * self.down[a]
 
+    def proof(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """62 bits of the other kind of hash."""
+        x, y = ((sums[b] - sums[a]) % np.uint64(PRIME) * down[a] % np.uint64(PRIME) for sums, down in self.field)
+        return x << np.uint64(31) | y
+
 
 def gram_of(depth: int) -> int:
     return depth * 16 // 25
@@ -101,7 +133,8 @@ def runs(raw: np.ndarray, begin: np.ndarray, depth: int):
     inside = begin[first] >= 0
     first, count = first[inside], count[inside]
     place = owner[first]
-    whole = mixed(h.of(first, first + count - 1 + depth) + mixed((place - first).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)))
+    end = first + count - 1 + depth
+    whole = mixed(h.of(first, end) + mixed(h.proof(first, end) ^ mixed((place - first).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64))))
     return first, count, digit[place], whole
 
 
@@ -114,6 +147,8 @@ def windows_in(lengths: np.ndarray, starts: np.ndarray, total: int, depth: int)
 
 
 RANGES = "key long, start long, stop long"
+WINDOWS = RANGES + ", hash long, proof long, weight int"
+_WINDOW = [x.split()[0] for x in WINDOWS.split(", ")]
 RUNS = "key long, start long, stop long, gram long, whole long, weight int, first long, count int"
 _RUN = [x.split()[0] for x in RUNS.split(", ")]
 
@@ -273,27 +308,27 @@ def _windows(depth: int):
         held, n = [], 0
 
         def flush():
-            key, at, h, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, at, h, proof, weight = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order, head, _ = _grouped(h)
+            order, head, _ = _grouped(h, proof)
             heads = np.flatnonzero(head)
             total = np.add.reduceat(weight[order].astype(np.int64), heads)
             known = order[np.repeat(total > 1, np.diff(np.append(heads, len(order))))]
             if len(known):
                 k, a, b = _joined(key[known], at[known], at[known] + depth)
-                yield _batch([k, a, b, pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int32())], ["key", "start", "stop", "hash", "weight"])
+                yield _batch([k, a, b, pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int32())], _WINDOW)
             sent, w = order[heads], np.minimum(total, 2).astype(np.int32)
             for i in range(0, len(sent), 50_000):
                 s = sent[i : i + 50_000]
-                yield _batch([key[s], at[s], pa.nulls(len(s), pa.int64()), h[s].view(np.int64), w[i : i + 50_000]], ["key", "start", "stop", "hash", "weight"])
+                yield _batch([key[s], at[s], pa.nulls(len(s), pa.int64()), h[s].view(np.int64), proof[s].view(np.int64), w[i : i + 50_000]], _WINDOW)
 
         for batch in batches:
             for b in by_bytes(batch, 1, PIECE):
                 for key, text, firsts, counts, weights in zip(*(c.to_pylist() for c in (b.column(0), b.column(1).cast(pa.binary()), *b.columns[2:])), strict=True):
                     raw = np.frombuffer(text or b"", dtype=np.uint8)
                     for first, count, weight in zip(firsts, counts, weights, strict=True):
-                        h = mixed(Hashes(raw[first : first + count - 1 + depth]).every(depth))
-                        held.append((np.full(count, key), np.arange(first, first + count), h, np.full(count, weight, dtype=np.int32)))
+                        hashes, at = Hashes(raw[first : first + count - 1 + depth]), np.arange(count)
+                        held.append((np.full(count, key), at + first, mixed(hashes.every(depth)), hashes.proof(at, at + depth), np.full(count, weight, dtype=np.int32)))
                         n += count
                     if n > FLUSH:
                         yield from flush()
@@ -305,15 +340,15 @@ def _windows(depth: int):
 
 
 def _equal_windows(depth: int):
-    """Windows sorted by hash: ranges of those in a group of two or more."""
+    """Windows sorted by their hashes: ranges of those in a group of two or more."""
 
     def run(batches):
         held: list[list] = []
 
         def settle():
-            key, at, h, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, at, h, proof, weight = (np.concatenate(x) for x in zip(*held, strict=True))
             new = np.ones(len(key), dtype=bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (proof[1:] != proof[:-1])
             heads = np.flatnonzero(new)
             known = np.repeat(np.add.reduceat(weight.astype(np.int64), heads) > 1, np.diff(np.append(heads, len(key))))
             k, a, b = _joined(key[known], at[known], at[known] + depth)
@@ -323,19 +358,19 @@ def _equal_windows(depth: int):
             c = [x.to_numpy() for x in batch.columns]
             if not len(c[0]):
                 continue
-            differ = c[2] != c[2][-1]
+            differ = (c[2] != c[2][-1]) | (c[3] != c[3][-1])
             cut = len(c[2]) - int(np.argmax(differ[::-1])) if differ.any() else 0
             if cut:
                 held.append([x[:cut] for x in c])
                 yield settle()
                 held = []
-            elif held and held[-1][2][-1] != c[2][0]:
+            elif held and (held[-1][2][-1] != c[2][0] or held[-1][3][-1] != c[3][0]):
                 yield settle()
                 held = []
             held.append([x[cut:] for x in c])
             if sum(len(x[0]) for x in held) > 4 * FLUSH:  # one window, very many times: it is known to repeat
                 yield settle()
-                held = [[x[:1] for x in held[0][:3]] + [np.array([2], dtype=np.int32)]]
+                held = [[x[:1] for x in held[0][:4]] + [np.array([2], dtype=np.int32)]]
         if held:
             yield settle()
 
@@ -383,20 +418,28 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     ranges = ["key", "start", "stop"]
     sent = first.where("gram is not null").select("key", "gram", "whole", "weight", "first", "count")
     second = written(sent.repartition("gram").sortWithinPartitions("gram", "whole").mapInArrow(_second_pass(depth), RUNS), "groups")
+    known = written(first.where("gram is null").select(ranges).union(second.where("gram is null").select(ranges)), "known")
+    spent(first)
     rest = second.where("gram is not null").groupBy("key").agg(F.collect_list("first").alias("firsts"), F.collect_list("count").alias("counts"), F.collect_list("weight").alias("weights"))
     rest = written(rest, "rest")
+    spent(second)
     third = texts.join(small(rest, F.size("firsts")), "key").select("key", "text", "firsts", "counts", "weights")
-    third = written(third.mapInArrow(_windows(depth), "key long, start long, stop long, hash long, weight int"), "windows")
-    last = third.where("hash is not null").select("key", "start", "hash", "weight").repartition("hash").sortWithinPartitions("hash").mapInArrow(_equal_windows(depth), RANGES)
-    every = first.where("gram is null").select(ranges).union(second.where("gram is null").select(ranges)).union(third.where("hash is null").select(ranges)).union(last)
-    return written(every.repartition("key").sortWithinPartitions("key", "start").mapInArrow(_merged, "key long, starts array<long>, stops array<long>"), "ranges")
+    third = written(third.mapInArrow(_windows(depth), WINDOWS), "windows")
+    spent(rest)
+    last = third.where("hash is not null").select("key", "start", "hash", "proof", "weight").repartition("hash").sortWithinPartitions("hash", "proof").mapInArrow(_equal_windows(depth), RANGES)
+    every = known.union(third.where("hash is null").select(ranges)).union(last)
+    out = written(every.repartition("key").sortWithinPartitions("key", "start").mapInArrow(_merged, "key long, starts array<long>, stops array<long>"), "ranges")
+    spent(known, third)
+    return out
 
 
-def with_ranges(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """docs with the columns starts and stops, which are null where nothing repeats."""
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = repeated_ranges(keyed.select("key", "text"), depth)
-    return keyed.join(small(found, F.size("starts")), "key", "left").drop("key")
+def with_ranges(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, and their names: starts and stops of the repeated ranges, null where nothing repeats."""
+    names = [private(c, docs) for c in ("key", "starts", "stops")]
+    row_key = F.xxhash64("doc_id", "text")
+    found = repeated_ranges(docs.select(row_key.alias("key"), "text"), depth)
+    found = small(found, F.size("starts")).toDF(*names)
+    return docs.withColumn(names[0], row_key).join(found, names[0], "left").drop(names[0]), *names[1:]
 
 
 def _kept(raw: bytes, starts, stops) -> bytes:
@@ -407,40 +450,43 @@ def _kept(raw: bytes, starts, stops) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def kept_text(raw: bytes | None, starts, stops) -> str | None:
+    """What is left of a text. A character that is cut in two is kept whole."""
+    if raw is None:
+        return None
+    cut = []
+    for a, b in zip(starts or (), stops or (), strict=True):
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            cut.append((a, b))
+    return _kept(raw, [a for a, _ in cut], [b for _, b in cut]).decode()
+
+
 def deduplicated(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs without their repeated bytes, all columns as they were. A character that is cut in two is kept whole."""
-    d = with_ranges(docs, depth)
-    at = d.columns.index("text")
-
-    def whole(raw: bytes, starts, stops):
-        for a, b in zip(starts or (), stops or (), strict=True):
-            while a < b and raw[a] & 0xC0 == 0x80:
-                a += 1
-            while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
-                b -= 1
-            if a < b:
-                yield a, b
+    d, starts, stops = with_ranges(docs, depth)
+    d = d.select(*[f"`{c}`" for c in docs.columns], starts, stops)
+    at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
         for batch in batches:
             for b in by_bytes(batch, at, 4 << 20):
-                texts = []
-                for raw, s, e in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), b.column("stops").to_pylist(), strict=True):
-                    if not s:
-                        texts.append(None if raw is None else raw.decode())
-                        continue
-                    cut = list(whole(raw, s, e))
-                    texts.append(_kept(raw, [x for x, _ in cut], [x for _, x in cut]).decode())
-                columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
-                yield pa.RecordBatch.from_arrays([c for c, n in zip(columns, b.schema.names, strict=True) if n not in ("starts", "stops")], names=[n for n in b.schema.names if n not in ("starts", "stops")])
+                texts = [kept_text(*x) for x in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(n)], names=b.schema.names[:n])
 
     return d.mapInArrow(run, docs.schema)
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+
 
+def digests(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Per document what was removed; the hash is that of the bytes that are left, text is them as characters, those cut in two kept whole."""
+    d, starts, stops = with_ranges(docs.select("doc_id", "text"), depth)
 
-def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for b in by_bytes(batch, 1, 4 << 20):
@@ -448,12 +494,12 @@ def digests(docs: DataFrame) -> DataFrame:
                 for doc, raw, s, e in zip(*(c.to_pylist() for c in (b.column(0), b.column(1).cast(pa.binary()), b.column(2), b.column(3))), strict=True):
                     raw = raw or b""
                     kept = _kept(raw, s, e)
-                    rows.append((doc, len(raw), len(raw) - len(kept), len(s or ()), hashlib.sha256(kept).hexdigest()))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                    rows.append((doc, len(raw), len(raw) - len(kept), len(s or ()), hashlib.sha256(kept).hexdigest(), kept_text(raw, s, e)))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return docs.select("doc_id", "text", "starts", "stops").mapInArrow(run, DIGEST)
+    return d.select("doc_id", "text", starts, stops).mapInArrow(run, DIGEST)
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
-    return digests(with_ranges(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    return digests(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

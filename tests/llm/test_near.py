@@ -162,10 +162,38 @@ def repeating(seed):
 def test_repeats(spark, depth):
     docs = repeating(depth)
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, key int").repartition(3)
-    got = sorted([tuple(r) for r in repeats.digests(repeats.with_ranges(d.select("doc_id", "text"), depth)).collect()], key=repr)
+    got = sorted([tuple(r)[:5] for r in repeats.digests(d, depth).collect()], key=repr)
     assert got == brute_repeats(docs, depth)
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert repeats.digests(repeats.with_ranges(empty, depth)).count() == 0
+    assert repeats.digests(empty, depth).count() == 0
+
+
+def test_repeats_query(spark, sf):
+    """The registered query at its own depth, on a whole table."""
+    from quarry.llm import registry
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = registry.QUERIES["op7_repeats"](spark, sf).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=repr) == brute_repeats(docs, 400)
+    texts = dict(docs)
+    assert all(r["text"] == texts[r["doc_id"]] for r in got if r["n_removed"] == 0) and any(r["n_removed"] for r in got)
+
+
+def test_jaccard_query(spark, sf):
+    from quarry.llm import registry
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted([tuple(r) for r in registry.QUERIES["op1_jaccard_join"](spark, sf).collect()], key=repr) == brute(docs, 4, 85)
+
+
+def test_hashes_of_ranges():
+    r = np.random.default_rng(2)
+    raw = r.integers(97, 99, 300).astype(np.uint8)
+    h, a = repeats.Hashes(raw), np.arange(296)
+    seen = {}
+    for i, p in enumerate(zip(h.proof(a, a + 4).tolist(), h.of(a, a + 4).tolist(), strict=True)):
+        assert seen.setdefault(raw[i : i + 4].tobytes(), p) == p
+    assert len(set(seen.values())) == len(seen) == 16
 
 
 def drive(function, table, width):
@@ -193,8 +221,8 @@ def test_repeats_in_small_pieces(monkeypatch, flush, piece):
     texts_of = dict(docs)
     third_in = pa.table({"key": pa.array(lists.index, pa.int64()), "text": [texts_of[k] for k in lists.index], "firsts": [[int(x) for x in v] for v in lists["first"]], "counts": [[int(x) for x in v] for v in lists["count"]], "weights": [[int(x) for x in v] for v in lists["weight"]]})
     third = drive(repeats._windows(depth), third_in, 3).to_pandas()
-    hashed = third[third.hash.notna()].astype({"hash": "int64", "weight": "int32"}).sort_values("hash")
-    fourth = drive(repeats._equal_windows(depth), pa.Table.from_pandas(hashed[["key", "start", "hash", "weight"]], preserve_index=False), 11).to_pandas()
+    hashed = third[third.hash.notna()].astype({"hash": "int64", "proof": "int64", "weight": "int32"}).sort_values(["hash", "proof"])
+    fourth = drive(repeats._equal_windows(depth), pa.Table.from_pandas(hashed[["key", "start", "hash", "proof", "weight"]], preserve_index=False), 11).to_pandas()
     gone = {i: np.zeros(len(t.encode()), dtype=bool) for i, t in docs}
     for part in (first[first.gram.isna()], second[second.gram.isna()], third[third.hash.isna()], fourth):
         for r in part.itertuples():
@@ -203,8 +231,8 @@ def test_repeats_in_small_pieces(monkeypatch, flush, piece):
 
 
 def test_deduplicated_keeps_characters_whole(spark):
-    d = spark.createDataFrame([(1, "xé" + "a" * 30, "m"), (2, "yé" + "a" * 30, "n"), (3, None, "o")], "doc_id long, text string, starts string").withColumnRenamed("starts", "extra")
-    got = {r["doc_id"]: (r["text"], r["extra"]) for r in repeats.deduplicated(d, 31).collect()}
+    d = spark.createDataFrame([(1, "xé" + "a" * 30, "m"), (2, "yé" + "a" * 30, "n"), (3, None, "o")], "doc_id long, text string, starts string").selectExpr("*", "1 as key", "2 as stops")
+    got = {r["doc_id"]: (r["text"], r["starts"]) for r in repeats.deduplicated(d, 31).collect()}
     assert got[3] == (None, "o") and got[1][0] in ("x", "xé") and got[1][0].isprintable()
 
 
