@@ -5,8 +5,12 @@ validator, which checks structure and lengths and gives the extent of the file;
 nothing. A valid hit at 0 that spans the value names its true type, which corrects a declared one; valid
 hits further in are embedded media, which can be carved out.
 
-store() keeps byte payloads as lossless media: 8-bit mono PCM in a WAVE file, one sample a byte. restore() sniffs the
-stored bytes and takes the payload from the validated data chunk.
+store() keeps byte payloads as lossless media: 8-bit mono PCM in a WAVE file, one sample a byte, in a column with the type that the
+payload is declared as. restore() sniffs the stored bytes, corrects that type, takes the payload from the validated data chunk and carves
+the media that lie in it. The query writes the media table to the shared folder and reads it again.
+
+A PDF may hold several %%EOF (updates, linearized files): it ends with the last one that a startxref with its number precedes before the next
+header, and the line end behind it.
 
 Cases: null content gives null type and no embedded media, as an empty one does; equal contents give equal
 results; an empty table gives no rows; further columns are not read.
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import by_bytes, table
+from .runtime import by_bytes, table, written
 
 RATE = 8000
 
@@ -100,11 +104,19 @@ def _jpeg(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b".") or end < 0:
+    if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return 0
-    start = b.rfind(b"startxref", at, end)
-    return end + 5 if start > 0 and b[start + 9 : end].strip().isdigit() else 0
+    stop = b.find(b"%PDF-", at + 5)
+    stop, out, end = len(b) if stop < 0 else stop, 0, b.find(b"%%EOF", at)
+    while 0 <= end < stop:
+        start = b.rfind(b"startxref", at, end)
+        if start > 0 and b[start + 9 : end].strip().isdigit():
+            out = end + 5
+        end = b.find(b"%%EOF", end + 5)
+    for line_end in (b"\r\n", b"\n", b"\r"):
+        if out and b[out : out + len(line_end)] == line_end:
+            return out + len(line_end)
+    return out
 
 
 def _zip(b: bytes, at: int) -> int:
@@ -239,41 +251,50 @@ def samples_of(media: bytes) -> bytes:
     return media[p + 8 : p + 8 + int.from_bytes(media[p + 4 : p + 8], "little")]
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, content: each text's UTF-8 bytes, zero-filled to a positive multiple of 64, as a WAVE file."""
+STORED = "doc_id long, n_bytes long, declared string, content binary"
+
+
+def store(docs: DataFrame, declared: str = "text/plain") -> DataFrame:
+    """STORED: each text's UTF-8 bytes, zero-filled to a positive multiple of 64, as a WAVE file."""
 
     def run(batches):
         for batch in batches:
             for b in by_bytes(batch, 1, 4 << 20):
                 raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
                 media = [wave_of(x + b"\0" * (-len(x) % 64 or 64 * (not x))) for x in raw]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "content"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([declared] * len(raw), pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "content"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, content binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STORED)
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+CARVED = pa.list_(pa.struct([("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
+FEATURES = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    "declared string, kind string, corrected boolean, carved array<struct<kind:string,offset:long,length:long,sha256:string>>"
+)
 
 
 def restore(media: DataFrame) -> DataFrame:
-    """Reads stored media back: digests of payload and stored form, and the sniffed feature: type, rate, embedded media by kind."""
+    """Reads stored media back: digests of payload and stored form; the sniffed feature (type, rate, embedded media by kind); the declared type,
+    the true one and whether they differ; and the media that are carved from the payload, with their digests."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), CARVED]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "kind", "corrected", "carved"]
 
-    def one(doc, n, m):
+    def one(doc, n, declared, m):
         payload = samples_of(m)
         kind, embedded = sniff_bytes(m)
         feature = f"{kind};pcm8;rate={RATE};samples={len(payload)};embedded=" + ",".join(f"{k}:{c}" for k, c in sorted(Counter(e[0] for e in embedded).items()))
-        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature
+        carved = [{"kind": k, "offset": o, "length": z, "sha256": hashlib.sha256(m[o : o + z]).hexdigest()} for k, o, z in embedded]
+        return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, declared, kind, declared is not None and kind != declared, carved
 
     def run(batches):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = [x.split()[0] for x in FEATURES.split(", ")]
         for batch in batches:
-            for b in by_bytes(batch, 2, 4 << 20):
+            for b in by_bytes(batch, 3, 4 << 20):
                 rows = [one(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return media.select("doc_id", "n_bytes", "content").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "n_bytes", "declared", "content").mapInArrow(run, FEATURES)
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    return restore(store(table(spark, sf_dir, "documents")))
+    return restore(written(store(table(spark, sf_dir, "documents")), "media"))

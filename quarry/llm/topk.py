@@ -6,7 +6,8 @@ scored through their forward indexes until that sum falls below the k-th score s
 is still scored, as ties go to the smaller id.
 
 GROUP blocks form a group, QUERIES queries a query block; one task holds one group and streams query blocks past it, so memory is
-bounded whatever the size. Each query block visits one group first, and the k-th score there prunes blocks in all others.
+bounded whatever the size. Each query block visits one group first. With the k-th scores from there it visits the bounds of all groups (the
+maxima and minima of their terms, a small table in chunks of CHUNK groups), and of a query only the groups that it can still enter get a copy.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without id; shorter vectors count as
 filled with zeros; repeated ids are never each other's candidates; an empty table gives no rows; further columns are not read.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .runtime import table, written
 
-BLOCK, GROUP, QUERIES = 256, 64, 512
+BLOCK, GROUP, QUERIES, CHUNK = 256, 64, 512, 2048
+BOUNDS = "g long, dims long, high binary, low binary"
 ROWS = "part long, block long, n long, dims long, ids binary, weights binary"
 SEEN = "g long, kind int, block long, n long, dims long, ids binary, weights binary, floor binary"
 
@@ -33,6 +35,13 @@ def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return x.select("vec_id", F.transform("e", lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
+def packed(w: np.ndarray) -> bytes:
+    """A matrix of integers, in as few bytes a weight as they need."""
+    low, high = (int(w.min()), int(w.max())) if w.size else (0, 0)
+    kind = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return w.astype(kind).tobytes()
+
+
 def blocks(x: DataFrame, size: int, name: str) -> DataFrame:
     """Rows of up to size vectors, consecutive in id within their part."""
 
@@ -47,7 +56,7 @@ def blocks(x: DataFrame, size: int, name: str) -> DataFrame:
             w = np.zeros((len(rows), dims), dtype="<i8")
             for i, r in enumerate(rows):
                 w[i, : len(r)] = r
-            out = [part, count, len(rows), dims, np.array(ids, dtype="<i8").tobytes(), w.tobytes()]
+            out = [part, count, len(rows), dims, np.array(ids, dtype="<i8").tobytes(), packed(w)]
             count += 1
             ids.clear(), rows.clear()
             types = (*[pa.int64()] * 4, pa.binary(), pa.binary())
@@ -66,7 +75,12 @@ def blocks(x: DataFrame, size: int, name: str) -> DataFrame:
 
 
 def _matrix(n, dims, raw):
-    return np.frombuffer(raw, dtype="<i8").reshape(n, dims)
+    return np.frombuffer(raw, dtype=f"<i{len(raw) // (n * dims)}" if n * dims else "<i8").reshape(n, dims).astype("<i8")
+
+
+def _fit(a: np.ndarray, dims: int) -> np.ndarray:
+    """Filled with zeros to so many terms."""
+    return a if a.shape[-1] == dims else np.concatenate([a, np.zeros((*a.shape[:-1], dims - a.shape[-1]), dtype=a.dtype)], axis=-1)
 
 
 def _exact(*arrays: np.ndarray) -> type:
@@ -91,8 +105,7 @@ class Group:
         self.low.append(w.min(axis=0))
 
     def fitted(self, dims: int):
-        fit = lambda a: a if a.shape[-1] == dims else np.concatenate([a, np.zeros((*a.shape[:-1], dims - a.shape[-1]), dtype=a.dtype)], axis=-1)
-        return [fit(r) for r in self.rows], np.array([fit(a) for a in self.high]), np.array([fit(a) for a in self.low])
+        return [_fit(r, dims) for r in self.rows], np.array([_fit(a, dims) for a in self.high]), np.array([_fit(a, dims) for a in self.low])
 
     def search(self, query_ids, queries, floors, k):
         """For each query its k best rows here as (query, ids, scores), leaving out those below the query's floor."""
@@ -147,6 +160,53 @@ def _visit(k: int, seed: bool):
     return run
 
 
+def _bounds(batches):
+    """Of each group, given by its blocks in any order within one task, the maxima and minima of its terms."""
+    found: dict[int, tuple] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            w = _matrix(r["n"], r["dims"], r["weights"])
+            high, low = w.max(axis=0), w.min(axis=0)
+            if r["g"] in found:
+                h, m = found[r["g"]]
+                dims = max(len(h), len(high))
+                high, low = np.maximum(_fit(h, dims), _fit(high, dims)), np.minimum(_fit(m, dims), _fit(low, dims))
+            found[r["g"]] = high, low
+    # A row shorter than its group's widest counts as filled with zeros.
+    rows = [(g, len(h), h.astype("<i8").tobytes(), m.astype("<i8").tobytes()) for g, (h, m) in found.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["g", "dims", "high", "low"])
+
+
+def _entered(batches):
+    """Rows sorted by chunk and kind: groups' bounds (kind 0; high in ids, low in weights), then query blocks. Gives for each group the queries
+    that may still find something there."""
+    names = [x.split()[0] for x in SEEN.split(", ")]
+    at, groups, high, low = None, [], [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["chunk"] != at:
+                at, groups, high, low = r["chunk"], [], [], []
+            if r["kind"] == 0:
+                groups.append(r["g"])
+                high.append(np.frombuffer(r["ids"], dtype="<i8"))
+                low.append(np.frombuffer(r["weights"], dtype="<i8"))
+                continue
+            q = _matrix(r["n"], r["dims"], r["weights"])
+            dims = max([q.shape[1], *map(len, high)])
+            up, down, wide = np.array([_fit(h, dims) for h in high]), np.array([_fit(m, dims) for m in low]), _fit(q, dims)
+            kind = _exact(wide, np.maximum(np.abs(up), np.abs(down)))
+            wide, up, down = wide.astype(kind), up.astype(kind), down.astype(kind)
+            floors = np.frombuffer(r["floor"], dtype="<i8")
+            bounds = np.maximum(wide, 0) @ up.T + np.minimum(wide, 0) @ down.T
+            ids = np.frombuffer(r["ids"], dtype="<i8")
+            for j, g in enumerate(groups):
+                go = bounds[:, j] >= floors
+                if go.any():
+                    row = (g, 1, r["block"], int(go.sum()), r["dims"], ids[go].tobytes(), packed(q[go]), floors[go].tobytes())
+                    types = (pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 3)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+
+
 def top_k(vectors: DataFrame, query_rows: str = "vec_id % 100 = 0", k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score."""
     x = quantized(vectors, scale)
@@ -164,7 +224,12 @@ def top_k(vectors: DataFrame, query_rows: str = "vec_id % 100 = 0", k: int = 10,
 
     first = queries.select(F.pmod(F.hash("part", "block"), F.lit(groups)).cast("long").alias("g"), "block", "n", "dims", "ids", "weights", none)
     seeded = written(visits(first, True, "block long, n long, dims long, ids binary, weights binary, floor binary"), "seeded")
-    found = visits(seeded.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), False, "query_id long, vec_id long, score long")
+    bounds = docs.select("g", "n", "dims", "weights").repartition("g").mapInArrow(_bounds, BOUNDS)
+    chunks = -(-groups // CHUNK)
+    bounds = bounds.select(F.floor(F.col("g") / CHUNK).cast("long").alias("chunk"), "g", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("n"), "dims", F.col("high").alias("ids"), F.col("low").alias("weights"), none)
+    sent = seeded.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).select("chunk", F.lit(-1).cast("long").alias("g"), F.lit(1).alias("kind"), "block", "n", "dims", "ids", "weights", "floor")
+    entered = bounds.unionByName(sent).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_entered, SEEN)
+    found = visits(written(entered, "entered"), False, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -102,10 +102,22 @@ def test_sniff_and_carve(spark):
     assert media.sniff(d.where("false")).count() == 0
 
 
-def test_media_query(spark):
-    texts = [None, "", "a", "x" * 64, "é" * 33, "RIFF" + "y" * 100000]
-    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, content int")
-    for r in media.restore(media.store(d)).collect():
+def test_pdf_with_updates():
+    one = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF\n"
+    two = one + b"2 0 obj\nendobj\nstartxref\n40\n%%EOF\r\n"
+    assert media.sniff_bytes(one) == ("application/pdf", []) and media.sniff_bytes(two) == ("application/pdf", [])
+    assert media.sniff_bytes(b"ab" + two + one + b"%%EOF") == (None, [("application/pdf", 2, len(two)), ("application/pdf", 2 + len(two), len(one))])
+
+
+def test_media_query(spark, tmp_path):
+    pdf = SAMPLES["application/pdf"].decode()
+    texts = [None, "", "a", "x" * 64, "é" * 33, "RIFF" + "y" * 100000, "é " + pdf + " and so on", "x" * 3_000_000]
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, content int").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.QUERIES["op9_media"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["declared"], r["kind"], r["corrected"]) == ("text/plain", "audio/wav", True)
+        assert [(c["kind"], c["length"], c["sha256"]) for c in r["carved"]] == [("application/pdf", len(pdf), hashlib.sha256(pdf.encode()).hexdigest())] * (r["doc_id"] == 6)
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         m = media.wave_of(payload)
@@ -117,7 +129,10 @@ def test_media_query(spark):
 # --- top-k ---
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("block", "group", "queries", "chunk"), [(256, 64, 512, 2048), (16, 2, 3, 4)])
+def test_top_k(spark, monkeypatch, block, group, queries, chunk):
+    for name, value in (("BLOCK", block), ("GROUP", group), ("QUERIES", queries), ("CHUNK", chunk)):
+        monkeypatch.setattr(topk, name, value)
     r = np.random.default_rng(4)
     v = r.normal(size=(700, 8)).astype(np.float32)
     v[5:60] = v[5]
