@@ -15,7 +15,7 @@ within their first x - o + l and y - o + l. Several orders are used, and a candi
    (1 - T) / (1 + T) * (x + y) of that; so u and v share (|u| + |v| - that) / 2 elements or more, which is one at least unless
    both are linked to the pivot. Prefixes of the differences under two orders, rarest first among those of the same pivot
    and by hash, have to meet. What near copies have in common is thereby gone, and only what sets them apart is compared. Their
-   lists are split in the same way while they have more than FEW members of different components, LEVELS times.
+   lists are split in the same way where they have more than FEW * MORE members of different components, LEVELS times in all.
 
 Candidates are verified on whole sets. First come star rounds: the list of each shingle has one pivot, which is tried against the
 others (first the one with fewest shingles of its own), and what is connected then needs no further test. Then the lists that
@@ -47,7 +47,9 @@ BINS = 128
 BROADCAST = 1_000_000
 #: Members of a list whose pairs may be tried one by one; longer lists are split by the differences from a pivot. Lists of differences
 #: overlap more, and few of their pairs pass, so MORE times as many members are allowed there.
-FEW, MORE, LEVELS = 64, 16, 4
+FEW, MORE, LEVELS = 64, 16, 2
+#: Elements of a difference that its rows in lists carry along; pairs of larger ones are verified on whole sets.
+CARRIED = 256
 #: Bytes of shingles of a bucket that one task counts; larger buckets are salted.
 HOT = 1 << 24
 FLUSH = 1 << 20
@@ -309,11 +311,14 @@ def may_link(a: list[Column], b: list[Column], percent: int) -> Column:
 
 
 def may_differ(a: list[Column], b: list[Column], percent: int) -> Column:
-    """Whether two nodes, given by their differences from one pivot as [n, d, shared, second], may reach the threshold: the
-    differences can share enough, and their prefixes under the second order meet."""
-    (n, d, shared, second), (m, e, shared_m, second_m) = a, b
+    """Whether two nodes, given by their differences from one pivot as [n, d, shared, second, every], reach the threshold, as far as that can be
+    told: the differences can share enough, their prefixes under the second order meet, and what they share is enough."""
+    (n, d, shared, second, every), (m, e, shared_m, second_m, every_m) = a, b
     apart = F.floor((n + m) * (100 - percent) / (100 + percent))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (2 * F.least(shared, shared_m) + apart >= d + e) & F.arrays_overlap(second, second_m)
+    sizes = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (2 * F.least(shared, shared_m) + apart >= d + e)
+    meet = F.coalesce(F.arrays_overlap(second, second_m), F.lit(True))
+    enough = F.when(every.isNull() | every_m.isNull(), True).otherwise(2 * F.size(F.array_intersect(every, every_m)) + apart >= d + e)
+    return sizes & meet & enough
 
 
 def open_pairs(here: DataFrame, info: list[str], allowed) -> DataFrame:
@@ -372,9 +377,9 @@ def _differences(buckets: int):
 
 
 def _two_prefixes(batches):
-    """Of each key's shared tokens, sorted by key: how many there are, and the prefixes under two orders, rarest first and by hash; nothing of
-    keys that share too few."""
-    names = ["key", "shared", "tokens", "second"]
+    """Of each key's shared tokens, sorted by key: how many there are, the prefixes under two orders, rarest first and by hash, and all of
+    them (the latter two null beyond CARRIED); nothing of keys that share too few."""
+    names = ["key", "shared", "tokens", "second", "every"]
     held: list[tuple] = []
 
     def out(columns):
@@ -388,8 +393,8 @@ def _two_prefixes(batches):
         take = shared - need[by_df][heads] + 1
         rows = [(h, s, k) for h, s, k in zip(heads.tolist(), shared.tolist(), take.tolist(), strict=True) if k > 0]
         t, u, v = token[by_df], token[by_hash], key[by_df]
-        lists = lambda x: pa.array([x[h : h + k] for h, _, k in rows], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([v[h] for h, _, _ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.int64()), lists(t), lists(u)], names=names)
+        lists = [[t[h : h + k] for h, _, k in rows], [u[h : h + k] if k <= CARRIED else None for h, _, k in rows], [u[h : h + s] if s <= CARRIED else None for h, s, _ in rows]]
+        return pa.RecordBatch.from_arrays([pa.array([v[h] for h, _, _ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=names)
 
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
@@ -408,13 +413,13 @@ def _two_prefixes(batches):
 
 
 def difference_lists(differences: DataFrame, buckets: int) -> DataFrame:
-    """Lists (token, node, n, d, shared, second) of the differences from each pivot."""
+    """Lists (token, node, n, d, shared, second, every) of the differences from each pivot."""
     d = differences.withColumn("key", F.xxhash64("a", "b"))
     blocks = written(d.select("key", "need", "tokens").mapInArrow(_differences(buckets), BLOCKS), "differences")
-    rows = shared_entries(blocks).repartition("node").sortWithinPartitions("node").mapInArrow(_two_prefixes, "key long, shared long, tokens array<long>, second array<long>")
+    rows = shared_entries(blocks).repartition("node").sortWithinPartitions("node").mapInArrow(_two_prefixes, "key long, shared long, tokens array<long>, second array<long>, every array<long>")
     rows = written(rows, "prefixes")
     spent(blocks)
-    lists = rows.join(d.select("key", F.col("b").alias("node"), "n", "d"), "key").select(F.explode("tokens").alias("token"), "node", "n", "d", "shared", "second")
+    lists = rows.join(d.select("key", F.col("b").alias("node"), "n", "d"), "key").select(F.explode("tokens").alias("token"), "node", "n", "d", "shared", "second", "every")
     out = written(lists, "lists")
     spent(rows)
     return out
@@ -466,16 +471,17 @@ class Search:
         spent(pairs)
         return out
 
-    def level(self, lists: DataFrame, info: list[str], allowed, few: int | None) -> DataFrame | None:
+    def level(self, lists: DataFrame, info: list[str], allowed, rank: list[Column], few: int | None) -> DataFrame | None:
         """Tries the pairs of all lists with few members (of all lists, where few is None). Of longer lists gives the
-        differences from their pivots, if there are any."""
+        differences from their pivots (the members of the least rank), if there are any."""
         here = written(self.rooted(lists), "here")
-        split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"))).alias("p")).where("lo <> hi")
+        split = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min(F.struct(*[c.alias(f"rank{i}") for i, c in enumerate(rank)], F.xxhash64("node").alias("h"), F.col("node").alias("a"))).alias("p")).where("lo <> hi")
         split = written(split.select("token", "k", "p.a"), "split")
         short = split if few is None else split.where(F.col("k") <= few)
-        pairs = written(open_pairs(here.join(short.select("token"), "token"), info, allowed), "open")
-        kept = written(within_histograms(pairs, self.sets, self.percent), "candidates")
-        spent(pairs)
+        kept = written(open_pairs(here.join(short.select("token"), "token"), info, allowed), "open")
+        if "every" not in info:
+            pairs, kept = kept, written(within_histograms(kept, self.sets, self.percent), "candidates")
+            spent(pairs)
         if kept.limit(1).count():
             self.found(verified(kept, self.sets, self.percent))
         spent(kept)
@@ -515,19 +521,21 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
     while turn < stars and search.star(lists, turn):
         turn += 1
     info, allowed = ["n", "most", "shared"], lambda a, b: may_link(a, b, percent)
+    rank = [F.col("n") - F.col("most"), F.col("n") - F.col("shared")]  # a member with little of its own, so that the differences are small
     for level in range(levels + 1):
-        differences = search.level(lists, info, allowed, (few * MORE if level else few) if level < levels else None)
+        differences = search.level(lists, info, allowed, rank, (few * MORE if level else few) if level < levels else None)
         spent(lists)
         if differences is None:
             break
         lists = difference_lists(differences, buckets)
-        info, allowed = ["n", "d", "shared", "second"], lambda a, b: may_differ(a, b, percent)
+        info, allowed = ["n", "d", "shared", "second", "every"], lambda a, b: may_differ(a, b, percent)
+        rank = [F.col("d") - F.col("shared"), F.col("d")]
     spent(sets, want)
     cid = names.select("node", F.col("least").alias("cid"), F.col("node").alias("root"))
     if search.roots is not None:
         found = names.join(search.roots.withColumnRenamed("cid", "first"), "node", "left")
         cid = found.select("node", F.coalesce("first", "least").alias("cid"), F.coalesce("root", "node").alias("root"))
-    out = members.join(cid, "node", "left")
+    out = members.join(written(cid, "classes"), "node", "left")  # a table, so that the rows of a node of very many copies can be split
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("cid")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash", "node", F.col("root").alias("component_node"))
 

@@ -72,6 +72,7 @@ def test_jaccard_classes(spark, monkeypatch, width, percent, stars, few, levels,
     docs = corpus()
     monkeypatch.setattr(jaccard.shared_entries, "__defaults__", (hot,))
     monkeypatch.setattr(jaccard, "MORE", 1 if few < 64 else 16)
+    monkeypatch.setattr(jaccard, "CARRIED", 12 if few == 2 else 256)
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, node int").repartition(4)
     got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(d, width, percent, stars, few, levels).collect()], key=repr)
     assert got == brute(docs, width, percent)
