@@ -34,6 +34,12 @@ def indexing_stats(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count("*").alias("total"), n("new").alias("added"), n("updated").alias("updated"), n("unchanged").alias("skipped"), n("deleted").alias("deleted"))
 
 
+def merged(old: DataFrame, fresh: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """K1 to K5: the rows of old without those of the keys in gone or fresh, and those of fresh. Rows that stay are taken as they are."""
+    out = gone.select(key).union(fresh.select(key)).distinct()
+    return old.join(out, key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
 def manifest(rows: DataFrame, path: Column | str, content: Column | str) -> DataFrame:
     """path, sha256"""
     return rows.select((F.col(path) if isinstance(path, str) else path).alias("path"), F.sha2(F.col(content) if isinstance(content, str) else content, 256).alias("sha256"))
@@ -77,11 +83,12 @@ def ordered_digest(df: DataFrame, key: str, *columns: str) -> str:
 
 
 def gates(staged: DataFrame, baseline: int, sane_hits: DataFrame, needed: int = 4) -> DataFrame:
-    """K9: one row: rows, hits, enough_rows (nine tenths of the baseline), enough_hits, passed. sane_hits: query_id, hits."""
+    """K9: one row: rows, hits, enough_rows (nine tenths of the baseline), enough_hits, passed. sane_hits: query_id, hits. Against an empty
+    baseline every build passes, an empty one too."""
     n = staged.agg(F.count("*").alias("n_rows"))
     h = sane_hits.agg(F.count_if(F.col("hits") > 0).alias("n_hits"))
     g = n.crossJoin(h).withColumn("enough_rows", F.col("n_rows") >= 0.9 * baseline).withColumn("enough_hits", F.col("n_hits") >= needed)  # one row each
-    return g.withColumn("passed", F.col("enough_rows") & F.col("enough_hits"))
+    return g.withColumn("passed", F.lit(baseline == 0) | F.col("enough_rows") & F.col("enough_hits"))
 
 
 def category_counts(docs: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def diversified(hits: DataFrame, k: int, weight: float = 0.7, key: str = "chunk_
             for i in free:
                 if new and sets[i]:
                     closest[i] = max(closest[i], len(new & sets[i]) / len(new | sets[i]))
-            best = max(free, key=lambda i: (weight * relevance[i] - (1 - weight) * closest[i], -i))
+            best = max(free, key=lambda i: (round(weight * relevance[i] - (1 - weight) * closest[i], 12), -i))
             taken.append(best)
             free.remove(best)
         return f.iloc[taken].assign(mmr_rank=range(1, len(taken) + 1))
@@ -277,10 +277,10 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, most: int = 4_000_000) ->
     return held.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def dispatched(queries: DataFrame, hit_counts: DataFrame, min_hits: int = 3) -> DataFrame:
+def dispatched(queries: DataFrame, hit_counts: DataFrame, min_hits: int = 3, patterns=tuple(tx.LEXICAL_PATTERNS)) -> DataFrame:
     """query_id, method, route. auto goes lexical for lexical queries with enough hits; fts5 with any; all else is hybrid."""
     q = queries.join(hit_counts, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    lexical = (F.col("method") == "auto") & (tx.route("query_text") == "lexical") & (F.col("hits") >= min_hits) | (F.col("method") == "fts5") & (F.col("hits") > 0)
+    lexical = (F.col("method") == "auto") & (tx.route("query_text", patterns) == "lexical") & (F.col("hits") >= min_hits) | (F.col("method") == "fts5") & (F.col("hits") > 0)
     return q.select("query_id", "method", "hits", F.when(lexical, "lexical").otherwise("hybrid").alias("route"))
 
 

@@ -86,14 +86,14 @@ def dtok(c: str) -> str:
 PATH = "source || '/' || lang || '/doc' || doc_id || '.md'"
 CAT = f"""case when contains(lower({PATH}), 'src1/en') then 'delta' when contains(lower({PATH}), 'src10') then 'beta' when contains(lower({PATH}), 'src2/') then 'gamma' when contains(lower({PATH}), 'src1') then 'alpha' else 'general' end"""
 INDEX = f"""
-toks as (select doc_id, {dtok("text")} as t from documents),
+toks as materialized (select doc_id, {dtok("text")} as t from documents),
 p as (select doc_id, len(t) as dl, unnest(t) as term from toks),
-post as (select doc_id, term, count(*) as tf, max(dl) as dl from p group by all),
-st as (select count(*) as n, avg(len(t)) as avgdl from toks),
-nd as (select term, count(*) as df from post group by term),
-raw as (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as v from nd, st),
-eps as (select 0.25 * avg(v) as e from raw),
-idf as (select term, df, case when v < 0 then e else v end as idf from raw, eps)"""
+post as materialized (select doc_id, term, count(*) as tf, max(dl) as dl from p group by all),
+st as materialized (select count(*) as n, avg(len(t)) as avgdl from toks),
+nd as materialized (select term, count(*) as df from post group by term),
+raw as materialized (select term, df, ln(n - df + 0.5) - ln(df + 0.5) as v from nd, st),
+eps as materialized (select 0.25 * avg(v) as e from raw),
+idf as materialized (select term, df, case when v < 0 then e else v end as idf from raw, eps)"""
 BM = f"""{INDEX},
 q as (select item_id as query_id, unnest({dtok("text")}) as term from benchmark),
 qt as (select query_id, term, count(*) as qtf from q group by all),
@@ -138,7 +138,7 @@ def query_subject(spark, sf_dir):
 
 
 @query(r"""select doc_id, case when regexp_matches(h, '[A-Z]{2,}-\d+') or regexp_matches(h, 'CVE-\d{4}-\d+') or regexp_matches(h, '^[a-f0-9]{32,64}$') then 'lexical' else 'semantic' end as route
-  from (select doc_id, case doc_id % 4 when 0 then md5(text) when 1 then 'see MDR-' || doc_id else substr(text, 1, 80) end as h from documents)""")
+  from (select doc_id, case doc_id % 4 when 0 then md5(text) when 1 then 'see MDR-' || doc_id else text end as h from documents)""")
 def route_lexical(spark, sf_dir):
     q = F.when(F.col("doc_id") % 4 == 0, F.md5("text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("see MDR-"), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
     return t(spark, sf_dir, "documents").select("doc_id", tx.route(q).alias("route"))
@@ -178,7 +178,7 @@ def extract_keywords(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keywords("text", routes), ",").alias("keywords"))
 
 
-@query(rf"""with x as (select doc_id, source || ' ' || lang || ' ' || substr(text, 1, 40) as q, lower(source || '/' || lang || ' ' || 'doc' || doc_id || '.md') as p from documents),
+@query(rf"""with x as (select doc_id, source || ' ' || lang || ' ' || text as q, lower(source || '/' || lang || ' ' || 'doc' || doc_id || '.md') as p from documents),
 y as (select *, regexp_extract_all(lower(q), '{WORDS}') as qt, regexp_extract_all(p, '{WORDS}') as pt from x)
 select doc_id, round(case when len(qt) = 0 or len(pt) = 0 then 0 else least(0.003, coalesce(list_sum(list_transform(qt, lambda w: case when list_contains(pt, w) then 0.0006 when contains(p, w) then 0.0003 else 0 end)), 0)
   + case when trim(q) <> '' and contains(p, lower(trim(q))) then 0.0012 else 0 end) end, 6)::double as boost from y""")
@@ -390,24 +390,36 @@ def rerank_lexical(spark, sf_dir):
     return rt.reranked(h, 5).select("query_id", "rank", "doc_id", "old_rank", F.round("reranker_score", 6).alias("reranker_score"))
 
 
-@query()
+@query(rf"""with recursive {BM}, k as materialized {top('bm_all', 'round(score, 9) desc, doc_id', 30)},
+x as materialized (select k.*, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) as words, max(score) over w as hi, min(score) over w as lo, count(*) over w as n from k join documents using (doc_id) window w as (partition by query_id)),
+sims as materialized (select a.query_id, a.rank, list(case when len(a.words) = 0 or len(b.words) = 0 then 0 else len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) end order by b.rank) as sim from x a join x b using (query_id) group by all),
+y as materialized (select query_id, rank, n, case when hi > lo then (score - lo) / (hi - lo) else 1 end as relevance, sim from x join sims using (query_id, rank)),
+pick(query_id, n, taken) as (
+  select query_id, n, [rank::bigint] from y where rank = 1
+  union all
+  select query_id, any_value(n), list_append(any_value(taken), arg_max(rank, [round(case when n <= 10 then 0 else 0.7 * relevance - 0.3 * list_max(list_transform(taken, lambda i: sim[i])) end, 12), -rank])::bigint)
+  from (select y.*, taken from pick join y using (query_id) where len(taken) < 10 and not list_contains(taken, rank)) group by query_id)
+select query_id, doc_id, rank, list_position(taken, rank)::int as mmr_rank from (select query_id, arg_max(taken, len(taken)) as taken from pick group by all) join k using (query_id) where list_contains(taken, rank)""")
 def mmr_select(spark, sf_dir):
     h = rt.bm25(log(spark, sf_dir), doc_index(spark, sf_dir), 30, "doc_id").join(corpus(spark, sf_dir).select("doc_id", "content"), "doc_id").withColumn("relevance", F.col("score"))
     return rt.diversified(h, 10, key="doc_id").select("query_id", "doc_id", "rank", "mmr_rank")
 
 
 def _lex(c: str) -> str:
-    return rf"regexp_extract_all(regexp_replace(translate(lower({c}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\p{{M}}', '', 'g'), '[\p{{L}}\p{{N}}._-]+')"
+    return rf"regexp_extract_all(strip_accents(lower({c})), '[\p{{L}}\p{{N}}._-]+')"
 
 
-FTS = f"""c as (select doc_id, t, len(t) as dl from (select doc_id, {_lex("text || ' doc' || doc_id || '.md ' || (" + CAT + ")")} as t from documents)),
-q as (select item_id as query_id, unnest({_lex("array_to_string(string_split(text, ' ')[1:3], ' ')")}) as term, unnest(range(len({_lex("array_to_string(string_split(text, ' ')[1:3], ' ')")}))) as p from benchmark),
-ex as (select doc_id, dl, unnest(t) as term from c),
-tf as (select query_id, p, doc_id, max(dl) as dl, count(*) as tf from q join ex using (term) group by all),
-df as (select query_id, p, count(*) as df from tf group by all),
+#: A query's blank-separated parts are phrases: their words have to stand side by side.
+FTS = f"""c as materialized (select doc_id, t, len(t) as dl from (select doc_id, {_lex("text || ' doc' || doc_id || '.md ' || (" + CAT + ")")} as t from documents)),
+q as (select query_id, {_lex("part")} as p from (select item_id as query_id, unnest(string_split_regex(text, '\\s+')) as part from benchmark)),
+each as materialized (select query_id, p, count(*) as times from q where len(p) > 0 group by all),
+asked as materialized (select distinct p, p[1] as term from each),
+ex as (select doc_id, unnest(t) as term, unnest(range(1, len(t) + 1)) as i from c),
+tf as materialized (select p, doc_id, max(dl) as dl, count(*) as tf from asked join ex using (term) join c using (doc_id) where len(p) = 1 or t[i:i + len(p) - 1] = p group by all),
+df as (select p, count(*) as df from tf group by all),
 s as (select count(*) as n, avg(dl) as avgdl from c),
-need as (select query_id, count(*) as need from q group by all),
-hits as (select query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) as score, count(*) as held from tf join df using (query_id, p), s group by all),
+need as (select query_id, count(*) as need from each group by all),
+hits as (select query_id, doc_id, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) as score, count(*) as held from each join tf using (p) join df using (p), s group by all),
 fts as (select query_id, doc_id, score from hits join need using (query_id) where held = need)"""
 
 
@@ -514,6 +526,13 @@ def resume_anti(spark, sf_dir):
     return mt.remaining(now, t(spark, sf_dir, "documents").where("doc_id % 3 = 1").select("doc_id")).select("doc_id", "source")
 
 
+@query("""select doc_id, md5(text || case when doc_id % 7 = 0 then ' changed' else '' end) as text_md5, doc_id % 7 = 0 as fresh from documents where doc_id % 7 = 0 or doc_id % 11 <> 0""")
+def merge_documents(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", "text", F.lit(False).alias("fresh"))
+    fresh = d.where("doc_id % 7 = 0").select("doc_id", F.concat("text", F.lit(" changed")).alias("text"), F.lit(True).alias("fresh"))
+    return mt.merged(d, fresh, d.where("doc_id % 11 = 0"), "doc_id").select("doc_id", F.md5("text").alias("text_md5"), "fresh")
+
+
 def _manifests(spark, sf_dir):
     d = corpus(spark, sf_dir)
     a = mt.manifest(d.where("doc_id % 13 <> 0"), "path", "content")
@@ -636,24 +655,38 @@ def backoff_schedule(spark, sf_dir):
     return spark.range(10).select(F.col("id").alias("n"), es.backoff("id").alias("delay"))
 
 
-@query()
+@query("""with recursive s as materialized (select event_type, user_id, t, row_number() over (partition by event_type order by t, user_id::varchar) as n from (select *, epoch_us(ts) / 1e6 as t from events)),
+r as (select event_type, n, user_id, 0 as batch, t + 600 as until from s where n = 1
+  union all select s.event_type, s.n, s.user_id, r.batch + (s.t > until)::int, case when s.t > until then s.t + 600 else until end from r join s on s.event_type = r.event_type and s.n = r.n + 1)
+select event_type, batch::bigint as batch, until as deadline, count(distinct user_id) as paths from r group by all""")
 def debounce_batches(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("event_type", "ts", F.col("user_id").cast("string").alias("path"))
     return es.debounced(e, "event_type", 600.0)
 
 
-@query()
+@query("""with recursive s as materialized (select event_type as client, event_id, t, row_number() over (partition by event_type order by t, event_id) as n from (select *, (epoch_us(ts) // 600) / 1e6 as t from events)),
+r as (select client, event_id, n, [t] as log, true as allowed from s where n = 1
+  union all select client, event_id, n, case when len(recent) < 70 then list_append(recent, t) else recent end, len(recent) < 70
+    from (select s.*, list_filter(r.log, lambda x: x > s.t - 60) as recent from r join s on s.client = r.client and s.n = r.n + 1))
+select client, event_id, allowed from r""")
 def sliding_rate_limit(spark, sf_dir):
     e = t(spark, sf_dir, "events").select(F.col("event_type").alias("client"), "event_id", F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / 600).cast("long")).alias("ts"))
     return es.rate_limited(e, "client", 60, 10)
 
 
-@query()
+@query("""with recursive s as materialized (select key, event_id, t, row_number() over (partition by key order by t, event_id) as n from (select *, event_type || ':' || (user_id % 10) as key, epoch_us(ts) / 1e6 as t from events)),
+r as (select key, event_id, n, t as since, false as hit from s where n = 1
+  union all select s.key, s.event_id, s.n, case when s.t - since < 7200 then since else s.t end, s.t - since < 7200 from r join s on s.key = r.key and s.n = r.n + 1)
+select key, event_id, hit from r""")
 def ttl_cache_hits(spark, sf_dir):
     return es.ttl_hits(t(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "event_type", F.col("user_id") % 10)), "key", 7200)
 
 
-@query()
+@query("""with recursive s as materialized (select event_type as shard, event_type || ':' || user_id as key, event_id, t, row_number() over (partition by event_type order by t, event_id) as n from (select *, epoch_us(ts) / 1e6 as t from events)),
+r as (select shard, event_id, n, [{'k': key, 'put': t}] as held, false as hit from s where n = 1
+  union all select shard, event_id, n, case when hit then list_append(rest, own) else list_append(case when len(rest) >= 100 then rest[2:] else rest end, {'k': key, 'put': t}) end, hit
+    from (select *, coalesce(t - own.put < 86400, false) as hit from (select s.*, list_filter(r.held, lambda x: x.k <> s.key) as rest, list_filter(r.held, lambda x: x.k = s.key)[1] as own from r join s on s.shard = r.shard and s.n = r.n + 1)))
+select shard, event_id, hit from r""")
 def lru_cache_hits(spark, sf_dir):
     e = t(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "event_type", "user_id"))
     return es.lru_cache(e, "key", 100, 86400.0, shard="event_type")
