@@ -6,6 +6,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+from .functions.text import LEXICAL_PATTERNS
+
 # Embedding profiles as model, dimension, query and passage prefix.
 PROFILES = {
     "compact": ("BAAI/bge-small-en-v1.5", 384, "", ""),
@@ -33,6 +35,7 @@ PLACES = {
     "exclude": ("documents", "exclude_patterns"),
     "max_results": ("search", "max_results"),
     "default_results": ("search", "default_results"),
+    "lexical_enabled": ("search", "lexical_fast_path", "enabled"),
     "min_hits": ("search", "lexical_fast_path", "min_hits"),
     "patterns": ("search", "lexical_fast_path", "patterns"),
     "profile": ("models", "embedding", "profile"),
@@ -85,8 +88,9 @@ class Config:
     hybrid_alpha: float = 0.3
     mmr_lambda: float = 0.7
     rerank_multiplier: int = 3
+    lexical_enabled: bool = False
     min_hits: int = 3
-    patterns: list[str] = field(default_factory=lambda: [r"[A-Z]{2,}-\d+", r"CVE-\d{4}-\d+", r"^[a-f0-9]{32,64}$"])
+    patterns: list[str] = field(default_factory=lambda: list(LEXICAL_PATTERNS))
     profile: str = "compact"
     embedding_model: str = ""
     embedding_dim: int = 0

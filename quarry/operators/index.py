@@ -25,6 +25,12 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def corpus_stats_of(keys: DataFrame, posts: DataFrame) -> DataFrame:
+    """The same from the chunks' keys and their postings, without their texts."""
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))  # one row
+    return keys.agg(F.count("*").alias("n")).join(F.broadcast(total), F.lit(True)).select("n", F.try_divide(F.col("total"), F.col("n")).cast("double").alias("avgdl"))
+
+
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """A2: term, df, idf. A negative idf becomes a quarter of the mean over all terms."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))

@@ -52,54 +52,84 @@ def contained(path: str, root: str) -> str:
 class KnowledgeBase:
     """documents (doc_id, source, filename, format, category, content, mtime, size) and what is derived of them, in generations."""
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embed=None):
+    def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embed=None, sanity: tuple[str, ...] = ()):
+        """sanity: queries of which a full rebuild has to find four (all, if there are fewer) before it is published."""
         self.spark, self.config, self.store = spark, config or Config(), Generations(spark, folder)
-        self.embed = embed or hashed_embedder()
+        self.embed, self.sanity = embed or hashed_embedder(), tuple(sanity)
 
     # --- building ---
 
     def _categorised(self, docs: DataFrame) -> DataFrame:
         return docs.withColumn("category", F.coalesce(F.col("category"), tx.category("source", self.config.category_mappings)) if "category" in docs.columns else tx.category("source", self.config.category_mappings))
 
-    def _publish(self, docs: DataFrame, status: DataFrame | None = None) -> str:
-        """All derived tables are made anew from the documents; none can be stale."""
-        c = self.config
-        docs = self._categorised(docs.where("content is not null")).select("doc_id", "source", "filename", "format", "category", "content", "mtime", "size", tx.keywords("content", c.keyword_routes).alias("keywords"))
-        names = docs.select("doc_id", "source", F.col("source").alias("path"), "filename", "category", "format", F.slice("keywords", 1, 10).alias("keywords"))
-        chunks = ch.deduplicated(ch.chunks(docs.select("doc_id", "content", "format"), c.chunk_size, c.chunk_overlap, "format = '.md'")).join(names, "doc_id")
-        vectors = self.embed(chunks.select("chunk_id", "doc_id", "chunk_index", "source", F.concat(F.lit(c.passage_prefix), "content").alias("passage")), "passage").drop("passage")
+    def _publish(self, fresh: DataFrame, gone: DataFrame | None = None, status: DataFrame | None = None, gated: bool = False) -> str:
+        """K1 to K5: a new generation of the current one without the documents (source) of gone and fresh, and with those of fresh. Only fresh
+        documents are categorised, chunked, embedded and tokenized; rows of the others are taken over, statistics are counted
+        anew. Without gone everything is made from fresh. gated: K9, before it is published."""
         from ..operators import index as ix
 
-        index = ix.build(chunks)
-        tables = {"documents": docs, "chunks": chunks, "vectors": vectors, **{k: index[k] for k in ("postings", "term_stats", "corpus_stats")}}
+        c, before = self.config, self.store.current
+        old = None if gone is None or before is None else lambda t: self.store.read(t, before)
+        new = self._categorised(fresh.where("content is not null")).select("doc_id", "source", "filename", "format", "category", "content", "mtime", "size", tx.keywords("content", c.keyword_routes).alias("keywords"))
+        sources = fresh.select("source") if gone is None else gone.select("source").union(fresh.select("source"))
+
+        def chunks(read):
+            names = new.select("doc_id", "source", F.col("source").alias("path"), "filename", "category", "format", F.slice("keywords", 1, 10).alias("keywords"))
+            return ch.deduplicated(ch.chunks(new.select("doc_id", "content", "format"), c.chunk_size, c.chunk_overlap, "format = '.md'")).join(names, "doc_id")
+
+        def added(read):  # chunks of fresh documents: by their sources, as the table is read back
+            return read("chunks") if old is None else read("chunks").join(fresh.select("source").distinct(), "source", "left_semi")
+
+        def vectors(read):
+            return self.embed(added(read).select("chunk_id", "doc_id", "chunk_index", "source", F.concat(F.lit(c.passage_prefix), "content").alias("passage")), "passage").drop("passage")
+
+        def postings(read):
+            now = ix.postings(ix.tokenized(added(read)))
+            if old is None:
+                return now
+            left = old("chunks").join(sources.distinct(), "source", "left_semi").select("chunk_id")
+            return old("postings").join(left, "chunk_id", "left_anti").unionByName(now)
+
+        keep = lambda t, make: make if old is None else lambda read: mt.merged(old(t), make(read), sources, "source")
+        tables = {
+            "documents": keep("documents", lambda read: new), "chunks": keep("chunks", chunks), "vectors": keep("vectors", vectors), "postings": postings,
+            "corpus_stats": lambda read: ix.corpus_stats_of(read("chunks"), read("postings")), "term_stats": lambda read: ix.term_stats(read("postings"), read("corpus_stats")),
+        }
         if status is not None:
             tables["changes"] = status
-        before = self.store.current
         name = self.store.build(tables, {"chunk_size": c.chunk_size, "chunk_overlap": c.chunk_overlap, "model": c.embedding_model})
         if before is not None:
             rows = self.store.receipt(name)["tables"]["chunks"]["rows"]
             if rows == 0:
                 raise ValueError("the new build is empty; the old one stays")
+            if gated:
+                self._gates(name, self.store.receipt(before)["tables"]["chunks"]["rows"])
         self.store.activate(name, before)
         return name
 
+    def _gates(self, name: str, baseline: int) -> None:
+        """K9: a build that fails is dropped, and the old one stays."""
+        asked = self.spark.createDataFrame(list(enumerate(self.sanity)), "query_id long, query_text string")
+        hits = self._engine(name).lexical(asked, 1).groupBy("query_id").agg(F.count("*").alias("hits"))
+        g = mt.gates(self.store.read("chunks", name), baseline, hits, min(4, len(self.sanity))).first()
+        if not g["passed"]:
+            self.store.drop(name)
+            raise ValueError(f"the new build fails its gates: {g['n_rows']} chunks after {baseline}, {g['n_hits']} of {len(self.sanity)} sanity queries; the old one stays")
+
     def reindex_documents(self, source: str | DataFrame, full: bool = False) -> dict:
-        """ST4, K9: files of a folder (or parsed documents) against what is indexed: new and updated ones are parsed, deleted ones go."""
+        """ST4: files of a folder (or parsed documents) against what is indexed: new and updated ones are parsed, deleted ones go. full: all are
+        parsed, and the build has to pass the gates (K9)."""
         now = ps.read_files(self.spark, source, tuple(self.config.exclude)) if isinstance(source, str) else None
         docs = ps.parsed(now) if now is not None else source
         listing = now.select(F.col("path").alias("source"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")) if now is not None else docs.select("source", "mtime", "size")
         if self.store.current is None:
-            changes = listing.select("source", F.lit("new").alias("change"))
-            new = docs
+            changes, fresh, gone = listing.select("source", F.lit("new").alias("change")), docs, None
         else:
-            old = self.store.read("documents")
-            changes = mt.classified(listing, old)
-            fresh = changes.where(F.lit(True) if full else F.col("change").isin("new", "updated")).select("source")
-            kept = old.join(changes.where("change = 'unchanged'").select("source"), "source", "left_semi").drop("keywords", "category") if not full else None
-            again = now.join(fresh.withColumnRenamed("source", "path"), "path", "left_semi") if now is not None else None
-            new = ps.parsed(again) if again is not None else docs.join(fresh, "source", "left_semi")
-            new = new if kept is None else new.unionByName(kept, allowMissingColumns=True)
-        self._publish(new, changes)
+            changes = mt.classified(listing, self.store.read("documents"))
+            wanted = changes.where("change <> 'deleted'" if full else "change in ('new', 'updated')").select("source")
+            fresh = ps.parsed(now.join(wanted.withColumnRenamed("source", "path"), "path", "left_semi")) if now is not None else docs.join(wanted, "source", "left_semi")
+            gone = None if full else changes.where("change in ('updated', 'deleted')").select("source")
+        self._publish(fresh, gone, changes, full)
         return self.get_reindex_status()
 
     def get_reindex_status(self) -> dict:
@@ -122,9 +152,7 @@ class KnowledgeBase:
         row = row.withColumn("mtime", F.lit(datetime.now(UTC)))  # one time for all tables that are written
         row = row.withColumn("size", F.octet_length("content").cast("long"))
         row = row.withColumn("doc_id", tx.document_key(F.col("source"), F.col("mtime"), F.col("size")))
-        if self.store.current is not None:
-            row = self.store.read("documents").where(F.col("source") != path).unionByName(row, allowMissingColumns=True)
-        return {"source": path, "generation": self._publish(row)}
+        return {"source": path, "generation": self._publish(row, row)}
 
     def update_document(self, source: str, content: str) -> dict:
         """K4"""
@@ -136,7 +164,8 @@ class KnowledgeBase:
         if self.get_document(source) is None:
             return {"error": "no such document"}
         path = contained(source, "")
-        return {"source": path, "generation": self._publish(self.store.read("documents").where(F.col("source") != path))}
+        mine = self.store.read("documents").where(F.col("source") == path)
+        return {"source": path, "generation": self._publish(mine.where("false").drop("keywords"), mine)}
 
     def add_from_url(self, pages: DataFrame, category: str = "web") -> dict:
         """Fetched pages (page_id, url, html) as documents, defused and fenced."""
@@ -146,19 +175,22 @@ class KnowledgeBase:
         d = p.select(F.concat(F.lit("/web/"), name).alias("source"), name.alias("filename"), F.lit(".md").alias("format"), F.lit(category).alias("category"), tx.fenced(safe, "url").alias("content"))
         d = d.dropDuplicates(["source"]).withColumn("mtime", F.timestamp_seconds(F.lit(0))).withColumn("size", F.octet_length("content").cast("long"))
         d = d.withColumn("doc_id", tx.document_key(F.col("source"), F.col("mtime"), F.col("size")))
-        if self.store.current is not None:
-            d = self.store.read("documents").join(d.select("source"), "source", "left_anti").unionByName(d, allowMissingColumns=True)
-        return {"generation": self._publish(d)}
+        return {"generation": self._publish(d, d)}
 
     # --- asking ---
 
-    def _engine(self) -> HybridSearch:
-        s = self.store
-        return HybridSearch(s.read("chunks"), s.read("vectors").select("chunk_id", "embedding"), "chunk_id", {k: s.read(k) for k in ("postings", "term_stats", "corpus_stats")})
+    def _engine(self, name: str | None = None) -> HybridSearch:
+        read = lambda t: self.store.read(t, name)
+        return HybridSearch(read("chunks"), read("vectors").select("chunk_id", "embedding"), "chunk_id", {k: read(k) for k in ("postings", "term_stats", "corpus_stats")})
 
-    def search_knowledge(self, queries: DataFrame, max_results: int | None = None, category: str | None = None, hybrid_alpha: float | None = None, min_score: float | None = None, scorer=None, mmr: bool = True, neighbours: bool = True) -> DataFrame:
-        """R13 over a table of queries (query_id, query_text): hits with snippets, and what each query was routed by."""
+    def search_knowledge(self, queries: DataFrame, max_results: int | None = None, category: str | None = None, hybrid_alpha: float | None = None, min_score: float | None = None, scorer=None, mmr: bool = True, neighbours: bool = True, search_method: str = "auto") -> DataFrame:
+        """R13 over a table of queries (query_id, query_text): hits with snippets, and what each query was routed by. search_method: auto (the lexical path
+        for queries that look lexical and have hits, where the configuration enables it), hybrid or fts5."""
         c = self.config
+        if search_method not in ("auto", "hybrid", "fts5"):
+            raise ValueError(f"unknown search_method: {search_method}")
+        if search_method == "fts5" and not c.lexical_enabled:
+            raise ValueError("the lexical path is disabled; set search.lexical_fast_path.enabled or use search_method auto")
         if category is not None and not self.list_categories().where(F.col("category") == category).limit(1).count():
             raise ValueError(f"unknown category: {category}")
         synonyms = [(t, s, i) for t, ss in c.synonyms.items() for i, s in enumerate(ss)]
@@ -169,13 +201,24 @@ class KnowledgeBase:
         probes = self.embed(queries.select("query_id", F.concat(F.lit(c.query_prefix), "query_text").alias("probe")), "probe").drop("probe")
         k = c.results(max_results)
         alpha = c.hybrid_alpha if hybrid_alpha is None else hybrid_alpha
-        hits = self._engine().run(asked, probes, k, 3 * k, alpha, category, scorer, c.mmr_lambda if mmr else None, neighbours, None if min_score is None else min(1.0, max(0.0, min_score)))
+        least = None if min_score is None else min(1.0, max(0.0, min_score))
+        options = {"pool": 3 * k, "alpha": alpha, "scorer": scorer, "mmr": c.mmr_lambda if mmr else None, "min_score": least}
+        if c.lexical_enabled and search_method != "hybrid":
+            # The lexical path takes queries as they were asked; the others are expanded.
+            hits, served = self._engine().by_words(queries.select("query_id", "query_text", F.lit(search_method).alias("method")), k, category, c.min_hits, c.patterns, neighbours)
+            hits = hits if least is None else hits.where(F.col("score") >= least)
+            rest = self._engine().run(asked.join(served, "query_id", "left_anti"), probes.join(served, "query_id", "left_anti"), k, category=category, neighbours=neighbours, **options)
+            hits = rest.unionByName(hits.select(*[x for x in hits.columns if x in rest.columns]), allowMissingColumns=True)
+        else:
+            hits = self._engine().run(asked, probes, k, category=category, neighbours=neighbours, **options)
         if "content" in hits.columns:
             hits = hits.withColumn("content", tx.snippet("content"))
         routes = [(cat, k2, i) for i, (cat, ks) in enumerate(c.keyword_routes.items()) for k2 in ks]
         if routes:
-            return hits.join(rt.keyword_route(queries, self.spark.createDataFrame(routes, "category string, keyword string, cat_ord int")), "query_id")
-        return hits.withColumn("routed_by", F.lit(None).cast("string"))
+            hits = hits.join(rt.keyword_route(queries, self.spark.createDataFrame(routes, "category string, keyword string, cat_ord int")), "query_id")
+        else:
+            hits = hits.withColumn("routed_by", F.lit(None).cast("string"))
+        return hits.withColumn("routed_by", F.when(F.col("search_method") == "fts5", "fts5_router").otherwise(F.col("routed_by")))
 
     def get_document(self, source: str) -> dict | None:
         """R16"""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,17 @@ from pyspark.sql import functions as F
 from ..operators.maintenance import set_digest
 
 
+#: Seconds after which a publisher that has claimed a number and not published counts as lost.
+CLAIM = 60.0
+
+
 class Conflict(RuntimeError):
     """Someone else published meanwhile."""
 
 
 class Generations:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, claim: float = CLAIM):
+        self.spark, self.folder, self.claim = spark, folder.rstrip("/"), claim
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -34,11 +39,13 @@ class Generations:
         r = set_digest(df.select(*[F.to_json(F.struct(F.col(c))).alias(c) for c in sorted(df.columns)]), *sorted(df.columns)).first()
         return {"rows": r["n"], "digest": r["digest_sum"], "schema": df.schema.jsonValue()}
 
-    def build(self, tables: dict[str, DataFrame], settings: dict | None = None, name: str | None = None) -> str:
-        """Write all tables, read them back, and seal them with a receipt. Gives the generation's name."""
+    def build(self, tables: dict[str, DataFrame | Callable], settings: dict | None = None, name: str | None = None) -> str:
+        """Write all tables in their order, read them back, and seal them with a receipt. A table may be a function of a reader of the
+        tables written before it. Gives the generation's name."""
         name = name or f"g{int(time.time() * 1e6)}"
         receipt = {"version": 1, "settings": settings or {}, "tables": {}}
-        for t, df in sorted(tables.items()):
+        for t, df in tables.items():
+            df = df(lambda t: self.read(t, name)) if callable(df) and not isinstance(df, DataFrame) else df
             df.write.mode("errorifexists").parquet(self._at("builds", name, t))
             receipt["tables"][t] = self._digest(self.spark.read.parquet(self._at("builds", name, t)))
         self.spark.createDataFrame([(json.dumps(receipt, sort_keys=True),)], "receipt string").coalesce(1).write.json(self._at("builds", name, "_receipt.json"))
@@ -81,13 +88,25 @@ class Generations:
         h = self.history()
         if (h[-1][1] if h else None) != expected:
             raise Conflict(f"current is {h[-1][1] if h else None}, expected {expected}")
-        number = h[-1][0] + 1 if h else 1
-        # A folder of the next number is made exactly once, whoever comes first.
-        claim = self.path(self._at("claims", str(number)))
-        self.fs.mkdirs(claim.getParent())
-        if self.fs.exists(claim) or not self.fs.createNewFile(claim):
-            raise Conflict(f"publication {number} is taken")
+        number = self._claimed(h[-1][0] if h else 0)
         self.fs.mkdirs(self.path(self._at("pointer", f"{number}-{name}")))
+        if (now := self.history()[-1]) != (number, name):
+            raise Conflict(f"{now[1]} was published meanwhile")
+
+    def _claimed(self, last: int) -> int:
+        """A number above the last publication's that no one else has. A file of each number is made exactly once, whoever comes first. A
+        claim without a publication is someone at work, or after CLAIM seconds someone lost, whose number is passed over."""
+        folder = self.path(self._at("claims"))
+        self.fs.mkdirs(folder)
+        later = sorted((int(s.getPath().getName()), s.getModificationTime() / 1000) for s in self.fs.listStatus(folder) if int(s.getPath().getName()) > last)
+        if later and time.time() - max(at for _, at in later) < self.claim:
+            raise Conflict(f"publication {later[-1][0]} is under way")
+        number = max([last, *(n for n, _ in later)]) + 1
+        try:
+            self.fs.create(self.path(self._at("claims", str(number))), False).close()
+        except Exception as e:
+            raise Conflict(f"publication {number} is taken") from e
+        return number
 
     def rollback(self) -> str:
         """Back to the generation before the current one."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -32,6 +32,22 @@ class HybridSearch:
     def lexical(self, queries: DataFrame, k: int) -> DataFrame:
         return rt.bm25(queries, self.index, k, self.key)
 
+    def by_words(self, queries: DataFrame, k: int = 10, category: str | None = None, min_hits: int = 3, patterns=tuple(tx.LEXICAL_PATTERNS), neighbours: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Hits of the queries (query_id, query_text, method) that the lexical path serves, and those queries. method is fts5 (always served)
+        or auto (served if the query looks lexical, has min_hits hits and keeps some in its category)."""
+        key, pool = self.key, max(3 * k, 20)
+        asked = queries.where((F.col("method") == "fts5") | (F.col("method") == "auto") & (tx.route("query_text", patterns) == "lexical"))
+        found = rt.phrase_hits(asked, self.chunks.withColumnRenamed(key, "chunk_id") if key != "chunk_id" else self.chunks).withColumnRenamed("chunk_id", key)
+        order = [F.desc(F.round("score", 9)), F.asc(key)]
+        found = rt.ranked(found, order, pool).join(rt.small(asked.select("query_id", "method")), "query_id")
+        found = found.withColumn("n", F.count("*").over(Window.partitionBy("query_id"))).where((F.col("method") == "fts5") | (F.col("n") >= min_hits)).drop("rank", "n", "method")
+        extra = [c for c in ("doc_id", "chunk_index") if c in self.chunks.columns and c != key]
+        hits = found.join(self.chunks.select(key, "content", "path", "filename", "category", *extra), key)
+        hits = rt.ranked(hits if category is None else hits.where(F.col("category") == category), order, k)
+        served = asked.where("method = 'fts5'").select("query_id").union(hits.select("query_id")).distinct()
+        hits = hits.withColumnRenamed("score", "raw_score").withColumn("score", rt.cohort_score(hits.withColumnRenamed("score", "raw_score"), "raw_score"))
+        return (rt.expanded(hits, self.chunks) if neighbours else hits).withColumn("score_source", F.lit("fts5_bm25")).withColumn("search_method", F.lit("fts5")), served
+
     def run(self, queries: DataFrame, probes: DataFrame, k: int = 10, pool: int | None = None, alpha: float = 0.5, category: str | None = None, scorer=None, mmr: float | None = None, neighbours: bool = False, min_score: float | None = None) -> DataFrame:
         """queries: query_id, query_text; probes: query_id, embedding. One row a hit, best first by rank."""
         key, n = self.key, pool or 3 * k

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from quarry.config import Config
 from quarry.operators import evidence as ev
 from quarry.operators import maintenance as mt
 from quarry.operators import retrieval as rt
-from quarry.plans.api import KnowledgeBase
+from quarry.plans.api import KnowledgeBase, hashed_embedder
 from quarry.plans.generations import Conflict, Generations
 from quarry.streaming import events as es
 
@@ -143,6 +144,87 @@ def test_generations(spark, tmp_path):
     assert g.stale(1e9) == []
 
 
+def test_lost_publisher_does_not_block(spark, tmp_path):
+    g = Generations(spark, str(tmp_path / "store"), claim=1.0)
+    a, b = (g.build({"t": spark.range(n), "u": lambda read: read("t").selectExpr("id + 1 as id")}, name=f"g{n}") for n in (3, 4))
+    g.activate(a)
+    (tmp_path / "store/claims/2").touch()  # claimed and lost
+    with pytest.raises(Conflict):
+        g.activate(b, a)
+    time.sleep(1.2)
+    g.activate(b, a)
+    assert g.history() == [(1, "g3"), (3, "g4")] and g.read("u").agg(F.max("id")).first()[0] == 4
+
+
+def test_updates_touch_their_rows_alone(spark, tmp_path):
+    """A document that is added, changed or removed gives the tables that a build from nothing gives, and only its chunks are made anew."""
+    embedded = []
+    embed = hashed_embedder()
+
+    def counted(df, text, out="embedding"):
+        embedded.append(df.count())
+        return embed(df, text, out)
+
+    files = {f"d{i}.md": f"# Title {i}\n" + f"Words of text number {i} and more. " * 60 for i in range(6)}
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"), embed=counted)
+    kb.add_document("d0.md", files["d0.md"])
+    docs = spark.createDataFrame([(f"/{n}", n, ".md", x) for n, x in files.items()], "source string, filename string, format string, content string")
+    docs = docs.withColumn("mtime", F.timestamp_seconds(F.lit(0))).withColumn("size", F.octet_length("content").cast("long")).withColumn("doc_id", F.sha2("source", 256))
+    kb.reindex_documents(docs)
+    whole = kb.store.read("chunks").count()
+    embedded.clear()
+    kb.add_document("d3.md", "# Other\nshort text")
+    kb.remove_document("d5.md")
+    assert embedded == [1, 0] and kb.store.read("chunks").count() < whole
+    again = KnowledgeBase(spark, str(tmp_path / "again"))
+    again._publish(kb.store.read("documents").drop("keywords", "category"))
+    rounded = lambda d: d.select(*[F.round(c, 12).alias(c) if k == "double" else c for c, k in sorted(d.dtypes)])
+    for t in ("chunks", "vectors", "postings", "term_stats", "corpus_stats"):
+        a, b = (sorted(map(repr, rounded(k.store.read(t)).collect())) for k in (kb, again))
+        assert a == b, t
+
+
+def test_gates_keep_the_old_build(spark, tmp_path):
+    def docs(n, word):
+        d = spark.createDataFrame([(f"d{i}.md", f"d{i}.md", ".md", f"{word} text number {i}") for i in range(n)], "source string, filename string, format string, content string")
+        return d.withColumn("mtime", F.timestamp_seconds(F.lit(0))).withColumn("size", F.octet_length("content").cast("long")).withColumn("doc_id", F.sha2("source", 256))
+
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"), sanity=("alpha", "number"))
+    kb.reindex_documents(docs(10, "alpha"), full=True)
+    first = kb.store.current
+    for bad in (docs(8, "alpha"), docs(10, "beta")):
+        with pytest.raises(ValueError, match="gates"):
+            kb.reindex_documents(bad, full=True)
+        assert kb.store.current == first
+    kb.reindex_documents(docs(9, "alpha"), full=True)
+    assert kb.store.current != first and kb.get_index_stats()["total_documents"] == 9
+    empty = mt.gates(spark.range(0), 0, spark.createDataFrame([], "query_id long, hits long"), 4).first()
+    assert empty["passed"]
+
+
+def test_search_method(spark, tmp_path):
+    rows = [(f"d{i}.md", f"Report {i} on MDR-{'AD002' if i < 4 else 'XY9'}: patch CVE-2021-{4034 if i < 2 else 5000 + i} soon") for i in range(6)]
+    d = spark.createDataFrame([(n, n, ".md", x) for n, x in rows], "source string, filename string, format string, content string")
+    d = d.withColumn("mtime", F.timestamp_seconds(F.lit(0))).withColumn("size", F.octet_length("content").cast("long")).withColumn("doc_id", F.sha2("source", 256))
+    q = spark.createDataFrame([(1, "patch soon"), (2, "CVE-2021-4034"), (3, "Report CVE-2021-5004 absent")], "query_id long, query_text string")
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"), Config(lexical_enabled=True, min_hits=2))
+    kb.reindex_documents(d)
+    methods = lambda df: {k: sorted({r["search_method"] == "fts5" for r in g}) for k, g in ((i, [r for r in df.collect() if r["query_id"] == i]) for i in (1, 2, 3)) if g}
+    hits = kb.search_knowledge(q, 5)
+    assert methods(hits) == {1: [False], 2: [True], 3: [False]}
+    served = {r["filename"]: r for r in hits.where("query_id = 2").collect()}
+    assert set(served) == {"d0.md", "d1.md"} and all(r["score_source"] == "fts5_bm25" and r["routed_by"] == "fts5_router" and r["semantic_rank"] is None for r in served.values())
+    assert methods(kb.search_knowledge(q, 5, search_method="hybrid")) == {1: [False], 2: [False], 3: [False]}
+    assert methods(kb.search_knowledge(q, 5, search_method="fts5")) == {1: [True], 2: [True]}  # the third has no hits
+    kb.config.min_hits = 3
+    assert methods(kb.search_knowledge(q, 5)) == {1: [False], 2: [False], 3: [False]}
+    kb.config.lexical_enabled = False
+    assert methods(kb.search_knowledge(q, 5)) == {1: [False], 2: [False], 3: [False]}
+    for bad in ("fts5", "other"):
+        with pytest.raises(ValueError):
+            kb.search_knowledge(q, 5, search_method=bad)
+
+
 def test_knowledge_base(spark, tmp_path):
     folder = tmp_path / "docs"
     (folder / "net").mkdir(parents=True)
