@@ -7,7 +7,7 @@ its document table and a wavelet matrix, one bit-plane per bit of an id from the
 compressed, written by Spark's committer to any store, and a shard's planes are read only where they are asked for.
 
 Cases: a null or empty text is its end id alone; rows of one doc_id are ordered by text, null ids first; an empty table gives an
-empty file; further columns don't matter.
+empty file; further columns don't matter. Ids have BITS bits; a vocabulary with larger ones is refused.
 """
 
 from __future__ import annotations
@@ -119,6 +119,8 @@ def shards(docs: DataFrame, end: int = 1, vocabulary: str = "word_bpe_49k.json",
 
     def run(batches):
         encoder, part, count = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        if encoder.largest >> BITS:
+            raise ValueError(f"{vocabulary} has ids of more than {BITS} bits")
         ids, names, held = [], [], 0
 
         def record():

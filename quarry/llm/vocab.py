@@ -93,6 +93,7 @@ class WordEncoder:
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: how byte-level vocabularies write bytes
         shown = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in letters)}
         ids = {bytes(shown[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>"): i for t, i in vocabulary.items()}
+        self.largest = max(vocabulary.values())
         self.merge = tiktoken.Encoding(name, pat_str=r"\S+", mergeable_ranks=ids, special_tokens={})._encode_single_piece
         letters, numbers = ranges("L"), ranges("N")
         self.words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")

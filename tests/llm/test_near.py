@@ -73,6 +73,7 @@ def test_jaccard_classes(spark, monkeypatch, width, percent, stars, few, levels,
     monkeypatch.setattr(jaccard.shared_entries, "__defaults__", (hot,))
     monkeypatch.setattr(jaccard, "MORE", 1 if few < 64 else 16)
     monkeypatch.setattr(jaccard, "CARRIED", 12 if few == 2 else 256)
+    monkeypatch.setattr(jaccard.small, "__defaults__", (0 if few == 2 else 1_000_000,))  # joins by shuffle
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, node int").repartition(4)
     got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(d, width, percent, stars, few, levels).collect()], key=repr)
     assert got == brute(docs, width, percent)
@@ -159,8 +160,9 @@ def repeating(seed):
     return docs
 
 
-@pytest.mark.parametrize("depth", [25, 60])
-def test_repeats(spark, depth):
+@pytest.mark.parametrize(("depth", "broadcast"), [(25, 1_000_000), (60, 0)])
+def test_repeats(spark, monkeypatch, depth, broadcast):
+    monkeypatch.setattr(repeats, "BROADCAST", broadcast)
     docs = repeating(depth)
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, key int").repartition(3)
     got = sorted([tuple(r)[:5] for r in repeats.digests(d, depth).collect()], key=repr)
@@ -249,6 +251,23 @@ def test_quality(spark, sf):
     assert quality.scored(odd.where("false"), model).count() == 0
 
 
+def test_held_out_labels_and_other_columns_do_not_count(spark):
+    """Scores are of the text alone, learned from rows that are not held out, within the bounds."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    texts = [(r["text"] or "").encode() for r in docs.limit(300).collect()]
+    score = lambda d, x, **o: quality.learn(d, x, **o).score(texts).tolist()
+    plain = score(docs, labels)
+    turned = F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality"))
+    assert score(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string")), labels.withColumn("quality", turned)) == plain
+    assert quality.learn(docs, labels).score(texts[:7]).tolist() == pytest.approx(plain[:7], abs=2e-6)
+    assert quality.learn(docs, labels).score(texts[3:4]).tolist() == pytest.approx(plain[3:4], abs=2e-6)
+    long = spark.createDataFrame([(10**9, "word " * 4000)], "doc_id long, text string")
+    more = labels.select("doc_id", "quality").union(spark.createDataFrame([(10**9, 0)], "doc_id long, quality int"))
+    bounded = quality.learn(docs.select("doc_id", "text").union(long), more, most_bytes=15_000, use=F.lit(True))
+    assert all(0 <= x <= 1 for x in bounded.score([b"", *texts[:5], b"word " * 300_000]))
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

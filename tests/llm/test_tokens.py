@@ -138,3 +138,59 @@ def test_token_file(spark):
     assert token_file.token_frequency(file, same).first()["n"] == 2
     assert {(r["doc_id"], r["position"]) for r in token_file.occurrences(file, same).collect()} == {(6, 1), (7, 1)}
     assert token_file.shards(docs.where("false")).count() == 0
+
+
+HARD = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "x" * 200_000), (5, "Émile\n\n  <|endoftext|> 'tis <|im_end|> été " * 2000), (6, " "), (7, "\t\n 中文 words"), (8, "same"), (9, "same")]
+
+
+@pytest.fixture(scope="module")
+def hard(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("hard"))
+    spark.createDataFrame([(i, t, 0, 0) for i, t in HARD], "doc_id long, text string, ids int, n_bytes int").repartition(2).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("source", ["hard", "sf"])
+def test_queries_equal_the_library(spark, request, source):
+    """op4, op6 and op10 as registered, on whole tables, against the library by rows."""
+    from quarry.llm import registry
+
+    folder = request.getfixturevalue(source)
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    byte, word = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    ids = [(d, t, byte.encode(t, add_special_tokens=False).ids) for d, t in docs]
+    got = sorted(tuple(r) for r in registry.QUERIES["op4_token_counts"](spark, folder).collect())
+    assert got == sorted((d, len(t.encode()), len(x), len(x) > 512) for d, t, x in ids)
+
+    crc = lambda x: zlib.crc32(np.array(x, dtype="<u4").tobytes())
+    pieces, room, want = registry.QUERIES["op6_packing"](spark, folder).collect(), {}, {}
+    for d, _, x in ids:
+        want.setdefault((d, len(x) + 1), []).append([*x, 0])
+    parts = {}
+    for p in pieces:
+        whole = want[p["doc_id"], p["doc_tokens"]][0]
+        assert p["ids_crc32"] == crc(whole[p["start"] : p["start"] + p["length"]])
+        parts.setdefault((p["doc_id"], p["doc_tokens"]), []).append((p["start"], p["length"]))
+        room.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(x for x in packed_once(k[1]) for _ in v) for k, v in want.items()}
+    for b in room.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 1024
+
+    at, want = 0, []
+    for d, t in docs:
+        x = [*word.encode(t, add_special_tokens=False).ids, 1]
+        want.append((d, at, len(x), crc(x)))
+        at += len(x)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in registry.QUERIES["op10_token_file"](spark, folder).collect()) == want
+
+
+def packed_once(n):
+    """Where a document of n ids is cut."""
+    start = 0
+    for length in packing.cuts(n):
+        yield start, length
+        start += length
