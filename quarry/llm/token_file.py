@@ -22,6 +22,8 @@ from .runtime import by_bytes, table, written
 from .vocab import word_encoder
 
 SHARD, BITS, BLOCK = 1 << 21, 16, 512
+#: Ids that are parted at once, as few as a processor's cache holds.
+STRIP = 1 << 16
 FILE = "part long, shard long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, planes array<binary>, zeros array<long>, ranks array<binary>"
 
 
@@ -35,15 +37,20 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         a, planes, zeros, ranks = ids, [], [], []
         for k in range(BITS - 1, -1, -1):
-            bits = ((a >> k) & 1).astype(bool)
-            packed = np.packbits(bits)
+            packed, low, high = [], [], []
+            for i in range(0, len(a), STRIP):
+                part = a[i : i + STRIP]
+                bits = (part & np.uint16(1 << k)) != 0
+                packed.append(np.packbits(bits))
+                low.append(np.compress(~bits, part))
+                high.append(np.compress(bits, part))
+            packed = np.concatenate([*packed, np.zeros(0, dtype=np.uint8)])
             planes.append(packed.tobytes())
-            low = a[~bits]
-            zeros.append(len(low))
-            a = np.concatenate([low, a[bits]])
+            zeros.append(sum(map(len, low)))
+            a = np.concatenate([*low, *high, a[:0]])
             full = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), dtype=np.uint8)
             full[: len(packed)] = packed
-            ones = np.bitwise_count(full).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
+            ones = np.bitwise_count(full.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes())
         return cls(len(ids), planes, zeros, ranks)
 
@@ -51,10 +58,14 @@ class WaveletMatrix:
         """The whole sequence: the planes are undone from the lowest bit up."""
         a = np.zeros(self.n, dtype=np.uint16)
         for k, (plane, zeros) in enumerate(zip(reversed(self.raw), reversed(self.zeros), strict=True)):
-            bits = np.unpackbits(np.frombuffer(plane, dtype=np.uint8), count=self.n).astype(bool)
-            out = np.empty_like(a)
-            out[~bits] = a[:zeros]
-            out[bits] = a[zeros:] | np.uint16(1 << k)
+            bits = np.unpackbits(np.frombuffer(plane, dtype=np.uint8), count=self.n).view(bool)
+            out, low, high = np.empty_like(a), 0, zeros
+            for i in range(0, self.n, STRIP):
+                part, to = bits[i : i + STRIP], out[i : i + STRIP]
+                one, zero = np.flatnonzero(part), np.flatnonzero(~part)
+                to[zero] = a[low : low + len(zero)]
+                to[one] = a[high : high + len(one)] | np.uint16(1 << k)
+                low, high = low + len(zero), high + len(one)
             a = out
         return a
 

@@ -99,21 +99,26 @@ class WordEncoder:
         self.words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
         self.name, self.known, self.units = name, {}, {}
 
+    def unit(self, word: str) -> bytes:
+        got = self.units.get(word)
+        if got is None:
+            got = array("H", self.merge(word.encode() + b"\xff")).tobytes()
+            if len(word) <= 64:
+                if len(self.units) > CACHE:
+                    self.units.clear()
+                self.units[word] = got
+        return got
+
     def piece(self, text: str) -> bytes:
+        if text.isascii():
+            if text.isalpha():
+                return self.unit(text.lower())
+            if text[:-1].isalpha() and text[-1] in ".,;:!?":  # most of what is not one word
+                return self.unit(text[:-1].lower()) + self.unit(text[-1])
         if not text.isascii() and max(text) >= "\u0250" or "<|" in text:
             return array("H", library(self.name).encode(text, add_special_tokens=False).ids).tobytes()
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-        units, out = self.units, []
-        for w in self.words.findall(text):
-            got = units.get(w)
-            if got is None:
-                got = array("H", self.merge(w.encode() + b"\xff")).tobytes()
-                if len(w) <= 64:
-                    if len(units) > CACHE:
-                        units.clear()
-                    units[w] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.unit, self.words.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
         pieces = text.split(" ")
