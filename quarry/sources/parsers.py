@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import csv
 import io
 import json
@@ -19,25 +18,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-# The languages of source files, and which suffixes are read at all.
+# Languages of source files by suffix, and the patterns of their leading comment, functions, classes and imports.
+_COMMENT = r"/\*\*(.*?)\*/"
+_C = {"comment": _COMMENT, "functions": r"^(?:[\w\*]+\s+)+(\w+)\s*\([^;]*$", "classes": r"^(?:typedef\s+)?(?:struct|union|enum)\s+(\w+)", "imports": r'^#include\s+[<"][\w./]+"?'}
+_JAVASCRIPT = {"comment": _COMMENT, "functions": r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "classes": r"^(?:export\s+)?class\s+(\w+)", "imports": r"^(?:import\s+.+|(?:const|let|var)\s+.*?=\s*require\s*\()"}
+_TYPESCRIPT = {"comment": _COMMENT, "functions": r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "classes": r"^(?:export\s+)?(?:class|interface|enum|type)\s+(\w+)", "imports": r"^import\s+.+"}
+_MQL = {"comment": _COMMENT, "functions": r"^(?:[\w\*]+\s+)+(\w+)\s*\(", "classes": r"^class\s+(\w+)", "imports": r"^#(?:include|property)\s+.+"}
 LANGUAGES = {
-    ".py": "python", ".c": "c", ".h": "c", ".cpp": "cpp", ".js": "javascript", ".jsx": "javascript",
-    ".ts": "typescript", ".tsx": "typescript", ".mqh": "mql", ".mq4": "mql",
-}
-
-_BRACED = {"functions": r"^[ \t]*(?:[\w:*&<>~]+[ \t]+)+[*&]?(\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{", "classes": r"^\s*(?:class|struct)\s+(\w+)", "imports": r"^\s*#include\s*[<\"]([^>\"]+)[>\"]"}
-_SCRIPT = {"functions": r"(?:^|\s)function\s+(\w+)|^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "classes": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "imports": r"^\s*import\s.*?from\s+['\"]([^'\"]+)['\"]|require\(\s*['\"]([^'\"]+)['\"]\s*\)"}
-_SYMBOLS = {"c": _BRACED, "cpp": _BRACED, "mql": _BRACED, "javascript": _SCRIPT, "typescript": _SCRIPT, "python": {"functions": r"^\s*(?:async\s+)?def\s+(\w+)", "classes": r"^\s*class\s+(\w+)", "imports": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"}}
+    ".py": ("python", {"comment": r"""^["\'][\'"]{2}(.*?)["\'][\'"]{2}""", "functions": r"^def\s+(\w+)\s*\(", "classes": r"^class\s+(\w+)\s*[:\(]", "imports": r"^(?:from\s+[\w.]+\s+)?import\s+[\w.,\s]+"}),
+    ".c": ("c", _C),
+    ".h": ("c", _C | {"functions": r"^(?:[\w\*]+\s+)+(\w+)\s*\("}),
+    ".cpp": ("cpp", {"comment": _COMMENT, "functions": r"^(?:[\w\*:&]+\s+)+(\w+)\s*\([^;]*$", "classes": r"^(?:class|struct)\s+(\w+)", "imports": r'^#include\s+[<"][\w./]+"?'}),
+    ".js": ("javascript", _JAVASCRIPT),
+    ".jsx": ("javascript", _JAVASCRIPT),
+    ".ts": ("typescript", _TYPESCRIPT),
+    ".tsx": ("typescript", _TYPESCRIPT),
+    ".mqh": ("mql4", _MQL),
+    ".mq4": ("mql4", _MQL),
+}
 
 
 def _text(raw: bytes) -> str:
     return raw.decode("utf-8", errors="replace")
 
 
-def _all(pattern: str, text: str) -> list[str]:
-    return [next((g for g in m.groups() if g), "") for m in re.finditer(pattern, text, re.M)]
-
-
 def markdown(raw: bytes, stem: str) -> tuple[str, dict]:
     text = _text(raw)
     body = re.sub(r"\A---\n.*?\n---\n", "", text, count=1, flags=re.S)
@@ -51,18 +55,13 @@ def plain(raw: bytes, stem: str) -> tuple[str, dict]:
     return text, {"type": "text", "title": stem, "line_count": text.count("\n") + 1}
 
 
-def code(raw: bytes, stem: str, language: str) -> tuple[str, dict]:
-    text = _text(raw)
-    symbols = _SYMBOLS[language]
-    doc = re.match(r"\s*/\*\*?(.*?)\*/", text, re.S)
-    doc = doc[1].strip() if doc else ""
-    if language == "python":
-        try:
-            doc = ast.get_docstring(ast.parse(text)) or ""
-        except (SyntaxError, ValueError):
-            m = re.match(r'\s*(?:"""|\'\'\')(.*?)(?:"""|\'\'\')', text, re.S)
-            doc = m[1].strip() if m else ""
-    return text, {"type": "code", "title": stem, "language": language, "functions": _all(symbols["functions"], text), "classes": _all(symbols["classes"], text), "imports": _all(symbols["imports"], text)[:10], "docstring": doc, "line_count": text.count("\n") + 1}
+def code(raw: bytes, stem: str, suffix: str) -> tuple[str, dict]:
+    """Names at the start of a line, imports as they are written (ten at most)."""
+    text = raw.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
+    language, patterns = LANGUAGES[suffix]
+    found = {k: re.findall(patterns[k], text, re.M) for k in ("functions", "classes", "imports")}
+    doc = re.match(patterns["comment"], text, re.S)
+    return text, {"type": "code", "title": stem, "language": language, **found, "imports": found["imports"][:10], "docstring": doc[1].strip() if doc else "", "line_count": text.count("\n") + 1}
 
 
 def xml(raw: bytes, stem: str) -> tuple[str, dict]:
@@ -186,7 +185,7 @@ def pdf(raw: bytes, stem: str) -> tuple[str, dict]:
 #: The parser of each suffix. Users may add their own.
 PARSERS: dict[str, Callable[[bytes, str], tuple[str, dict]]] = {
     ".md": markdown, ".txt": plain, ".pdf": pdf, ".xml": xml, ".json": json_, ".csv": csv_, ".ipynb": notebook, ".docx": docx, ".xlsx": xlsx, ".pptx": pptx,
-    **{s: (lambda raw, stem, language=language: code(raw, stem, language)) for s, language in LANGUAGES.items()},
+    **{s: (lambda raw, stem, suffix=s: code(raw, stem, suffix)) for s in LANGUAGES},
 }
 
 META = (

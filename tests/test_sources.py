@@ -32,9 +32,13 @@ def test_markdown_and_text():
 @pytest.mark.parametrize(
     ("path", "raw", "functions", "classes", "imports"),
     [
-        ("a.py", b'"""Doc."""\nimport os\nfrom x.y import z\nclass A:\n    def f(self): pass\nasync def g(): pass\n', ["f", "g"], ["A"], ["os", "x.y"]),
-        ("a.cpp", b"#include <vector>\nclass P {};\nint main(int a) {\n return 0; }\n", ["main"], ["P"], ["vector"]),
-        ("a.ts", b"import {x} from 'm';\nexport class T {}\nfunction f() {}\nconst g = (a) => a;\n", ["f", "g"], ["T"], ["m"]),
+        ("a.py", b'"""Doc."""\nimport os, sys\nx = 1\nfrom x.y import z\nclass A:\n    def f(self): pass\ndef g(): pass\n', ["g"], ["A"], ["import os, sys\nx ", "from x.y import z\nclass A"]),
+        ("a.cpp", b"#include <vector>\nclass P {};\nint main(int a) {\n return 0; }\n", ["main"], ["P"], ["#include <vector"]),
+        ("a.c", b"/** Doc. */\r\n#include \"a/b.h\"\r\ntypedef struct point { int x; } point;\r\nenum color { RED };\r\nint add(int a)\r\n{ return a; }\r\nint later(int a);\r\n", ["add"], ["point", "color"], ['#include "a/b.h"']),
+        ("a.h", b"union u { int x; };\nint later(int a);\n", ["later"], ["u"], []),
+        ("a.ts", b"import {x} from 'm';\nexport class T {}\ninterface I {}\nexport enum E {}\ntype K = 1;\nexport async function f() {}\nconst g = (a) => a;\n", ["f"], ["T", "I", "E", "K"], ["import {x} from 'm';"]),
+        ("a.jsx", b"const a = require('m');\nimport b from 'n'\nfunction f() {}\nclass C {}\n  class D {}\n", ["f"], ["C"], ["const a = require(", "import b from 'n'"]),
+        ("a.mq4", b"#property strict\nvoid OnTick() {}\nclass B {};\n", ["OnTick"], ["B"], ["#property strict"]),
     ],
 )
 def test_code(path, raw, functions, classes, imports):
