@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .retrieval import small
 
 
 def classified(files: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def dimension_mismatch(vectors: DataFrame, dim: int) -> DataFrame:
 
 def namespaces(paths: DataFrame, names: DataFrame) -> DataFrame:
     """Namespace, n, digest_sum of the files in it; a name ends at a path boundary. names: namespace (few rows)."""
-    hit = paths.join(F.broadcast(names), (F.col("path") == F.col("namespace")) | F.startswith("path", F.concat("namespace", F.lit("/"))))
+    hit = paths.join(small(names), (F.col("path") == F.col("namespace")) | F.startswith("path", F.concat("namespace", F.lit("/"))))
     part = F.conv(F.substring(F.sha2(F.concat_ws(":", "path", "sha256"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
     return hit.groupBy("namespace").agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest_sum"))
 

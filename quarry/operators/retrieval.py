@@ -197,7 +197,7 @@ def keyword_route(queries: DataFrame, routes: DataFrame) -> DataFrame:
     """query_id, routed_by: the category with most keywords in the query; the one declared first wins ties. routes: category, keyword, cat_ord."""
     k, q = F.lower("keyword"), F.lower("query_text")
     word = F.concat(F.lit(r"(?U)\b\Q"), k, F.lit(r"\E\b"))
-    hits = queries.join(F.broadcast(routes), F.when(F.contains(k, F.lit(" ")), F.contains(q, k)).otherwise(F.rlike(q, word)))
+    hits = queries.join(small(routes), F.when(F.contains(k, F.lit(" ")), F.contains(q, k)).otherwise(F.rlike(q, word)))
     n = hits.groupBy("query_id", "category", "cat_ord").agg(F.count("*").alias("n"))
     best = ranked(n, [F.desc("n"), F.asc("cat_ord")], 1).select("query_id", F.col("category").alias("routed_by"))
     return queries.select("query_id").join(best, "query_id", "left")
