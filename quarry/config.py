@@ -151,11 +151,35 @@ class Config:
         return min(self.max_results, max(1, self.default_results if k is None else k))
 
 
+# Categories of two presets by pattern of the path.
+DEVELOPER = {
+    "architecture": "architecture",
+    "api": "api",
+    "runbooks": "runbooks",
+    "backend": "backend",
+    "frontend": "frontend",
+    "infrastructure": "infra",
+    "database": "database",
+    "testing": "testing",
+    "notes": "notes",
+}
+RESEARCH = {
+    "papers": "papers",
+    "books": "books",
+    "notes/lectures": "lectures",
+    "notes/reading": "reading",
+    "notes": "notes",
+    "thesis": "thesis",
+    "experiments": "experiments",
+    "datasets": "datasets",
+    "writing": "writing",
+}
+
 # Presets. Only what differs from the defaults; routes and synonyms come with the user's file.
 PRESETS: dict[str, dict[str, Any]] = {
-    "general": {"max_results": 20},
+    "general": {"max_results": 20, "category_mappings": {}},
     "cybersecurity": {"max_results": 20},
-    "developer": {"max_results": 20, "chunk_size": 1200, "chunk_overlap": 250},
-    "research": {"max_results": 20, "chunk_size": 1500, "chunk_overlap": 300},
-    "multilingual": {"max_results": 20, "profile": "multilingual"},
+    "developer": {"max_results": 20, "chunk_size": 1200, "chunk_overlap": 250, "category_mappings": DEVELOPER},
+    "research": {"max_results": 20, "chunk_size": 1500, "chunk_overlap": 300, "category_mappings": RESEARCH},
+    "multilingual": {"max_results": 20, "profile": "multilingual", "category_mappings": {}},
 }

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .retrieval import small
 
+# Names that never belong to a corpus.
+JUNK_FOLDERS = [".git"]
+JUNK_FILES = [".DS_Store", "Thumbs.db", ".gitignore", ".gitattributes"]
+
 
 def classified(files: DataFrame, indexed: DataFrame) -> DataFrame:
     """Source, change: new, unchanged (mtime and size equal), updated, or deleted. Both sides: source, mtime, size."""
@@ -35,6 +40,36 @@ def indexing_stats(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count("*").alias("total"), n("new").alias("added"), n("updated").alias("updated"), n("unchanged").alias("skipped"), n("deleted").alias("deleted"))
 
 
+def indexing_report(files: DataFrame) -> DataFrame:
+    """One row of ten counters. files: source, change, error, category, chunks, repeats (chunks left out as copies), old_chunks (chunks it had). What
+    a file with an error would have added does not count. The categories (few, as configured) are a map."""
+    change = lambda c: F.col("change") == c
+    done = F.col("change").isin("new", "updated") & F.col("error").isNull()
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    counters = {
+        "total_files": F.count_if(~change("deleted")), "indexed": F.count_if(done & change("new")), "updated": F.count_if(done & change("updated")), "skipped": F.count_if(change("unchanged")),
+        "deleted": F.count_if(change("deleted")), "errors": F.count_if(F.col("error").isNotNull()), "chunks_added": total("chunks", done),
+        "chunks_removed": total("old_chunks", done & change("updated") | change("deleted")), "dedup_skipped": total("repeats", done),
+    }
+    by = files.groupBy("category").agg(*[c.alias(n) for n, c in counters.items()], F.count_if(done).alias("n"))
+    named = F.collect_list(F.when((F.col("n") > 0) & F.col("category").isNotNull(), F.struct("category", "n")))
+    return by.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counters], F.map_from_entries(F.array_sort(named)).alias("categories"))
+
+
+def progress(samples: DataFrame, per: str, span: int = 30, most: int = 100) -> DataFrame:
+    """A7, ST8: after each document of a run: processed, estimate (of the run's chunks, from the mean so far), throughput (chunks a second over the
+    last span seconds or most samples), eta (whole seconds). samples: per, n (1, 2, ...), t (seconds), chunks, total (documents of the run)."""
+    w = Window.partitionBy(per)
+    s = samples.withColumn("processed", F.sum("chunks").over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("estimate", F.greatest("processed", F.floor(F.col("processed") / F.col("n") * F.col("total"))))
+    recent, last = w.orderBy("t").rangeBetween(-span, 0), w.orderBy("n").rowsBetween(-(most - 1), 0)
+    seconds = F.col("t") - F.greatest(F.min("t").over(recent), F.first("t").over(last))
+    chunks = F.col("processed") - F.greatest(F.min("processed").over(recent), F.first("processed").over(last))
+    s = s.withColumn("throughput", F.when(seconds > 0, chunks / seconds).otherwise(0.0))
+    eta = F.when((F.col("throughput") > 0) & (F.col("estimate") > F.col("processed")), F.floor((F.col("estimate") - F.col("processed")) / F.col("throughput"))).otherwise(0)
+    return s.select(per, "n", "processed", "estimate", "throughput", eta.alias("eta"))
+
+
 def merged(old: DataFrame, fresh: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """K1 to K5: the rows of old without those of the keys in gone or fresh, and those of fresh. Rows that stay are taken as they are."""
     out = gone.select(key).union(fresh.select(key)).distinct()
@@ -83,6 +118,30 @@ def ordered_digest(df: DataFrame, key: str, *columns: str) -> str:
     return fold.hexdigest()
 
 
+def tree_digest(files: DataFrame, by: str) -> DataFrame:
+    """By, files, digest_sum over each file's path, sha256 and size, without bringing the files together. files: by, path, sha256, size."""
+    line = F.concat("path", F.lit("\0"), "sha256", F.lit("\0"), F.col("size").cast("string"), F.lit("\n"))
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return files.groupBy(by).agg(F.count("*").alias("files"), F.sum(part).cast("string").alias("digest_sum"))
+
+
+def admitted(listing: DataFrame, suffixes: Sequence[str] = (), patterns: Sequence[str] = ()) -> DataFrame:
+    """the files of a listing (path, below the root; kind: file, directory, link or other) that belong to a corpus: none below .git, none of the
+    junk names, of the suffixes if any are given, none that a pattern excludes. Anything but files and directories is an error."""
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    safe = F.when(F.col("kind").isin("file", "directory"), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("neither file nor directory: "), "path")))
+    out = listing.where(~F.exists(parts, lambda p: p.isin(*JUNK_FOLDERS))).withColumn("kind", safe).where(F.col("kind") == "file").where(~name.isin(*JUNK_FILES))
+    if suffixes:
+        out = out.where(F.regexp_extract(F.lower(name), r"^.+(\.[^.]+)$", 1).isin(*[s.lower() for s in suffixes]))
+    return out.where(~tx.excluded("path", patterns)) if patterns else out
+
+
+def page(rows: DataFrame, key: str, after=None, most: int = 400) -> DataFrame:
+    """The next rows in the order of their unique key, after the last one seen. The filter reaches the scan; no row is counted past."""
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(most)
+
+
 def gates(staged: DataFrame, baseline: int, sane_hits: DataFrame, needed: int = 4) -> DataFrame:
     """K9: one row: rows, hits, enough_rows (nine tenths of the baseline), enough_hits, passed. sane_hits: query_id, hits. Against an empty
     baseline every build passes, an empty one too."""

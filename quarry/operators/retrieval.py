@@ -246,7 +246,7 @@ def _held(queries: list):
     return run
 
 
-def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow of a function that gives lists of columns."""
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     return df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(b, arrow, strict=True)], schema=arrow) for b in run(batches)), schema)
@@ -259,9 +259,9 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, most: int = 4_000_000) ->
     q = queries.select("query_id", tx.phrases("query_text").alias("phrases")).where(F.size("phrases") > 0)
     if few_words(queries, "query_text", most):
         asked = q.collect()
-        df = _mapped(c, _spread({tuple(p) for r in asked for p in r["phrases"]}), "key string, df long").groupBy("key").agg(F.sum("df").alias("df"))
+        df = mapped(c, _spread({tuple(p) for r in asked for p in r["phrases"]}), "key string, df long").groupBy("key").agg(F.sum("df").alias("df"))
         types = [d.schema[n].dataType.simpleString() for n, d in (("query_id", queries), ("chunk_id", chunks))]
-        held = _mapped(c, _held(asked), f"query_id {types[0]}, chunk_id {types[1]}, dl long, key string, times long, tf long").join(F.broadcast(df), "key")
+        held = mapped(c, _held(asked), f"query_id {types[0]}, chunk_id {types[1]}, dl long, key string, times long, tf long").join(F.broadcast(df), "key")
     else:
         each = q.select("query_id", F.explode("phrases").alias("phrase")).groupBy("query_id", F.array_join("phrase", " ").alias("key"), "phrase").agg(F.count("*").alias("times"))
         asked = each.select("key", "phrase", F.col("phrase")[0].alias("term")).distinct()

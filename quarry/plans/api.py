@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as tx
 from ..operators import chunking as ch
+from ..operators import lexical as lx
 from ..operators import maintenance as mt
 from ..operators import retrieval as rt
 from ..sources import parsers as ps
 from .generations import Generations
+from .requests import QueryCache
 from .search import HybridSearch
 
 
@@ -29,9 +31,24 @@ def hashed_embedder(dim: int = 64):
         norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
         return d.withColumn(out, F.transform("_v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))).drop("_w", "_v")
 
+    embed.dim = dim
     return embed
 
 
+def contracted(embed, dim: int | None = None):
+    """A hook that keeps its contract: a vector that is null, of another length than dim (where given), or holds a component that is no number is
+    an error where it is read, never a vector of zeros."""
+
+    def run(df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        v = F.col(out)
+        bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        if dim is not None:
+            bad = bad | (F.size(v) != dim)
+        return embed(df, text, out).withColumn(out, F.when(bad, F.raise_error(F.lit(f"the embedder gave no vector of {dim or 'finite'} components"))).otherwise(v))
+
+    return run
+
+
 def contained(path: str, root: str) -> str:
     """The normal form of a path below root; anything else is an error. Links are the store's business."""
     if "\0" in path:
@@ -55,21 +72,24 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, folder: str, config: Config | None = None, embed=None, sanity: tuple[str, ...] = ()):
         """sanity: queries of which a full rebuild has to find four (all, if there are fewer) before it is published."""
         self.spark, self.config, self.store = spark, config or Config(), Generations(spark, folder)
-        self.embed, self.sanity = embed or hashed_embedder(), tuple(sanity)
+        embed = embed or hashed_embedder()
+        self.embed, self.sanity, self.cache = contracted(embed, getattr(embed, "dim", None)), tuple(sanity), QueryCache()
 
     # --- building ---
 
     def _categorised(self, docs: DataFrame) -> DataFrame:
         return docs.withColumn("category", F.coalesce(F.col("category"), tx.category("source", self.config.category_mappings)) if "category" in docs.columns else tx.category("source", self.config.category_mappings))
 
-    def _publish(self, fresh: DataFrame, gone: DataFrame | None = None, status: DataFrame | None = None, gated: bool = False) -> str:
+    def _publish(self, fresh: DataFrame, gone: DataFrame | None = None, status: DataFrame | None = None, gated: bool = False, origin: str | None = None) -> str:
         """K1 to K5: a new generation of the current one without the documents (source) of gone and fresh, and with those of fresh. Only fresh
         documents are categorised, chunked, embedded and tokenized; rows of the others are taken over, statistics are counted
-        anew. Without gone everything is made from fresh. gated: K9, before it is published."""
+        anew. Without gone everything is made from fresh. gated: K9, before it is published. origin: what it is made from, so that a build that was
+        cut off is taken up (ST5)."""
         from ..operators import index as ix
 
         c, before = self.config, self.store.current
         old = None if gone is None or before is None else lambda t: self.store.read(t, before)
+        held = self.store.receipt(before)["tables"] if before is not None else {}
         new = self._categorised(fresh.where("content is not null")).select("doc_id", "source", "filename", "format", "category", "content", "mtime", "size", tx.keywords("content", c.keyword_routes).alias("keywords"))
         sources = fresh.select("source") if gone is None else gone.select("source").union(fresh.select("source"))
 
@@ -83,30 +103,44 @@ class KnowledgeBase:
         def vectors(read):
             return self.embed(added(read).select("chunk_id", "doc_id", "chunk_index", "source", F.concat(F.lit(c.passage_prefix), "content").alias("passage")), "passage").drop("passage")
 
-        def postings(read):
-            now = ix.postings(ix.tokenized(added(read)))
-            if old is None:
-                return now
-            left = old("chunks").join(sources.distinct(), "source", "left_semi").select("chunk_id")
-            return old("postings").join(left, "chunk_id", "left_anti").unionByName(now)
+        def by_chunk(table, make):
+            def run(read):
+                now = make(added(read))
+                if old is None or table not in held:
+                    return now if old is None else make(read("chunks"))
+                left = old("chunks").join(sources.distinct(), "source", "left_semi").select("chunk_id")
+                return old(table).join(left, "chunk_id", "left_anti").unionByName(now)
+
+            return run
 
         keep = lambda t, make: make if old is None else lambda read: mt.merged(old(t), make(read), sources, "source")
         tables = {
-            "documents": keep("documents", lambda read: new), "chunks": keep("chunks", chunks), "vectors": keep("vectors", vectors), "postings": postings,
+            "documents": keep("documents", lambda read: new), "chunks": keep("chunks", chunks), "vectors": keep("vectors", vectors), "postings": by_chunk("postings", lambda d: ix.postings(ix.tokenized(d))),
             "corpus_stats": lambda read: ix.corpus_stats_of(read("chunks"), read("postings")), "term_stats": lambda read: ix.term_stats(read("postings"), read("corpus_stats")),
         }
+        if c.lexical_enabled:
+            tables["places"] = by_chunk("places", lx.entries)
         if status is not None:
             tables["changes"] = status
-        name = self.store.build(tables, {"chunk_size": c.chunk_size, "chunk_overlap": c.chunk_overlap, "model": c.embedding_model})
+        name = self.store.build(tables, self._settings(), origin=None if origin is None else f"{before} {origin}")
+        made = self.store.receipt(name)["tables"]
+        if made["vectors"]["rows"] != made["chunks"]["rows"]:
+            raise ValueError(f"{made['vectors']['rows']} vectors of {made['chunks']['rows']} chunks; the old build stays")
         if before is not None:
-            rows = self.store.receipt(name)["tables"]["chunks"]["rows"]
+            rows = made["chunks"]["rows"]
             if rows == 0:
                 raise ValueError("the new build is empty; the old one stays")
             if gated:
                 self._gates(name, self.store.receipt(before)["tables"]["chunks"]["rows"])
         self.store.activate(name, before)
+        self.cache.invalidate()
         return name
 
+    def _settings(self) -> dict:
+        """What a build depends on besides its documents."""
+        c = self.config
+        return {"chunk_size": c.chunk_size, "chunk_overlap": c.chunk_overlap, "model": c.embedding_model, "dim": c.embedding_dim}
+
     def _gates(self, name: str, baseline: int) -> None:
         """K9: a build that fails is dropped, and the old one stays."""
         asked = self.spark.createDataFrame(list(enumerate(self.sanity)), "query_id long, query_text string")
@@ -129,7 +163,9 @@ class KnowledgeBase:
             wanted = changes.where("change <> 'deleted'" if full else "change in ('new', 'updated')").select("source")
             fresh = ps.parsed(now.join(wanted.withColumnRenamed("source", "path"), "path", "left_semi")) if now is not None else docs.join(wanted, "source", "left_semi")
             gone = None if full else changes.where("change in ('updated', 'deleted')").select("source")
-        self._publish(fresh, gone, changes, full)
+        # The same listing against the same generation is the same work: a run that was cut off goes on with the tables that it had finished.
+        origin = mt.set_digest(listing, *listing.columns).first()
+        self._publish(fresh, gone, changes, full, f"{origin['n']} {origin['digest_sum']} {full}")
         return self.get_reindex_status()
 
     def get_reindex_status(self) -> dict:
@@ -181,7 +217,8 @@ class KnowledgeBase:
 
     def _engine(self, name: str | None = None) -> HybridSearch:
         read = lambda t: self.store.read(t, name)
-        return HybridSearch(read("chunks"), read("vectors").select("chunk_id", "embedding"), "chunk_id", {k: read(k) for k in ("postings", "term_stats", "corpus_stats")})
+        places = ("places",) if "places" in self.store.receipt(name or self.store.current)["tables"] else ()
+        return HybridSearch(read("chunks"), read("vectors").select("chunk_id", "embedding"), "chunk_id", {k: read(k) for k in ("postings", "term_stats", "corpus_stats", *places)})
 
     def search_knowledge(self, queries: DataFrame, max_results: int | None = None, category: str | None = None, hybrid_alpha: float | None = None, min_score: float | None = None, scorer=None, mmr: bool = True, neighbours: bool = True, search_method: str = "auto") -> DataFrame:
         """R13 over a table of queries (query_id, query_text): hits with snippets, and what each query was routed by. search_method: auto (the lexical path
@@ -220,6 +257,17 @@ class KnowledgeBase:
             hits = hits.withColumn("routed_by", F.lit(None).cast("string"))
         return hits.withColumn("routed_by", F.when(F.col("search_method") == "fts5", "fts5_router").otherwise(F.col("routed_by")))
 
+    def ask(self, query: str, max_results: int | None = None, category: str | None = None, hybrid_alpha: float | None = None, min_score: float | None = None, search_method: str = "auto") -> list[dict]:
+        """R13, ST7: the hits of one query, best first. Answers (of max_results rows) are kept in a cache until they are too old or a build is published."""
+        key = self.cache.key(self.store.current, query, self.config.results(max_results), category, hybrid_alpha, min_score, search_method)
+        found = self.cache.get(key)
+        if found is None:
+            asked = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
+            hits = self.search_knowledge(asked, max_results, category, hybrid_alpha, min_score, search_method=search_method)
+            found = sorted((r.asDict(recursive=True) for r in hits.collect()), key=lambda r: r["rank"])
+            self.cache.put(key, found)
+        return found
+
     def get_document(self, source: str) -> dict | None:
         """R16"""
         r = self.store.read("documents").where(F.col("source") == contained(source, "")).first()
@@ -228,17 +276,20 @@ class KnowledgeBase:
     def list_categories(self) -> DataFrame:
         return mt.category_counts(self.store.read("documents"))
 
-    def list_documents(self, category: str | None = None) -> DataFrame:
-        """R17"""
+    def list_documents(self, category: str | None = None, offset: int | None = None, most: int | None = None) -> DataFrame:
+        """R17; W9: by source, where a page is asked for."""
         d = self.store.read("documents")
         d = d if category is None else d.where(F.col("category") == category)
-        return d.select("doc_id", "source", "filename", "format", "category", F.slice("keywords", 1, 5).alias("keywords"))
+        d = d.select("doc_id", "source", "filename", "format", "category", F.slice("keywords", 1, 5).alias("keywords"))
+        return d if offset is None and most is None else d.orderBy("source").offset(max(0, offset or 0)).limit(1000 if most is None else max(0, most))
 
     def get_index_stats(self) -> dict:
         """A6"""
-        r = self.store.receipt(self.store.current)
+        r = self.store.metadata()
+        if not r:
+            return {"generation": None, "total_documents": 0, "total_chunks": 0, "terms": 0, "cache": self.cache.stats()}
         rows = {t: x["rows"] for t, x in r["tables"].items()}
-        return {"generation": self.store.current, "total_documents": rows["documents"], "total_chunks": rows["chunks"], "terms": rows["term_stats"], **r["settings"]}
+        return {"generation": self.store.current, "total_documents": rows["documents"], "total_chunks": rows["chunks"], "terms": rows["term_stats"], **r["settings"], "cache": self.cache.stats()}
 
     def search_similar(self, source: str, max_results: int = 5) -> DataFrame:
         """R11"""

@@ -7,8 +7,10 @@ receipt's generation can be published.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import threading
 import time
 from collections.abc import Callable
 
@@ -20,6 +22,8 @@ from ..operators.maintenance import set_digest
 
 #: Seconds after which a publisher that has claimed a number and not published counts as lost.
 CLAIM = 60.0
+#: The version of receipts and plans; a build of another one is not taken up.
+VERSION = 1
 
 
 class Conflict(RuntimeError):
@@ -39,18 +43,48 @@ class Generations:
         r = set_digest(df.select(*[F.to_json(F.struct(F.col(c))).alias(c) for c in sorted(df.columns)]), *sorted(df.columns)).first()
         return {"rows": r["n"], "digest": r["digest_sum"], "schema": df.schema.jsonValue()}
 
-    def build(self, tables: dict[str, DataFrame | Callable], settings: dict | None = None, name: str | None = None) -> str:
+    def build(self, tables: dict[str, DataFrame | Callable], settings: dict | None = None, name: str | None = None, origin: str | None = None) -> str:
         """Write all tables in their order, read them back, and seal them with a receipt. A table may be a function of a reader of the
-        tables written before it. Gives the generation's name."""
-        name = name or f"g{int(time.time() * 1e6)}"
-        receipt = {"version": 1, "settings": settings or {}, "tables": {}}
+        tables written before it. Gives the generation's name.
+
+        ST5: origin names what the tables are made from. An unsealed build of the same version, settings, tables and origin is taken up: tables that
+        were finished stay, the others are written anew. Without an origin every build starts anew."""
+        plan = json.dumps({"version": VERSION, "settings": settings or {}, "tables": list(tables), "origin": origin}, sort_keys=True)
+        name = name or (self.resumable(plan) if origin is not None else None) or f"g{int(time.time() * 1e6)}"
+        if self.planned(name) != plan:
+            self.spark.createDataFrame([(plan,)], "plan string").coalesce(1).write.mode("errorifexists").json(self._at("builds", name, "_plan.json"))
+        receipt = {"version": VERSION, "settings": settings or {}, "tables": {}}
         for t, df in tables.items():
-            df = df(lambda t: self.read(t, name)) if callable(df) and not isinstance(df, DataFrame) else df
-            df.write.mode("errorifexists").parquet(self._at("builds", name, t))
+            if not self.fs.exists(self.path(self._at("builds", name, t, "_SUCCESS"))):
+                df = df(lambda t: self.read(t, name)) if callable(df) and not isinstance(df, DataFrame) else df
+                df.write.mode("overwrite" if origin is not None else "errorifexists").parquet(self._at("builds", name, t))
             receipt["tables"][t] = self._digest(self.spark.read.parquet(self._at("builds", name, t)))
         self.spark.createDataFrame([(json.dumps(receipt, sort_keys=True),)], "receipt string").coalesce(1).write.json(self._at("builds", name, "_receipt.json"))
         return name
 
+    def planned(self, name: str) -> str | None:
+        """The plan of a build, or None where there is none that can be read."""
+        try:
+            return self.spark.read.schema("plan string").json(self._at("builds", name, "_plan.json")).first()["plan"]
+        except Exception:
+            return None
+
+    def unsealed(self) -> list[str]:
+        at = self.path(self._at("builds"))
+        names = sorted((s.getPath().getName() for s in self.fs.listStatus(at)), reverse=True) if self.fs.exists(at) else []
+        return [n for n in names if not self.fs.exists(self.path(self._at("builds", n, "_receipt.json")))]
+
+    def resumable(self, plan: str) -> str | None:
+        """ST5: the latest unsealed build of this plan."""
+        return next((n for n in self.unsealed() if self.planned(n) == plan), None)
+
+    def metadata(self, name: str | None = None) -> dict:
+        """The receipt of a generation (the current one); empty where there is none or none that can be read."""
+        try:
+            return self.receipt(name or self.current or "")
+        except Exception:
+            return {}
+
     def receipt(self, name: str) -> dict:
         at = self._at("builds", name, "_receipt.json")
         if not self.fs.exists(self.path(at)):
@@ -117,6 +151,50 @@ class Generations:
         self.activate(back, h[-1][1])
         return back
 
+    def whole(self, name: str) -> bool:
+        """Whether a generation is all its receipt says, and the receipt can be read."""
+        try:
+            return not self.verify(name)
+        except Exception:
+            return False
+
+    def admitted(self, name: str | None = None) -> dict[str, DataFrame]:
+        """The tables of a sealed generation to be read from. It has to hold what its receipt says, and nothing besides."""
+        name = name or self.current
+        if name is None:
+            raise ValueError("no generation is active")
+        if wrong := self.verify(name):
+            raise ValueError(f"{name}: {', '.join(wrong)}")
+        said = set(self.receipt(name)["tables"])
+        held = {s.getPath().getName() for s in self.fs.listStatus(self.path(self._at("builds", name)))} - {"_receipt.json", "_plan.json"}
+        if more := sorted(held - said):
+            raise ValueError(f"{name}: not in the receipt: {', '.join(more)}")
+        return {t: self.read(t, name) for t in sorted(said)}
+
+    def recovered(self) -> str | None:
+        """If the current generation is broken, the latest whole one of the history is published again, and its name given; the broken one stays
+        where it is, unread. None if the current one is whole; an error if none is."""
+        h = self.history()
+        if not h or self.whole(h[-1][1]):
+            return None
+        back = next((n for n in dict.fromkeys(n for _, n in reversed(h[:-1])) if n != h[-1][1] and self.whole(n)), None)
+        if back is None:
+            raise ValueError(f"{h[-1][1]} is broken, and so is all before it: build anew")
+        self.activate(back, h[-1][1])
+        return back
+
+    def fingerprint(self) -> str:
+        """ST9: the publications and the current generation's files, by name, size and time; no content is read."""
+        h = self.history()
+        fold = hashlib.sha256(json.dumps(h).encode())
+        if h:
+            files, seen = self.fs.listFiles(self.path(self._at("builds", h[-1][1])), True), []
+            while files.hasNext():
+                f = files.next()
+                seen.append(f"{f.getPath()}\0{f.getLen()}\0{f.getModificationTime()}\n")
+            fold.update("".join(sorted(seen)).encode())
+        return fold.hexdigest()
+
     def read(self, table: str, name: str | None = None) -> DataFrame:
         name = name or self.current
         if name is None:
@@ -125,13 +203,38 @@ class Generations:
 
     def stale(self, now: float, hours: float = 24) -> list[str]:
         """Unsealed builds older than so many hours; names without a time are left alone."""
-        at = self.path(self._at("builds"))
-        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
-        old = [n for n in names if (m := re.fullmatch(r"g(\d+)", n)) and int(m[1]) / 1e6 < now - hours * 3600]
-        return [n for n in old if not self.fs.exists(self.path(self._at("builds", n, "_receipt.json")))]
+        return sorted(n for n in self.unsealed() if (m := re.fullmatch(r"g(\d+)", n)) and int(m[1]) / 1e6 < now - hours * 3600)
 
     def drop(self, name: str) -> None:
         """Abort a build or remove a generation that no publication names."""
         if name in {n for _, n in self.history()}:
             raise ValueError(f"{name} has been published")
         self.fs.delete(self.path(self._at("builds", name)), True)
+
+
+class Freshness:
+    """ST9: proofs that what is served is what was sealed. A proof reads all tables; while the store's fingerprint stays as it was before and after the
+    last good proof, none is made. Time alone never makes a proof good."""
+
+    def __init__(self, store: Generations):
+        self.store, self.accepted, self.lock = store, None, threading.Lock()
+
+    def drift(self) -> list[str]:
+        """What is wrong; nothing if all is well."""
+        with self.lock:
+            accepted, self.accepted = self.accepted, None
+            name = self.store.current
+            if name is None:
+                return ["no generation is active"]
+            try:
+                before = self.store.fingerprint()
+                if before == accepted:
+                    self.accepted = accepted
+                    return []
+                wrong = self.store.verify(name)
+                if not wrong and self.store.fingerprint() != before:
+                    wrong = ["the store changed while it was verified"]
+            except Exception as e:
+                return [f"the store cannot be read: {type(e).__name__}"]
+            self.accepted = None if wrong else before
+            return wrong

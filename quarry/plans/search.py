@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import index as ix
+from ..operators import lexical as lx
 from ..operators import retrieval as rt
 
 
@@ -34,10 +35,14 @@ class HybridSearch:
 
     def by_words(self, queries: DataFrame, k: int = 10, category: str | None = None, min_hits: int = 3, patterns=tuple(tx.LEXICAL_PATTERNS), neighbours: bool = False) -> tuple[DataFrame, DataFrame]:
         """Hits of the queries (query_id, query_text, method) that the lexical path serves, and those queries. method is fts5 (always served)
-        or auto (served if the query looks lexical, has min_hits hits and keeps some in its category)."""
+        or auto (served if the query looks lexical, has min_hits hits and keeps some in its category). They are found in the index of places where
+        it was written, else in the chunks' texts."""
         key, pool = self.key, max(3 * k, 20)
         asked = queries.where((F.col("method") == "fts5") | (F.col("method") == "auto") & (tx.route("query_text", patterns) == "lexical"))
-        found = rt.phrase_hits(asked, self.chunks.withColumnRenamed(key, "chunk_id") if key != "chunk_id" else self.chunks).withColumnRenamed("chunk_id", key)
+        if "places" in self.index:
+            found = lx.phrase_hits(asked, self.index["places"], key)
+        else:
+            found = rt.phrase_hits(asked, self.chunks.withColumnRenamed(key, "chunk_id") if key != "chunk_id" else self.chunks).withColumnRenamed("chunk_id", key)
         order = [F.desc(F.round("score", 9)), F.asc(key)]
         found = rt.ranked(found, order, pool).join(rt.small(asked.select("query_id", "method")), "query_id")
         found = found.withColumn("n", F.count("*").over(Window.partitionBy("query_id"))).where((F.col("method") == "fts5") | (F.col("n") >= min_hits)).drop("rank", "n", "method")

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical as cn
 from ..functions import text as tx
 from ..operators import chunking as ch
 from ..operators import evidence as ev
 from ..operators import index as ix
+from ..operators import lexical as lx
 from ..operators import maintenance as mt
 from ..operators import retrieval as rt
 from ..plans.search import HybridSearch
@@ -432,6 +434,24 @@ def fts_search(spark, sf_dir):
     return rt.ranked(fts_hits(spark, sf_dir), [F.desc(F.round("score", 9)), F.asc("doc_id")], 20).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"with {FTS} select query_id, rank, doc_id, round(score, 6) as score from {top('fts', 'round(score, 9) desc, doc_id', 20)}")
+def fts_index_search(spark, sf_dir):
+    hits = lx.phrase_hits(log(spark, sf_dir), lx.entries(corpus(spark, sf_dir), "doc_id"), "doc_id")
+    return rt.ranked(hits, [F.desc(F.round("score", 9)), F.asc("doc_id")], 20).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+EDITED = "from (select * replace (case when doc_id % 7 = 0 then text || ' and some words more' else text end as text) from documents where doc_id % 5 <> 0)"
+
+
+@query(f"with {FTS.replace('from documents', EDITED, 1)} select query_id, doc_id, round(score, 6) as score from fts")
+def fts_index_edits(spark, sf_dir):
+    d = corpus(spark, sf_dir)
+    index = lx.inserted(lx.entries(d.where("doc_id % 3 <> 0"), "doc_id"), d.where("doc_id % 3 = 0"), "doc_id")
+    index = lx.replaced(index, d.where("doc_id % 7 = 0").withColumn("content", F.concat("content", F.lit(" and some words more"))), "doc_id")
+    hits = lx.phrase_hits(log(spark, sf_dir), lx.deleted(index, d.where("doc_id % 5 = 0"), "doc_id"), "doc_id")
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""with {FTS}, h as (select query_id, count(*) as hits from fts group by all),
 x as (select item_id as query_id, text, case item_id % 3 when 0 then 'auto' when 1 then 'fts5' else 'hybrid' end as method from benchmark)
 select query_id, method, coalesce(hits, 0) as hits, case when method = 'auto' and regexp_matches(text, '[A-Z]{{2,}}-\\d+') and coalesce(hits, 0) >= 3 or method = 'fts5' and coalesce(hits, 0) > 0 then 'lexical' else 'hybrid' end as route
@@ -514,6 +534,54 @@ def indexing_stats(spark, sf_dir):
     return mt.indexing_stats(mt.classified(*_files(spark, sf_dir)))
 
 
+REPORT = f"""{CHANGES},
+made as (select {PATH} as source, doc_id, {CAT} as category, n_chars // 800 + 1 as chunks, n_chars % 3 as repeats from documents),
+files as (select *, change in ('new', 'updated') and doc_id % 23 <> 1 as done from ch join made using (source))"""
+
+
+@query(f"""with {REPORT} select count(*) filter (where change <> 'deleted') as total_files, count(*) filter (where done and change = 'new') as indexed, count(*) filter (where done and change = 'updated') as updated,
+  count(*) filter (where change = 'unchanged') as skipped, count(*) filter (where change = 'deleted') as deleted, count(*) filter (where change in ('new', 'updated') and doc_id % 23 = 1) as errors,
+  coalesce(sum(chunks) filter (where done), 0)::bigint as chunks_added, coalesce(sum(chunks) filter (where done and change = 'updated' or change = 'deleted'), 0)::bigint as chunks_removed,
+  coalesce(sum(repeats) filter (where done), 0)::bigint as dedup_skipped, (select string_agg(category || '=' || n, ',' order by category) from (select category, count(*) as n from files where done group by category)) as categories from files""")
+def indexing_report(spark, sf_dir):
+    made = corpus(spark, sf_dir, "n_chars").select(F.col("path").alias("source"), "doc_id", "category", F.floor(F.col("n_chars") / 800).alias("whole"), (F.col("n_chars") % 3).alias("repeats"))
+    f = mt.classified(*_files(spark, sf_dir)).join(made, "source").withColumn("chunks", F.col("whole") + 1).withColumn("old_chunks", F.col("chunks"))
+    f = f.withColumn("error", F.when(F.col("change").isin("new", "updated") & (F.col("doc_id") % 23 == 1), "unreadable"))
+    return mt.indexing_report(f).withColumn("categories", F.array_join(F.transform(F.map_entries("categories"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
+@query("""with s as (select source, doc_id as t, row_number() over (partition by source order by doc_id) as n, n_chars // 800 + 1 as chunks, count(*) over (partition by source) as total from documents),
+p as (select *, (sum(chunks) over (partition by source order by n))::bigint as processed from s),
+w as (select *, greatest(processed, floor(processed::double / n * total)::bigint) as estimate, t - greatest(min(t) over r, first_value(t) over l) as seconds, processed - greatest(min(processed) over r, first_value(processed) over l) as done
+  from p window r as (partition by source order by t range between 30 preceding and current row), l as (partition by source order by n rows between 99 preceding and current row)),
+x as (select *, case when seconds > 0 then done::double / seconds else 0.0::double end as throughput from w)
+select source, n, processed, estimate, throughput, case when throughput > 0 and estimate > processed then floor((estimate - processed) / throughput)::bigint else 0 end as eta from x""")
+def reindex_progress(spark, sf_dir):
+    run = Window.partitionBy("source")
+    d = t(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("t"), F.row_number().over(run.orderBy("doc_id")).alias("n"), (F.floor(F.col("n_chars") / 800) + 1).alias("chunks"), F.count("*").over(run).alias("total"))
+    return mt.progress(d, "source")
+
+
+@query(f"""select source, count(*) as files, sum(('0x' || substr(sha256({PATH} || chr(0) || sha256(text) || chr(0) || octet_length(encode(text)) || chr(10)), 1, 12))::bigint)::varchar as digest_sum from documents group by source""")
+def tree_digest(spark, sf_dir):
+    d = corpus(spark, sf_dir, "source").select("source", "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("size"))
+    return mt.tree_digest(d, "source")
+
+
+@query("""with f as (select doc_id, source || case doc_id % 6 when 0 then '/.git/doc' when 1 then '/drafts/doc' else '/doc' end || doc_id || case doc_id % 5 when 0 then '/.DS_Store' when 1 then '.MD' when 2 then '.bin' else '.md' end as path from documents)
+select doc_id, path from f where doc_id % 6 > 1 and doc_id % 5 not in (0, 2)""")
+def corpus_admission(spark, sf_dir):
+    n, suffix = F.col("doc_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("/.DS_Store", ".MD", ".bin", ".md", ".md")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    folder = F.when(F.col("doc_id") % 6 == 0, "/.git/doc").when(F.col("doc_id") % 6 == 1, "/drafts/doc").otherwise("/doc")
+    listing = t(spark, sf_dir, "documents").select("doc_id", F.concat("source", folder, n, suffix).alias("path"), F.lit("file").alias("kind"))
+    return mt.admitted(listing, (".md", ".txt"), ("drafts",)).select("doc_id", "path")
+
+
+@query("select doc_id, lang, n_chars from documents where doc_id > 57 order by doc_id limit 40")
+def keyset_page(spark, sf_dir):
+    return mt.page(t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id", 57, 40)
+
+
 @query(f"with {CHANGES} select source from i where source not in (select source from f)")
 def orphans(spark, sf_dir):
     now, old = _files(spark, sf_dir)
@@ -615,6 +683,27 @@ def snapshot_markdown(spark, sf_dir):
     return sn.rendered(d, ["lang", "source"], "text").select("record_id", F.md5("markdown").alias("markdown_md5"))
 
 
+@query("""select doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","nested":{"a":[' || n_chars || ',null,true],"b":"' || source || '"}}' as metadata from documents""")
+def canonical_metadata(spark, sf_dir):
+    nested = F.struct(F.col("source").alias("b"), F.array(F.col("n_chars").cast("string"), F.lit("null"), F.lit("true")).alias("a"))
+    raw = F.regexp_replace(F.to_json(F.struct("lang", nested.alias("nested"), "doc_id")), r'"(\d+|null|true)"', "$1")
+    return t(spark, sf_dir, "documents").select("doc_id", cn.canonical_json(raw).alias("metadata"))
+
+
+@query("""with x as (select vec_id, n, embedding[n]::double as v from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as n from embeddings)),
+e0 as (select *, case when v = 0 then 0 else floor(log2(abs(v)))::int end as e from x),
+e1 as (select *, case when v = 0 then 0 when abs(v) < 2.0 ** e then e - 1 when abs(v) >= 2.0 ** (e + 1) then e + 1 else e end as f from e0),
+b as (select *, case when v = 0 then 0::hugeint else (f + 1023)::hugeint * 4503599627370496 + ((abs(v) / 2.0 ** f - 1) * 4503599627370496)::hugeint + case when v < 0 then 9223372036854775808::hugeint else 0 end end as bits from e1)
+select vec_id, sha256(string_agg(lpad(lower(to_hex(bits::ubigint)), 16, '0'), '' order by n)) as packed_sha256 from b group by vec_id""")
+def packed_vectors(spark, sf_dir):
+    return t(spark, sf_dir, "embeddings").select("vec_id", F.sha2(F.lower(F.hex(cn.packed("embedding"))), 256).alias("packed_sha256"))
+
+
+@query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else '.' || lpad((epoch_us(ts) % 1000000)::varchar, 6, '0') end as iso from events""")
+def iso_times(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", cn.iso("ts").alias("iso"))
+
+
 @query("select event_id, (json_extract(props, '$.k'))::bigint as k from events")
 def json_properties(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -682,11 +771,18 @@ def ttl_cache_hits(spark, sf_dir):
     return es.ttl_hits(t(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "event_type", F.col("user_id") % 10)), "key", 7200)
 
 
-@query("""with recursive s as materialized (select event_type as shard, event_type || ':' || user_id as key, event_id, t, row_number() over (partition by event_type order by t, event_id) as n from (select *, epoch_us(ts) / 1e6 as t from events)),
+LRU = """with recursive s as materialized (select event_type as shard, event_type || ':' || user_id as key, event_id, t, row_number() over (partition by event_type order by t, event_id) as n from (select *, epoch_us(ts) / 1e6 as t from events)),
 r as (select shard, event_id, n, [{'k': key, 'put': t}] as held, false as hit from s where n = 1
   union all select shard, event_id, n, case when hit then list_append(rest, own) else list_append(case when len(rest) >= 100 then rest[2:] else rest end, {'k': key, 'put': t}) end, hit
-    from (select *, coalesce(t - own.put < 86400, false) as hit from (select s.*, list_filter(r.held, lambda x: x.k <> s.key) as rest, list_filter(r.held, lambda x: x.k = s.key)[1] as own from r join s on s.shard = r.shard and s.n = r.n + 1)))
-select shard, event_id, hit from r""")
+    from (select *, coalesce(t - own.put < 86400, false) as hit from (select s.*, list_filter(r.held, lambda x: x.k <> s.key) as rest, list_filter(r.held, lambda x: x.k = s.key)[1] as own from r join s on s.shard = r.shard and s.n = r.n + 1)))"""
+
+
+@query(f"{LRU} select shard, event_id, hit from r")
 def lru_cache_hits(spark, sf_dir):
     e = t(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "event_type", "user_id"))
     return es.lru_cache(e, "key", 100, 86400.0, shard="event_type")
+
+
+@query(f"{LRU} select shard, count(*) filter (where hit) as hits, count(*) filter (where not hit) as misses, printf('%.1f%%', 100.0 * count(*) filter (where hit) / count(*)) as hit_rate from r group by shard")
+def cache_hit_rate(spark, sf_dir):
+    return es.hit_rate(lru_cache_hits(spark, sf_dir), "shard")

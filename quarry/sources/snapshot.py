@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from ..functions import text as tx
 from ..operators.maintenance import manifest_diff
 
 
-def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files whose sha256 is the manifest's; others are left out. files: name, content (binary); manifest: name, sha256."""
-    return files.withColumn("sha256", F.sha2("content", 256)).join(manifest, ["name", "sha256"], "left_semi")
+def verified(files: DataFrame, manifest: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
+    """Files whose sha256 is the manifest's; others are left out, and so are excluded names. files: name, content (binary); manifest: name, sha256."""
+    return files.where(~F.col("name").isin(*excluded) if excluded else F.lit(True)).withColumn("sha256", F.sha2("content", 256)).join(manifest, ["name", "sha256"], "left_semi")
 
 
 def mismatched(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -35,14 +35,17 @@ def histogram(df: DataFrame, value: str, buckets: list[float], by: str | None =
 def ttl_hits(log: DataFrame, key: str, ttl: int = 300) -> DataFrame:
     """ST7 without eviction by size: a request hits if the last miss of its key is less than ttl seconds old. A hit doesn't renew, so hits
     are found by folding each key's times in order (ties by event_id)."""
-    s = log.select(key, "event_id", seconds("ts").alias("t"))
-    times = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("xs"))
-    start = F.struct(F.lit(float("-inf")).alias("at"), F.array().cast("array<struct<event_id:bigint,hit:boolean>>").alias("out"))
-    step = lambda a, x: F.struct(
-        F.when(x["t"] - a["at"] < ttl, a["at"]).otherwise(x["t"]).alias("at"),
-        F.concat(a["out"], F.array(F.struct(x["event_id"].alias("event_id"), (x["t"] - a["at"] < ttl).alias("hit")))).alias("out"),
-    )
-    return times.select(key, F.explode(F.aggregate("xs", start, step)["out"]).alias("o")).select(key, "o.event_id", "o.hit")
+    kind = log.schema[key].dataType.simpleString()
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["t", "event_id"])
+        since, hits = float("-inf"), []
+        for t in f["t"]:
+            hits.append(t - since < ttl)
+            since = since if hits[-1] else t
+        return pd.DataFrame({key: f[key], "event_id": f["event_id"], "hit": hits})
+
+    return log.select(key, "event_id", seconds("ts").alias("t")).groupBy(key).applyInPandas(fold, f"{key} {kind}, event_id long, hit boolean")
 
 
 def lru_cache(log: DataFrame, key: str, size: int = 100, ttl: float = 300.0, shard: str | None = None) -> DataFrame:
@@ -67,6 +70,12 @@ def lru_cache(log: DataFrame, key: str, size: int = 100, ttl: float = 300.0, sha
     return s.groupBy("shard").applyInPandas(lambda f: replay(f.sort_values(["t", "event_id"])), "shard string, event_id long, hit boolean")
 
 
+def hit_rate(replayed: DataFrame, by: str) -> DataFrame:
+    """By, hits, misses, and their rate as text. replayed: by, hit."""
+    n = replayed.groupBy(by).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return n.withColumn("hit_rate", F.format_string("%.1f%%", 100.0 * F.col("hits") / (F.col("hits") + F.col("misses"))))
+
+
 def allowed(times: list[float], limit: int, window: float = 60.0, log: list[float] | None = None) -> Iterator[bool]:
     """ST6: a true sliding log; refused calls leave no trace."""
     log = [] if log is None else log
@@ -91,16 +100,16 @@ def rate_limited(log: DataFrame, per: str = "user_id", rpm: int = 60, burst: int
 
 
 def rate_limited_stream(stream: DataFrame, per: str = "user_id", rpm: int = 60, burst: int = 10) -> DataFrame:
-    """The same on a stream: the log of accepted calls is kept as state per key."""
+    """The same on a stream: the log of accepted calls is kept as state per key. A key's calls of a micro-batch may come in several frames; they
+    are put in order as a whole."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kind = stream.schema[per].dataType.simpleString()
 
     def step(key, frames, state):
         log = list(state.get[0]) if state.exists else []
-        for f in frames:
-            f = f.sort_values(["t", "event_id"])
-            yield pd.DataFrame({per: f[per], "event_id": f["event_id"], "allowed": list(allowed(f["t"].tolist(), rpm + burst, log=log))})
+        f = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        yield pd.DataFrame({per: f[per], "event_id": f["event_id"], "allowed": list(allowed(f["t"].tolist(), rpm + burst, log=log))})
         state.update((log,))
 
     s = stream.select(per, "event_id", seconds("ts").alias("t"))
