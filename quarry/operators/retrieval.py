@@ -54,6 +54,20 @@ def bm25(queries: DataFrame, index: dict[str, DataFrame], k: int = 20, key: str
     return ranked(scores, [F.desc(F.round("score", 9)), F.asc(key)], k).select("query_id", "rank", key, "score")
 
 
+def _closest(x: np.ndarray, q: np.ndarray, k: int):
+    """(query, row, distance) of each query's k nearest rows, with ties: a matrix product finds who may be among them, differences decide."""
+    x2, q2 = np.square(x).sum(1), np.square(q).sum(1)
+    whole = np.isfinite(x2)
+    d = x2[None, :] + q2[:, None] - 2 * (q @ np.where(whole[:, None], x, 0).T)
+    d[:, ~whole] = np.square(x[None, ~whole] - q[:, None]).sum(axis=2)  # infinitely far, or no number and found by nobody
+    slack = 1e-8 + 1e-12 * x.shape[1] * (x2[whole].max(initial=0) + q2.max())  # beyond what rounding can do to a product
+    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
+    of, at = np.nonzero(d <= last + 2 * slack)
+    step = max(1, (1 << 22) // max(1, x.shape[1]))
+    exact = [np.square(x[at[i : i + step]] - q[of[i : i + step]]).sum(axis=1) for i in range(0, len(of), step)]
+    return of, at, np.concatenate(exact) if exact else np.zeros(0)
+
+
 def _best_of_batches(probes: list, k: int, key: str):
     """Of each batch of (key, embedding) the rows that may be among a query's k nearest: its k nearest in the batch, with ties."""
     by_size: dict[int, tuple[list, list]] = {}
@@ -75,27 +89,27 @@ def _best_of_batches(probes: list, k: int, key: str):
                 if not fit.num_rows:
                     continue
                 x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(fit.num_rows, n)
-                step = max(1, (1 << 22) // max(1, x.size))
+                step = max(1, (1 << 22) // max(1, len(x)))
                 for i in range(0, len(q), step):
-                    d = np.square(x[None, :, :] - q[i : i + step, None, :]).sum(axis=2)
-                    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
-                    of, at = np.nonzero(d <= last + 1e-8)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + i)), fit.column(0).take(pa.array(at)), pa.array(d[of, at])], names=["query_id", key, "distance"])
+                    of, at, d = _closest(x, q[i : i + step], k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + i)), fit.column(0).take(pa.array(at)), pa.array(d)], names=["query_id", key, "distance"])
 
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
-    """R2: query_id, rank, key, distance (squared L2), exact. Up to PROBES queries meet every block of vectors as one matrix, and a
-    block sends on k rows a query; beyond, the queries are joined in."""
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", probes: int = PROBES) -> DataFrame:
+    """R2: query_id, rank, key, distance (squared L2), exact. The queries meet every block of vectors as one matrix, and a block sends on k rows a
+    query. More than `probes` queries are dealt into groups of about so many, each of which passes over the vectors; `ann` is the way
+    for many queries over many vectors."""
     v = vectors.where(F.col("embedding").isNotNull()).select(key, "embedding")
     q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    probes = q.limit(PROBES + 1).collect()
-    if len(probes) <= PROBES:
-        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
-        d = v.mapInArrow(_best_of_batches(probes, k, key), schema)
-    else:
-        d = v.join(q.withColumnRenamed("embedding", "probe"), F.lit(True)).withColumn("distance", tx.squared_distance("probe", "embedding")).where("distance is not null")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, distance double"
+    groups = max(1, -(-q.count() // probes))
+    d = None
+    for g in range(groups):
+        mine = q if groups == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        part = v.mapInArrow(_best_of_batches(mine.collect(), k, key), schema)
+        d = part if d is None else d.union(part)
     return ranked(d, [F.round("distance", 9), F.asc(key)], k).select("query_id", "rank", key, "distance")
 
 

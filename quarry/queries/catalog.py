@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as cn
 from ..functions import text as tx
+from ..operators import ann
 from ..operators import chunking as ch
 from ..operators import evidence as ev
 from ..operators import index as ix
@@ -335,6 +336,21 @@ def knn_topk(spark, sf_dir):
     return rt.nearest(probes(spark, sf_dir), doc_vectors(spark, sf_dir), 10, "doc_id").select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def ann_topk(spark, sf_dir):
+    """The same from inverted lists of codes, at a recall of 0.9 or more (ann_recall measures it)."""
+    v = doc_vectors(spark, sf_dir).select("doc_id", "embedding")
+    return ann.searched(probes(spark, sf_dir), ann.indexed(v, "doc_id"), 10).select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query("select count(*) as n_queries, true as reached from (select vec_id from embeddings where vec_id in (select item_id from benchmark) or vec_id % 50 = 0)")
+def ann_recall(spark, sf_dir):
+    v = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = v.join(rt.small(t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), F.lit(1).alias("asked"))), "vec_id", "left").where("asked = 1 or vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    found = ann.searched(q, ann.indexed(v, "vec_id"), 10)
+    return ann.recall(found, rt.nearest(q, v, 10, "vec_id"), "vec_id").select(F.col("n").alias("n_queries"), (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"""with v as (select vec_id as doc_id, embedding, source from embeddings join documents on vec_id = doc_id),
 x as (select b.doc_id as query_id, a.doc_id as doc_id, a.source as source, {L2} as distance from v a, v b where b.doc_id % 20 = 0),
 n as {top('x', 'round(distance, 9), doc_id::varchar', 25, 'raw_rank')},
