@@ -33,7 +33,11 @@ def corpus_stats_of(keys: DataFrame, posts: DataFrame) -> DataFrame:
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """A2: term, df, idf. A negative idf becomes a quarter of the mean over all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    return with_idf(posts.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def with_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf of (term, df)."""
     raw = df.join(F.broadcast(stats.select("n")), F.lit(True)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))  # one row
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as cn
 from ..functions import text as tx
-from ..operators import ann
+from ..operators import ann, blockmax
 from ..operators import chunking as ch
 from ..operators import evidence as ev
 from ..operators import index as ix
@@ -25,6 +25,7 @@ from ..plans.search import HybridSearch
 from ..sources import parsers as ps
 from ..sources import snapshot as sn
 from ..streaming import events as es
+from ..tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -321,7 +322,8 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"with {BM} select query_id, rank, doc_id, round(score, 6) as score from {top('bm_all', 'round(score, 9) desc, doc_id', 10)}")
 def bm25_topk(spark, sf_dir):
-    return rt.bm25(log(spark, sf_dir), doc_index(spark, sf_dir), 10, "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    index = written(blockmax.blocks(ix.tokenized(corpus(spark, sf_dir), "doc_id"), "doc_id"), "blocks")
+    return blockmax.searched(log(spark, sf_dir), index, 10, "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""with {BM}, f as (select bm_all.* from bm_all join documents using (doc_id) where {CAT} = 'beta')
