@@ -12,12 +12,16 @@ the media that lie in it. The query writes the media table to the shared folder
 A PDF may hold several %%EOF (updates, linearized files): it ends with the last one that a startxref with its number precedes before the next
 header, and the line end behind it.
 
+Very long values are gone through once: places that validators look for are found once a value (`Marks`), and chains of blocks that
+several hits run into are followed once.
+
 Cases: null content gives null type and no embedded media, as an empty one does; equal contents give equal
 results; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -33,7 +37,51 @@ from .runtime import by_bytes, table, written
 RATE = 8000
 
 
-def _wave(b: bytes, at: int) -> int:
+class Marks:
+    """Where a value's marks are, each found when it is first asked for, and what is known of chains that begin at a place."""
+
+    def __init__(self, b: bytes):
+        self.b, self.places, self.known, self._zips = b, {}, {}, None
+
+    def of(self, mark: bytes) -> list[int]:
+        got = self.places.get(mark)
+        if got is None:
+            got, p = [], self.b.find(mark)
+            while p >= 0:
+                got.append(p)
+                p = self.b.find(mark, p + 1)
+            self.places[mark] = got
+        return got
+
+    def zips(self) -> dict[int, int]:
+        """By a file's first byte the end of the first directory that fits."""
+        if self._zips is None:
+            b, self._zips = self.b, {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(b):
+                    size, offset, note = struct.unpack("<IIH", b[end + 12 : end + 22])
+                    at = end - offset - size
+                    if at >= 0 and (size == 0 or b[at + offset : at + offset + 4] == b"PK\x01\x02") and end + 22 + note <= len(b):
+                        self._zips.setdefault(at, end + 22 + note)
+        return self._zips
+
+    def chain(self, name, p: int, step) -> int:
+        """step(p): the place behind p as (next, None), or the outcome as (None, end). Places that lead to a known one aren't followed on."""
+        path = []
+        while True:
+            out = self.known.get((name, p))
+            if out is None:
+                path.append(p)
+                after, out = step(p)
+                if out is None:
+                    p = after
+                    continue
+            for x in path:
+                self.known[name, x] = out
+            return out
+
+
+def _wave(b: bytes, at: int, marks: Marks) -> int:
     """Each validator gives the end of the file that starts at `at`, or 0."""
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
         return 0
@@ -47,11 +95,11 @@ def _wave(b: bytes, at: int) -> int:
     return end if p == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(b: bytes, at: int) -> int:
+def _png(b: bytes, at: int, marks: Marks) -> int:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
-        if p + 12 + n > len(b) or first != (kind == b"IHDR") or zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
+        if p + 12 + n > len(b) or first != (kind == b"IHDR") or first and n != 13 or zlib.crc32(b[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
             return 0
         p, first = p + 12 + n, False
         if kind == b"IEND":
@@ -59,29 +107,30 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, marks: Marks) -> int:
     if len(b) < at + 14:
         return 0
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1 if p < len(b) else 0
-
-    while p and p < len(b):
-        if b[p] == 0x3B:
-            return p + 1
-        if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            p = blocks(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0))
+
+    def block(p: int):
+        if p < len(b):
+            return (p + 1 + b[p], None) if b[p] else (None, p + 1 if p + 1 <= len(b) else 0)
+        return None, 0
+
+    def part(p: int):
+        if p < len(b) and b[p] == 0x3B:
+            return None, p + 1
+        if p < len(b) and b[p] == 0x21:
+            end = marks.chain("gif block", p + 2, block)
+        elif p + 10 < len(b) and b[p] == 0x2C:
+            end = marks.chain("gif block", p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0), block)
         else:
-            return 0
-    return 0
+            end = 0
+        return (end, None) if end else (None, 0)
 
+    return marks.chain("gif", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), part)
 
-def _jpeg(b: bytes, at: int) -> int:
+
+def _jpeg(b: bytes, at: int, marks: Marks) -> int:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark, n = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
@@ -103,51 +152,47 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
-def _pdf(b: bytes, at: int) -> int:
+def _pdf(b: bytes, at: int, marks: Marks) -> int:
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return 0
-    stop = b.find(b"%PDF-", at + 5)
-    stop, out, end = len(b) if stop < 0 else stop, 0, b.find(b"%%EOF", at)
-    while 0 <= end < stop:
-        start = b.rfind(b"startxref", at, end)
-        if start > 0 and b[start + 9 : end].strip().isdigit():
+    heads, ends, starts = (marks.of(m) for m in (b"%PDF-", b"%%EOF", b"startxref"))
+    after = bisect.bisect_right(heads, at)
+    stop, out = heads[after] if after < len(heads) else len(b), 0
+    for i in range(bisect.bisect_left(ends, at), bisect.bisect_left(ends, stop)):
+        end, before = ends[i], bisect.bisect_left(starts, ends[i]) - 1
+        # only the first %%EOF behind a startxref can have nothing but its number between them
+        if before >= 0 and starts[before] >= at and not (i and ends[i - 1] > starts[before]) and b[starts[before] + 9 : end].strip().isdigit():
             out = end + 5
-        end = b.find(b"%%EOF", end + 5)
     for line_end in (b"\r\n", b"\n", b"\r"):
         if out and b[out : out + len(line_end)] == line_end:
             return out + len(line_end)
     return out
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, offset, note = struct.unpack("<IIH", b[end + 12 : end + 22])
-        if at + offset + size == end and (size == 0 or b[at + offset : at + offset + 4] == b"PK\x01\x02") and end + 22 + note <= len(b):
-            return end + 22 + note
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+def _zip(b: bytes, at: int, marks: Marks) -> int:
+    return marks.zips().get(at, 0)
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, marks: Marks) -> int:
     if len(b) < at + 26:
         return 0
     size, _, offset, header = struct.unpack("<IIII", b[at + 2 : at + 18])
     return at + size if header in (12, 40, 52, 56, 108, 124) and 14 + header <= offset <= size and at + size <= len(b) else 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    p, pages = at, 0
-    while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
+def _ogg(b: bytes, at: int, marks: Marks) -> int:
+    def page(p: int):
+        if not (b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0):
+            return None, p
         sizes = b[p + 27 : p + 27 + b[p + 26]]
         end = p + 27 + len(sizes) + sum(sizes)
-        if len(sizes) < b[p + 26] or end > len(b):
-            return 0
-        p, pages = end, pages + 1
-    return p if pages else 0
+        return (None, 0) if len(sizes) < b[p + 26] or end > len(b) else (end, None)
+
+    end = marks.chain("ogg", at, page)
+    return end if end > at else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(b: bytes, at: int, marks: Marks) -> int:
     d = zlib.decompressobj(31)
     try:
         rest = memoryview(b)[at:]
@@ -187,12 +232,12 @@ def automaton():
 
 def sniff_bytes(b: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The true type of a value, and its embedded media as (type, offset, length). Media within found media are not listed again."""
-    kind, found, inside = None, [], 0
+    kind, found, inside, marks = None, [], 0, Marks(b)
     for last, (n, name, check) in automaton().iter(b.decode("latin-1")):
         at = last - n + 1
         if at < inside:
             continue
-        end = check(b, at)
+        end = check(b, at, marks)
         if not end:
             continue
         if at == 0 and end == len(b):
@@ -243,7 +288,7 @@ def wave_of(payload: bytes) -> bytes:
 
 def samples_of(media: bytes) -> bytes:
     """The data chunk of a validated WAVE file."""
-    if _wave(media, 0) != len(media):
+    if _wave(media, 0, Marks(media)) != len(media):
         raise ValueError("not a whole WAVE file")
     p = 12
     while media[p : p + 4] != b"data":

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -102,6 +103,23 @@ def test_sniff_and_carve(spark):
     assert media.sniff(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("unit", [b"%PDF-1.", b"PK\x03\x04", b"%PDF-1.4 startxref 1 %%EO", b"PK\x03\x04PK\x05\x06" + b"\0" * 18, b"GIF89a" + b"\0" * 7 + b"!\0\1a", b"startxref %%EOF%PDF-1."])
+def test_many_hits_in_a_long_value_take_time_in_proportion(unit):
+    began = time.perf_counter()
+    assert media.sniff_bytes(unit * (10_000_000 // len(unit)))[0] is None
+    assert time.perf_counter() - began < 20
+
+
+def test_chains_that_several_hits_share():
+    gif = b"GIF89a" + b"\1\0\1\0\0\0\0" + b"!\xfe\5GIF89\0" + b"\x3b"
+    assert media.sniff_bytes(gif) == ("image/gif", [])
+    assert media.sniff_bytes(b"GIF89a" + b"\0" * 7 + b"?" + gif)[1] == [("image/gif", 14, len(gif))]
+    with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+        z.writestr("a", "x")
+    one = out.getvalue()
+    assert media.sniff_bytes(b"PK\x03\x04 " + one + b"PK\x05\x06 " + one)[1] == [("application/zip", 5, len(one)), ("application/zip", 10 + len(one), len(one))]
+
+
 def test_pdf_with_updates():
     one = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF\n"
     two = one + b"2 0 obj\nendobj\nstartxref\n40\n%%EOF\r\n"
