@@ -32,6 +32,7 @@ PLACES = {
     "chunk_size": ("documents", "chunking", "chunk_size"),
     "chunk_overlap": ("documents", "chunking", "chunk_overlap"),
     "batch_size": ("documents", "batch_size"),
+    "buckets": ("documents", "buckets"),
     "exclude": ("documents", "exclude_patterns"),
     "max_results": ("search", "max_results"),
     "default_results": ("search", "default_results"),
@@ -83,6 +84,8 @@ class Config:
     chunk_size: int = 1000
     chunk_overlap: int = 200
     batch_size: int = 500
+    #: Buckets that tables lie in; an update writes those of its sources.
+    buckets: int = 64
     max_results: int = 100
     default_results: int = 5
     hybrid_alpha: float = 0.3
@@ -116,6 +119,7 @@ class Config:
         if self.chunk_size < 1 or not 0 <= self.chunk_overlap < self.chunk_size:
             raise ValueError("the overlap must be smaller than the chunk")
         self.batch_size = min(5000, max(1, self.batch_size))
+        self.buckets = min(1 << 16, max(1, self.buckets))
         self.max_results = max(1, self.max_results)
         self.hybrid_alpha, self.mmr_lambda = (min(1.0, max(0.0, x)) for x in (self.hybrid_alpha, self.mmr_lambda))
         for p in self.patterns:

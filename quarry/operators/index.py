@@ -31,6 +31,23 @@ def corpus_stats_of(keys: DataFrame, posts: DataFrame) -> DataFrame:
     return keys.agg(F.count("*").alias("n")).join(F.broadcast(total), F.lit(True)).select("n", F.try_divide(F.col("total"), F.col("n")).cast("double").alias("avgdl"))
 
 
+def corpus_stats_changed(stats: DataFrame, before: tuple[DataFrame, DataFrame], now: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The statistics of a corpus of which a part, given as chunks and postings before and now, has changed."""
+    total = stats.select("n", F.round(F.coalesce("avgdl", F.lit(0.0)) * F.col("n")).cast("long").alias("total"))
+    for sign, (keys, posts) in ((-1, before), (1, now)):
+        part = keys.agg(F.count("*").alias("n")).join(F.broadcast(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))), F.lit(True))  # one row
+        total = total.union(part.select(sign * F.col("n"), sign * F.col("total")))
+    total = total.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return total.select("n", F.try_divide(F.col("total"), F.col("n")).cast("double").alias("avgdl"))
+
+
+def term_stats_changed(terms: DataFrame, before: DataFrame, now: DataFrame, stats: DataFrame) -> DataFrame:
+    """Term statistics after a part of the postings has changed: frequencies change by the part's, and idf by stats."""
+    each = lambda posts, sign: posts.groupBy("term").agg((sign * F.count("*")).alias("df"))
+    df = terms.select("term", "df").union(each(before, -1)).union(each(now, 1)).groupBy("term").agg(F.sum("df").alias("df"))
+    return with_idf(df.where("df > 0"), stats)
+
+
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """A2: term, df, idf. A negative idf becomes a quarter of the mean over all terms."""
     return with_idf(posts.groupBy("term").agg(F.count("*").alias("df")), stats)

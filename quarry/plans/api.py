@@ -15,7 +15,7 @@ from ..operators import lexical as lx
 from ..operators import maintenance as mt
 from ..operators import retrieval as rt
 from ..sources import parsers as ps
-from .generations import Generations
+from .generations import BUCKET, Generations, Part
 from .requests import QueryCache
 from .search import HybridSearch
 
@@ -82,41 +82,59 @@ class KnowledgeBase:
 
     def _publish(self, fresh: DataFrame, gone: DataFrame | None = None, status: DataFrame | None = None, gated: bool = False, origin: str | None = None) -> str:
         """K1 to K5: a new generation of the current one without the documents (source) of gone and fresh, and with those of fresh. Only fresh
-        documents are categorised, chunked, embedded and tokenized; rows of the others are taken over, statistics are counted
-        anew. Without gone everything is made from fresh. gated: K9, before it is published. origin: what it is made from, so that a build that was
+        documents are categorised, chunked, embedded and tokenized, and only the buckets that their sources lie in are written; the others are shared
+        with the generation before, and statistics change by the difference. Without gone everything is made from fresh. gated: K9, before it is published. origin: what it is made from, so that a build that was
         cut off is taken up (ST5)."""
         from ..operators import index as ix
 
         c, before = self.config, self.store.current
-        old = None if gone is None or before is None else lambda t: self.store.read(t, before)
+        old = gone is not None and before is not None
         held = self.store.receipt(before)["tables"] if before is not None else {}
         new = self._categorised(fresh.where("content is not null")).select("doc_id", "source", "filename", "format", "category", "content", "mtime", "size", tx.keywords("content", c.keyword_routes).alias("keywords"))
         sources = fresh.select("source") if gone is None else gone.select("source").union(fresh.select("source"))
+        bucket = F.pmod(F.xxhash64("source"), F.lit(c.buckets)).cast("int").alias(BUCKET)
+        # A source's rows of all tables lie in one bucket; a change of some sources touches theirs.
+        touched = None
+        if old and all(held[t].get("of") == c.buckets for t in ("documents", "chunks", "vectors", "postings")):
+            touched = sorted(r[BUCKET] for r in sources.select(bucket).distinct().collect())
+        stay = lambda t: self.store.read(t, before, touched)
 
         def chunks(read):
             names = new.select("doc_id", "source", F.col("source").alias("path"), "filename", "category", "format", F.slice("keywords", 1, 10).alias("keywords"))
             return ch.deduplicated(ch.chunks(new.select("doc_id", "content", "format"), c.chunk_size, c.chunk_overlap, "format = '.md'")).join(names, "doc_id")
 
         def added(read):  # chunks of fresh documents: by their sources, as the table is read back
-            return read("chunks") if old is None else read("chunks").join(fresh.select("source").distinct(), "source", "left_semi")
+            return read("chunks", touched).join(fresh.select("source").distinct(), "source", "left_semi") if old else read("chunks")
 
         def vectors(read):
             return self.embed(added(read).select("chunk_id", "doc_id", "chunk_index", "source", F.concat(F.lit(c.passage_prefix), "content").alias("passage")), "passage").drop("passage")
 
+        def by_source(table, make):
+            rows = make if not old else lambda read: mt.merged(stay(table), make(read), sources, "source")
+            return Part(lambda read: rows(read).withColumn(BUCKET, bucket), c.buckets, touched, before if old else None)
+
         def by_chunk(table, make):
             def run(read):
-                now = make(added(read))
-                if old is None or table not in held:
-                    return now if old is None else make(read("chunks"))
-                left = old("chunks").join(sources.distinct(), "source", "left_semi").select("chunk_id")
-                return old(table).join(left, "chunk_id", "left_anti").unionByName(now)
+                if not old or table not in held or "buckets" not in held[table]:
+                    return make(read("chunks")).join(read("chunks").select("chunk_id", bucket), "chunk_id")
+                kept = stay("chunks").join(sources.distinct(), "source", "left_anti").select("chunk_id", bucket)
+                return stay(table).join(kept, "chunk_id").unionByName(make(added(read)).join(added(read).select("chunk_id", bucket), "chunk_id"))
+
+            return Part(run, c.buckets, touched if table in held else None, before if old else None)
+
+        def corpus_stats(read):
+            if touched is None:
+                return ix.corpus_stats_of(read("chunks"), read("postings"))
+            return ix.corpus_stats_changed(stay("corpus_stats"), (stay("chunks"), stay("postings")), (read("chunks", touched), read("postings", touched)))
 
-            return run
+        def term_stats(read):
+            if touched is None:
+                return ix.term_stats(read("postings"), read("corpus_stats"))
+            return ix.term_stats_changed(stay("term_stats"), stay("postings"), read("postings", touched), read("corpus_stats"))
 
-        keep = lambda t, make: make if old is None else lambda read: mt.merged(old(t), make(read), sources, "source")
         tables = {
-            "documents": keep("documents", lambda read: new), "chunks": keep("chunks", chunks), "vectors": keep("vectors", vectors), "postings": by_chunk("postings", lambda d: ix.postings(ix.tokenized(d))),
-            "corpus_stats": lambda read: ix.corpus_stats_of(read("chunks"), read("postings")), "term_stats": lambda read: ix.term_stats(read("postings"), read("corpus_stats")),
+            "documents": by_source("documents", lambda read: new), "chunks": by_source("chunks", chunks), "vectors": by_source("vectors", vectors), "postings": by_chunk("postings", lambda d: ix.postings(ix.tokenized(d))),
+            "corpus_stats": corpus_stats, "term_stats": term_stats,
         }
         if c.lexical_enabled:
             tables["places"] = by_chunk("places", lx.entries)
@@ -132,7 +150,7 @@ class KnowledgeBase:
                 raise ValueError("the new build is empty; the old one stays")
             if gated:
                 self._gates(name, self.store.receipt(before)["tables"]["chunks"]["rows"])
-        self.store.activate(name, before)
+        self.store.activate(name, before, written=touched is not None)
         self.cache.invalidate()
         return name
 

@@ -3,21 +3,28 @@
 A generation is a folder of Parquet tables and a receipt, all written by Spark, so it may lie in any store. The pointer is a small table of one row
 per publication; the current generation is the one of the highest number. Readers never see half a build, as the receipt comes last and only a
 receipt's generation can be published.
+
+A table may lie in buckets (`Part`): a build then writes those that it touches, and its receipt names, for each of the others, the earlier generation
+that wrote it. Only what was written is read back and digested, and verified when it is published; `verify` goes through all.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
 import threading
 import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.maintenance import set_digest
+from ..operators.maintenance import row_hash, set_digest
 
 
 #: Seconds after which a publisher that has claimed a number and not published counts as lost.
@@ -26,6 +33,21 @@ CLAIM = 60.0
 VERSION = 1
 
 
+#: The column by which a table lies in buckets.
+BUCKET = "bucket"
+
+
+@dataclass(frozen=True)
+class Part:
+    """A table of `of` buckets. rows: those of the touched buckets (all, where that is None), with their BUCKET; the other buckets stay as the
+    generation `before` has them."""
+
+    rows: DataFrame | Callable
+    of: int
+    touched: list[int] | None = None
+    before: str | None = None
+
+
 class Conflict(RuntimeError):
     """Someone else published meanwhile."""
 
@@ -35,6 +57,7 @@ class Generations:
         self.spark, self.folder, self.claim = spark, folder.rstrip("/"), claim
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.open: dict[str, dict] = {}  # entries of builds that are not sealed yet
 
     def _at(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
@@ -43,25 +66,89 @@ class Generations:
         r = set_digest(df.select(*[F.to_json(F.struct(F.col(c))).alias(c) for c in sorted(df.columns)]), *sorted(df.columns)).first()
         return {"rows": r["n"], "digest": r["digest_sum"], "schema": df.schema.jsonValue()}
 
-    def build(self, tables: dict[str, DataFrame | Callable], settings: dict | None = None, name: str | None = None, origin: str | None = None) -> str:
+    def _buckets(self, name: str, table: str) -> dict:
+        """Of each bucket of a table that a build wrote its rows and digest."""
+        at = self._at("builds", name, table)
+        if not any(x.getPath().getName().startswith(f"{BUCKET}=") for x in self.fs.listStatus(self.path(at))):  # no row at all
+            return {}
+        df = self.spark.read.parquet(at)
+        columns = sorted(c for c in df.columns if c != BUCKET)
+        part = F.conv(F.substring(row_hash(*columns), 1, 12), 16, 10).cast("decimal(38,0)")
+        found = df.select(BUCKET, *[F.to_json(F.struct(F.col(c))).alias(c) for c in columns]).groupBy(BUCKET).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
+        return {str(r[BUCKET]): {"at": name, "rows": r["n"], "digest": r["digest"]} for r in found.collect()}  # one row a bucket
+
+    def _now(self) -> float:
+        """The time by the store's own clock, as its files have it."""
+        at = self.path(self._at("clock", uuid.uuid4().hex))
+        self.fs.create(at, True).close()
+        out = self.fs.getFileStatus(at).getModificationTime() / 1000
+        self.fs.delete(at, False)
+        return out
+
+    @contextlib.contextmanager
+    def _leased(self, name: str):
+        """While a build is written its lease is renewed; it ends with the build, or runs out when its builder is lost."""
+        at, over = self.path(self._at("leases", name)), threading.Event()
+
+        def renew():
+            while not over.wait(self.claim / 4):
+                self.fs.create(at, True).close()
+
+        self.fs.create(at, True).close()
+        thread = threading.Thread(target=renew, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            over.set()
+            thread.join()
+            self.fs.delete(at, False)
+
+    def leased(self, name: str) -> bool:
+        """Whether someone is at work on a build."""
+        at = self.path(self._at("leases", name))
+        return self.fs.exists(at) and self._now() - self.fs.getFileStatus(at).getModificationTime() / 1000 < self.claim
+
+    def build(self, tables: dict[str, DataFrame | Callable | Part], settings: dict | None = None, name: str | None = None, origin: str | None = None) -> str:
         """Write all tables in their order, read them back, and seal them with a receipt. A table may be a function of a reader of the
         tables written before it. Gives the generation's name.
 
-        ST5: origin names what the tables are made from. An unsealed build of the same version, settings, tables and origin is taken up: tables that
-        were finished stay, the others are written anew. Without an origin every build starts anew."""
+        ST5: origin names what the tables are made from. An unsealed build of the same version, settings, tables and origin on which nobody is at
+        work is taken up: tables that were finished stay, the others are written anew. Without an origin every build starts anew."""
         plan = json.dumps({"version": VERSION, "settings": settings or {}, "tables": list(tables), "origin": origin}, sort_keys=True)
         name = name or (self.resumable(plan) if origin is not None else None) or f"g{int(time.time() * 1e6)}"
         if self.planned(name) != plan:
             self.spark.createDataFrame([(plan,)], "plan string").coalesce(1).write.mode("errorifexists").json(self._at("builds", name, "_plan.json"))
-        receipt = {"version": VERSION, "settings": settings or {}, "tables": {}}
-        for t, df in tables.items():
-            if not self.fs.exists(self.path(self._at("builds", name, t, "_SUCCESS"))):
-                df = df(lambda t: self.read(t, name)) if callable(df) and not isinstance(df, DataFrame) else df
-                df.write.mode("overwrite" if origin is not None else "errorifexists").parquet(self._at("builds", name, t))
-            receipt["tables"][t] = self._digest(self.spark.read.parquet(self._at("builds", name, t)))
-        self.spark.createDataFrame([(json.dumps(receipt, sort_keys=True),)], "receipt string").coalesce(1).write.json(self._at("builds", name, "_receipt.json"))
+        with self._leased(name):
+            receipt = {"version": VERSION, "settings": settings or {}, "tables": {}}
+            self.open[name] = receipt["tables"]
+            for t, df in tables.items():
+                part, df = (df, df.rows) if isinstance(df, Part) else (None, df)
+                if not self.fs.exists(self.path(self._at("builds", name, t, "_SUCCESS"))):
+                    df = df(lambda t, buckets=None: self.read(t, name, buckets)) if callable(df) and not isinstance(df, DataFrame) else df
+                    if part is not None:
+                        plain = df.drop(BUCKET).limit(0).coalesce(1)  # the columns, where no bucket has a row
+                        plain.write.mode("overwrite").parquet(self._at("builds", name, f"_{t}.columns"))
+                        df = df.repartition(BUCKET)
+                    (df.write.partitionBy(BUCKET) if part is not None else df.write).mode("overwrite" if origin is not None else "errorifexists").parquet(self._at("builds", name, t))
+                receipt["tables"][t] = self._entry(name, t, part)
+            self.spark.createDataFrame([(json.dumps(receipt, sort_keys=True),)], "receipt string").coalesce(1).write.json(self._at("builds", name, "_receipt.json"))
+            del self.open[name]
         return name
 
+    def _entry(self, name: str, t: str, part: Part | None) -> dict:
+        if part is None:
+            return self._digest(self.spark.read.parquet(self._at("builds", name, t)))
+        schema = self.spark.read.parquet(self._at("builds", name, f"_{t}.columns")).schema.jsonValue()
+        held = {} if part.before is None or part.touched is None else self.receipt(part.before)["tables"][t]["buckets"]
+        buckets = {b: x for b, x in held.items() if int(b) not in set(part.touched or ())} | self._buckets(name, t)
+        return {"schema": schema, "of": part.of, "buckets": buckets, **self._total(buckets)}
+
+    @staticmethod
+    def _total(buckets: dict) -> dict:
+        digest = sum(int(x["digest"]) for x in buckets.values())
+        return {"rows": sum(x["rows"] for x in buckets.values()), "digest": str(digest) if buckets else None}
+
     def planned(self, name: str) -> str | None:
         """The plan of a build, or None where there is none that can be read."""
         try:
@@ -75,8 +162,8 @@ class Generations:
         return [n for n in names if not self.fs.exists(self.path(self._at("builds", n, "_receipt.json")))]
 
     def resumable(self, plan: str) -> str | None:
-        """ST5: the latest unsealed build of this plan."""
-        return next((n for n in self.unsealed() if self.planned(n) == plan), None)
+        """ST5: the latest unsealed build of this plan that nobody is at work on."""
+        return next((n for n in self.unsealed() if self.planned(n) == plan and not self.leased(n)), None)
 
     def metadata(self, name: str | None = None) -> dict:
         """The receipt of a generation (the current one); empty where there is none or none that can be read."""
@@ -91,11 +178,16 @@ class Generations:
             raise ValueError(f"{name} is not sealed")
         return json.loads(self.spark.read.schema("receipt string").json(at).first()["receipt"])
 
-    def verify(self, name: str) -> list[str]:
-        """What differs from the receipt; nothing if the generation is whole."""
+    def verify(self, name: str, written: bool = False) -> list[str]:
+        """What differs from the receipt; nothing if the generation is whole. written: of tables in buckets only those are read that it wrote itself."""
         wrong = []
         for t, said in self.receipt(name)["tables"].items():
             try:
+                if "buckets" in said:
+                    now = {b: x for at in {x["at"] for x in said["buckets"].values()} if at == name or not written for b, x in self._buckets(at, t).items() if said["buckets"].get(b, {}).get("at") == at}
+                    wrong += [f"{t}: bucket {b}" for b, x in said["buckets"].items() if (x["at"] == name or not written) and now.get(b) != x]
+                    wrong += [f"{t}: rows" for _ in range(self._total(said["buckets"])["rows"] != said["rows"])]
+                    continue
                 now = self._digest(self.spark.read.parquet(self._at("builds", name, t)))
             except Exception as e:  # a lost table
                 wrong.append(f"{t}: {type(e).__name__}")
@@ -115,9 +207,9 @@ class Generations:
         h = self.history()
         return h[-1][1] if h else None
 
-    def activate(self, name: str, expected: str | None = None) -> None:
-        """Point to a verified generation, if the current one is still the expected one."""
-        if wrong := self.verify(name):
+    def activate(self, name: str, expected: str | None = None, written: bool = False) -> None:
+        """Point to a verified generation, if the current one is still the expected one. written: what it shares with earlier ones isn't read again."""
+        if wrong := self.verify(name, True) if written else self.verify(name):
             raise ValueError(f"{name}: {', '.join(wrong)}")
         h = self.history()
         if (h[-1][1] if h else None) != expected:
@@ -133,7 +225,7 @@ class Generations:
         folder = self.path(self._at("claims"))
         self.fs.mkdirs(folder)
         later = sorted((int(s.getPath().getName()), s.getModificationTime() / 1000) for s in self.fs.listStatus(folder) if int(s.getPath().getName()) > last)
-        if later and time.time() - max(at for _, at in later) < self.claim:
+        if later and self._now() - max(at for _, at in later) < self.claim:
             raise Conflict(f"publication {later[-1][0]} is under way")
         number = max([last, *(n for n, _ in later)]) + 1
         try:
@@ -167,6 +259,7 @@ class Generations:
             raise ValueError(f"{name}: {', '.join(wrong)}")
         said = set(self.receipt(name)["tables"])
         held = {s.getPath().getName() for s in self.fs.listStatus(self.path(self._at("builds", name)))} - {"_receipt.json", "_plan.json"}
+        held = {h for h in held if not re.fullmatch(r"_.*\.columns", h)}
         if more := sorted(held - said):
             raise ValueError(f"{name}: not in the receipt: {', '.join(more)}")
         return {t: self.read(t, name) for t in sorted(said)}
@@ -188,18 +281,27 @@ class Generations:
         h = self.history()
         fold = hashlib.sha256(json.dumps(h).encode())
         if h:
-            files, seen = self.fs.listFiles(self.path(self._at("builds", h[-1][1])), True), []
-            while files.hasNext():
-                f = files.next()
-                seen.append(f"{f.getPath()}\0{f.getLen()}\0{f.getModificationTime()}\n")
+            said, seen = self.metadata(h[-1][1]).get("tables", {}), []
+            shared = [(x["at"], t, f"{BUCKET}={b}") for t, e in said.items() for b, x in e.get("buckets", {}).items() if x["at"] != h[-1][1]]
+            for folder in [(h[-1][1],), *shared]:
+                files = self.fs.listFiles(self.path(self._at("builds", *folder)), True)
+                while files.hasNext():
+                    f = files.next()
+                    seen.append(f"{f.getPath()}\0{f.getLen()}\0{f.getModificationTime()}\n")
             fold.update("".join(sorted(seen)).encode())
         return fold.hexdigest()
 
-    def read(self, table: str, name: str | None = None) -> DataFrame:
+    def read(self, table: str, name: str | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """buckets: those alone, of a table that lies in buckets."""
         name = name or self.current
         if name is None:
             raise ValueError("no generation is active")
-        return self.spark.read.parquet(self._at("builds", name, table))
+        said = (self.open.get(name) or self.metadata(name).get("tables", {})).get(table, {})
+        if "buckets" not in said:
+            return self.spark.read.parquet(self._at("builds", name, table))
+        schema = StructType.fromJson(said["schema"])
+        paths = [self._at("builds", x["at"], table, f"{BUCKET}={b}") for b, x in sorted(said["buckets"].items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def stale(self, now: float, hours: float = 24) -> list[str]:
         """Unsealed builds older than so many hours; names without a time are left alone."""
