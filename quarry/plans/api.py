@@ -202,9 +202,12 @@ class KnowledgeBase:
         suffix = PurePosixPath(name).suffix.lower()
         if suffix not in ps.PARSERS:
             return {"error": f"unsupported format: {suffix}"}
-        row = self.spark.createDataFrame([(path, name, suffix, category, content)], "source string, filename string, format string, category string, content string")
+        text, _, error = ps.parse(path, raw := content.encode("utf-8", "surrogateescape"))  # as a file of this suffix is read
+        if error or text is None:
+            return {"error": error or "content is blank"}
+        row = self.spark.createDataFrame([(path, name, suffix, category, text)], "source string, filename string, format string, category string, content string")
         row = row.withColumn("mtime", F.lit(datetime.now(UTC)))  # one time for all tables that are written
-        row = row.withColumn("size", F.octet_length("content").cast("long"))
+        row = row.withColumn("size", F.lit(len(raw)).cast("long"))
         row = row.withColumn("doc_id", tx.document_key(F.col("source"), F.col("mtime"), F.col("size")))
         return {"source": path, "generation": self._publish(row, row)}
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import pdf as pdf_file
 
 # Languages of source files by suffix, and the patterns of their leading comment, functions, classes and imports.
 _COMMENT = r"/\*\*(.*?)\*/"
@@ -172,14 +173,10 @@ def pptx(raw: bytes, stem: str) -> tuple[str, dict]:
 
 
 def pdf(raw: bytes, stem: str) -> tuple[str, dict]:
-    """Pages as [Page n] and text; needs a PDF library, which is optional."""
-    try:
-        import pymupdf
-    except ImportError as e:
-        raise ValueError("no PDF library is installed") from e
-    book = pymupdf.open(stream=raw, filetype="pdf")
-    pages = [f"[Page {i}]\n{t}" for i, p in enumerate(book, 1) if (t := p.get_text()).strip()]
-    return "\n\n".join(pages), {"type": "pdf", "title": (book.metadata or {}).get("title") or stem, "author": (book.metadata or {}).get("author") or "", "pages": len(book)}
+    """Pages as [Page n] and text, by a blank line; title and author as the file has them."""
+    texts, title, author = pdf_file.read(raw)
+    pages = [f"[Page {i}]\n{t}" for i, t in enumerate(texts, 1) if t.strip()]
+    return "\n\n".join(pages), {"type": "pdf", "title": title or stem, "author": author, "pages": len(texts)}
 
 
 #: The parser of each suffix. Users may add their own.
