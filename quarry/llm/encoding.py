@@ -28,10 +28,11 @@ from .runtime import spent, table, written
 #: Rows of one value beyond which it is cut into slices of about so many.
 ROWS = 1 << 15
 FOLDS, UNIT, WEIGHT, PRIOR = 5, 1_000_000, 50, 500_000
-KEY = ["col", "key", "name"]
+#: A value: its id, or its group's number, and which column it is of; NULL is added to the column for a null id.
+KEY, NULL = ["key", "col"], 64
 PLACE = [*KEY, "slice"]
 #: A row's place, its own counts and its history's, and its value's group.
-SEEN = "col byte, key long, name string, at {}, fold int, n long, s long, seen long, hits long, owner string"
+SEEN = "key long, col byte, at {}, fold int, n long, s long, seen long, hits long, owner long"
 
 
 def fold_of(sale_id: Column, folds: int = FOLDS) -> Column:
@@ -60,13 +61,12 @@ def slices(rows: DataFrame, owners: DataFrame | None, span: tuple[int, int], mos
     each = each.withColumn("to", F.explode(F.array(*map(F.lit, range(FOLDS))))).select(*PLACE, F.col("to").alias("fold"), (F.col("n") * other).alias("n"), (F.col("s") * other).alias("s")).groupBy(*PLACE, "fold").agg(*sums)
     before = Window.partitionBy(*KEY, "fold").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     started = each.select(*PLACE, "fold", F.sum("n").over(before).alias("n"), F.sum("s").over(before).alias("s")).where("n > 0")
-    none = F.lit(None)
-    out = dealt.select(*PLACE, "at", "fold", "n", "s", none.cast("string").alias("owner"))
-    out = out.unionByName(started.select(*PLACE, none.cast(rows.schema["at"].dataType).alias("at"), "fold", "n", "s", none.cast("string").alias("owner")))
+    never, zero = F.lit(None).cast(rows.schema["at"].dataType).alias("at"), F.lit(0).cast("long")
+    out = dealt.select(*PLACE, "at", "fold", "n", "s", zero.alias("owner"))
+    out = out.unionByName(started.select(*PLACE, never, "fold", "n", "s", zero.alias("owner")))
     if owners is not None:
         whole = owners.join(hot, KEY, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1)))
-        zero = F.lit(0).cast("long")
-        out = out.unionByName(whole.select(*PLACE, none.cast(rows.schema["at"].dataType).alias("at"), F.lit(-1).alias("fold"), zero.alias("n"), zero.alias("s"), "owner"))
+        out = out.unionByName(whole.select(*PLACE, never, F.lit(-1).alias("fold"), zero.alias("n"), zero.alias("s"), "owner"))
     return out
 
 
@@ -79,22 +79,19 @@ def _changes(columns: list[np.ndarray]) -> np.ndarray:
 
 def _running(batches):
     """Sorted rows of slices() with what each has seen: every row counts for all other folds, a head's for its own."""
-    place = at_before = owner_before = None
+    place, at_before, owner_before = None, None, 0
     total = np.zeros((2, FOLDS), dtype=np.int64)  # of the slice so far, for each recipient; and of it before its last point of time
     earlier = total.copy()
     for b in batches:
         size = b.num_rows
         if not size:
             continue
-        col, key, slice_, fold = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 5))
-        names = b.column(2).dictionary_encode()
-        name = names.indices.to_numpy(zero_copy_only=False)
-        head = b.column(4).is_null().to_numpy(zero_copy_only=False)
-        at = b.column(4).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        counts = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (6, 7)]).astype(np.int64)
-        first = _changes([col, key, name, slice_])
-        here = (int(col[0]), int(key[0]), names.dictionary[int(name[0])].as_py(), int(slice_[0]))
-        goes_on = here == place
+        key, col, slice_, fold, owners = (b.column(i).to_numpy() for i in (0, 1, 2, 4, 7))
+        head = b.column(3).is_null().to_numpy(zero_copy_only=False)
+        at = b.column(3).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+        counts = np.stack([b.column(i).to_numpy() for i in (5, 6)])
+        first = _changes([key, col, slice_])
+        goes_on = (int(key[0]), int(col[0]), int(slice_[0])) == place
         first[0] = not goes_on
         moment = _changes([at]) | first
         moment[0] = not (goes_on and int(at[0]) == at_before)
@@ -114,14 +111,12 @@ def _running(batches):
             last[0][:, to], last[1][:, to] = done[:, -1] + base[:, -1], upto[:, -1]
         marks = head & (fold < 0)
         mark = np.maximum.accumulate(np.where(marks, index, -1))
-        known = np.where((mark >= 0) & (mark >= slice_start), mark + 1, np.where(slice_start < 0, 0, -1))
-        owners = pa.concat_arrays([pa.array([owner_before if goes_on else None], pa.string()), b.column(8).cast(pa.string())])
-        owner = owners.take(pa.array(known, mask=known < 0))
+        owner = np.where((mark >= 0) & (mark >= slice_start), owners[mark], np.where(slice_start < 0, owner_before, 0))
         total, earlier = last
-        place = (int(col[-1]), int(key[-1]), names.dictionary[int(name[-1])].as_py(), int(slice_[-1]))
-        at_before, owner_before = int(at[-1]), owner[size - 1].as_py()
-        columns = [b.column(0), b.column(1), b.column(2), b.column(4), b.column(5), b.column(6), b.column(7), pa.array(seen[0]), pa.array(seen[1]), owner.fill_null("")]
-        out = pa.RecordBatch.from_arrays(columns, names=["col", "key", "name", "at", "fold", "n", "s", "seen", "hits", "owner"])
+        place = (int(key[-1]), int(col[-1]), int(slice_[-1]))
+        at_before, owner_before = int(at[-1]), int(owner[-1])
+        columns = [*(b.column(i) for i in (0, 1, 3, 4, 5, 6)), pa.array(seen[0]), pa.array(seen[1]), pa.array(owner)]
+        out = pa.RecordBatch.from_arrays(columns, names=["key", "col", "at", "fold", "n", "s", "seen", "hits", "owner"])
         yield out.filter(pa.array(~head))
 
 
@@ -137,8 +132,18 @@ def rate(seen: Column, hits: Column, prior: Column) -> Column:
     return F.when(seen < 1, prior).otherwise(smoothed)
 
 
-def _value(ids: Column) -> list[Column]:
-    return [F.coalesce(ids.cast("long"), F.lit(0).cast("long")).alias("key"), F.when(ids.isNull(), "null").otherwise("").alias("name")]
+def _value(code: int, ids: Column) -> list[Column]:
+    return [F.coalesce(ids.cast("long"), F.lit(0).cast("long")).alias("key"), F.when(ids.isNull(), code + NULL).otherwise(code).cast("byte").alias("col")]
+
+
+def _numbered(owners: DataFrame) -> DataFrame:
+    """Names of groups as numbers: hashes of a seed under which no two names of one column share one, or have 0 (no group)."""
+    names = owners.select("col", "owner").distinct()
+    for seed in range(64):
+        number = F.xxhash64(F.lit(seed), "owner")
+        if not names.select("col", number.alias("owner")).groupBy("col", "owner").count().where("count > 1 or owner = 0").limit(1).count():
+            return owners.withColumn("owner", number)
+    raise ValueError("no seed tells the groups apart")
 
 
 def encoded(base: DataFrame, groups: dict[str, DataFrame], rows: int = ROWS) -> DataFrame:
@@ -150,37 +155,38 @@ def encoded(base: DataFrame, groups: dict[str, DataFrame], rows: int = ROWS) ->
     own, many = {name: df.columns for name, df in groups.items()}, len(groups)
     at = seconds(F.col("at"), dict(base.dtypes)["at"])
     lo, hi = (base.agg(F.percentile_approx(at, [0.001, 0.999], 1000).alias("q")).first().q or [0, 0])[:2]
-    kinds = [F.struct(F.lit(codes[n]).cast("byte").alias("col"), *_value(F.col(own[n][0]))) for n in groups]
+    kinds = [F.struct(*_value(codes[n], F.col(own[n][0]))) for n in groups]
     sums = [F.sum("n").alias("n"), F.sum("s").alias("s")]
     values = base.select("at", "fold", "n", "s", F.explode(F.array(*kinds)).alias("v")).select("v.*", "at", "fold", "n", "s")
-    values = written(values.groupBy(*KEY, "at", "fold").agg(*sums), "values")
+    values = written(values.groupBy(*KEY, "at", "fold").agg(*sums), "values", "snappy")
     owners = None
     for name, df in groups.items():
         ids, group = own[name]
         one = df.where(F.col(ids).isNotNull()).groupBy(F.col(ids).cast("long").alias("key")).agg(F.min(F.col(group).cast("string")).alias("owner"))
-        one = one.select(F.lit(codes[name]).cast("byte").alias("col"), "key", F.lit("").alias("name"), F.concat(F.lit("="), "owner").alias("owner"))
+        one = one.where("owner is not null").select("key", F.lit(codes[name]).cast("byte").alias("col"), "owner")
         owners = one if owners is None else owners.unionByName(one)
-    low = written(running(slices(values, owners.where("owner is not null"), (lo, hi), rows)), "low")
+    low = written(running(slices(values, _numbered(owners), (lo, hi), rows)), "low", "snappy")
     spent(values)
 
-    lifted = low.select((F.col("col") + many).cast("byte").alias("col"), F.lit(0).cast("long").alias("key"), F.col("owner").alias("name"), "at", "fold", "n", "s")
-    every = low.where(F.col("col") == many).select(F.lit(0).cast("byte").alias("col"), F.lit(0).cast("long").alias("key"), F.lit("").alias("name"), "at", "fold", "n", "s")
-    above = written(lifted.unionByName(every).groupBy(*KEY, "at", "fold").agg(*sums), "above")
-    high = written(running(slices(above, None, (lo, hi), rows)), "high")
+    code = (F.col("col") % NULL).cast("byte")
+    lifted = low.select(F.col("owner").alias("key"), (code + many).cast("byte").alias("col"), "at", "fold", "n", "s")
+    every = low.where(code == many).select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("byte").alias("col"), "at", "fold", "n", "s")
+    above = written(lifted.unionByName(every).groupBy(*KEY, "at", "fold").agg(*sums), "above", "snappy")
+    high = written(running(slices(above, None, (lo, hi), rows)).select(*KEY, "at", "fold", "seen", "hits"), "high", "snappy")
     spent(above)
 
+    # The time comes first among the keys of joins, as rows are sorted by their first key fastest.
     top = high.where("col = 0").select("at", "fold", rate(F.col("seen"), F.col("hits"), F.lit(PRIOR)).alias("prior"))
-    middle = high.where("col > 0").join(top, ["at", "fold"]).select((F.col("col") - many).cast("byte").alias("col"), F.col("name").alias("owner"), "at", "fold", rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("prior"))
-    rates = low.join(middle, ["col", "owner", "at", "fold"]).select(*KEY, "at", "fold", "seen", rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("rate"))
-    rates = written(rates, "rates")
+    middle = high.where("col > 0").join(top, ["at", "fold"]).select("at", "fold", F.col("key").alias("owner"), (F.col("col") - many).cast("byte").alias("code"), rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("prior"))
+    rates = low.withColumn("code", code).join(middle, ["at", "owner", "fold", "code"]).select("at", *KEY, "fold", "seen", rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("rate"))
+    rates = written(rates, "rates", "snappy")
     spent(low, high)
 
     out = base
-    for name, code in codes.items():
-        mine = rates.where(F.col("col") == code).select(F.col("key").alias("k_"), F.col("name").alias("v_"), F.col("at").alias("t_"), F.col("fold").alias("f_"), F.col("seen").alias(f"{name}_n"), F.col("rate").alias(f"{name}_rate"))
-        key, value = _value(F.col(own[name][0]))
-        on = (key == F.col("k_")) & (value == F.col("v_")) & (F.col("at") == F.col("t_")) & (F.col("fold") == F.col("f_"))
-        out = out.join(mine, on).drop("k_", "v_", "t_", "f_")
+    for name, i in codes.items():
+        mine = rates.where(code == i).select(F.col("at").alias("t_"), F.col("key").alias("k_"), F.col("col").alias("v_"), F.col("fold").alias("f_"), F.col("seen").alias(f"{name}_n"), F.col("rate").alias(f"{name}_rate"))
+        key, column = _value(i, F.col(own[name][0]))
+        out = out.join(mine, (F.col("at") == F.col("t_")) & (key == F.col("k_")) & (F.col("fold") == F.col("f_")) & (column == F.col("v_"))).drop("k_", "v_", "t_", "f_")
     return out
 
 
@@ -196,7 +202,7 @@ def line_counts(lines: DataFrame, sales: DataFrame) -> DataFrame:
 
 def target_rates(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, rows: int = ROWS) -> DataFrame:
     """Of every sale_id, item_id and vendor_id the lines, and history's size and return rate for item, vendor and client."""
-    base = written(line_counts(lines, sales), "lines")
+    base = written(line_counts(lines, sales), "lines", "snappy")
     groups = {"item": items.select("item_id", "kind"), "vendor": vendors.select("vendor_id", "nation_id"), "client": clients.select("client_id", "segment")}
     out = encoded(base, groups, rows)
     return out.select("sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned"), "item_n", "item_rate", "vendor_n", "vendor_rate", "client_n", "client_rate")
