@@ -32,6 +32,8 @@ SAMPLE, NUMBERS, TRIALS = 1 << 14, 1 << 24, 128
 LISTS, CODE, BLOCK, QUERIES = 4096, 256, 2048, 128
 #: Rows of one vector that a search can give, and rows that a task of a search holds before it drops those beyond each query's best.
 COPIES, HELD = 1024, 1 << 18
+#: Bytes of routed queries, and rows of short columns, that may be broadcast; beyond, joins shuffle.
+SENT, FEW = 1 << 23, 20_000
 #: Steps of the fits.
 STEPS = 12
 
@@ -203,7 +205,7 @@ def searched(queries: DataFrame, index: Index, k: int = 10, probes: int | None =
                 yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int32()), b.column(0).take(at), b.column(1).take(at)], names=["list", "query_id", "probe"])
 
     def scan(batches):
-        held, n, names, bounds = [], 0, ["query_id", "list", "entry", "near"], {}
+        held, n, most, names, bounds = [], 0, HELD, ["query_id", "list", "entry", "near"], {}
         for b in batches:
             for at, ids, probes_, entries, codes in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
                 x = _matrix(probes_.values, q.dimensions)
@@ -218,25 +220,30 @@ def searched(queries: DataFrame, index: Index, k: int = 10, probes: int | None =
                 of, who = np.nonzero(d <= last)
                 held.append((ids.values.take(pa.array(of)), pa.array(np.full(len(of), at), pa.int32()), entries.values.take(pa.array(who)), pa.array(d[of, who].astype(np.float64))))
                 n += len(of)
-                if n > HELD:
+                if n > most:
                     first, bounds = _firsts(held, keep)
                     held, n = [first], len(first[0])
-                    if n > HELD // 2:  # very many queries
+                    most = max(HELD, 2 * n)
+                    if n > 4 * HELD:  # very many queries
                         yield pa.RecordBatch.from_arrays(list(held[0]), names=names)
                         held, n = [], 0
         if held:
             yield pa.RecordBatch.from_arrays(list(_firsts(held, keep)[0]), names=names)
 
+    asked = written(asked, "asked")  # read by several joins
+    n = asked.count()
     routed = asked.mapInArrow(route, f"list int, query_id {query_kind}, probe array<double>")
-    chunks = max(1, -(-asked.count() // QUERIES))
+    chunks = max(1, -(-n // QUERIES))
     groups = routed.groupBy("list", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "probe")).alias("q"))
     groups = groups.select("list", F.col("q.query_id").alias("ids"), F.col("q.probe").alias("probes"))
-    met = index.blocks.join(small(groups, 4096), "list").select("list", "ids", "probes", "entries", "codes")
+    light = n * visits * q.dimensions * 8 <= SENT  # bytes of all that is routed
+    met = index.blocks.join(F.broadcast(groups) if light else groups, "list").select("list", "ids", "probes", "entries", "codes")
     found = met.mapInArrow(scan, f"query_id {query_kind}, list int, entry string, near double")
-    best = ranked(found, [F.asc("near"), F.asc("entry")], keep).select("query_id", "list", "entry").distinct()
-    exact = index.vectors.join(small(best), ["list", "entry"]).join(asked, "query_id").withColumn("distance", tx.squared_distance("probe", "embedding"))
-    entries = ranked(exact, [F.round("distance", 9), F.asc("entry")], k).select("query_id", "entry", "distance")
-    rows = index.rows.where(F.col("place") <= k).join(small(entries), "entry")
+    best = ranked(found, [F.asc("near"), F.asc("entry")], keep).select("query_id", "list", "entry")
+    best = written(best, "best")
+    exact = index.vectors.join(small(best, FEW), ["list", "entry"]).join(asked, "query_id").withColumn("distance", tx.squared_distance("probe", "embedding"))
+    entries = written(ranked(exact, [F.round("distance", 9), F.asc("entry")], k).select("query_id", "entry", "distance"), "found")
+    rows = index.rows.where(F.col("place") <= k).join(small(entries, FEW), "entry")
     return ranked(rows, [F.round("distance", 9), F.asc(key)], k).select("query_id", "rank", key, "distance")
 
 
