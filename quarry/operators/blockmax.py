@@ -28,7 +28,7 @@ from .retrieval import bm25, few_words, query_terms, ranked
 
 DOCS = 512
 #: Tokens that a block may hold before it is closed with fewer documents.
-TOKENS = 1 << 20
+TOKENS = 1 << 18
 #: Scores that differ by less may be equal when they are rounded.
 SLACK = 1e-8
 #: Share of a block's documents below which they are looked up one by one.
@@ -40,38 +40,34 @@ def blocks(tokens: DataFrame, key: str = "chunk_id", docs: int = DOCS) -> DataFr
     kind = tokens.schema[key].dataType.simpleString()
     schema = f"keys array<{kind}>, lengths binary, terms array<string>, counts array<int>, places binary, tfs binary, most_tf array<int>, least_dl array<int>"
 
-    def packed(keys, lists, key_type):
-        n, at = len(keys), {}
-        lengths = np.array([len(x) for x in lists], dtype=np.int32)
-        for i, words in enumerate(lists):
-            for word, tf in Counter(words).items():
-                at.setdefault(word, []).append((i, tf))
-        terms = sorted(at)
-        counts = np.array([len(at[x]) for x in terms], dtype=np.int32)
-        flat = np.array([p for x in terms for p in at[x]], dtype=np.int32).reshape(-1, 2)
+    def packed(part):
+        lists, n = part.column(1), part.num_rows
+        lengths = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+        words = lists.flatten().dictionary_encode()
+        # Words by their codes; a word and a document make one number, which is counted.
+        pairs, tfs = np.unique(words.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+        term, place = pairs // n, (pairs % n).astype(np.int32)
+        counts = np.bincount(term, minlength=len(words.dictionary)).astype(np.int32)
         starts = np.cumsum(counts) - counts
-        most = np.maximum.reduceat(flat[:, 1], starts) if len(terms) else counts
-        least = np.minimum.reduceat(lengths[flat[:, 0]], starts) if len(terms) else counts
+        tfs = tfs.astype(np.int32)
+        most = np.maximum.reduceat(tfs, starts) if len(counts) else counts
+        least = np.minimum.reduceat(lengths[place], starts) if len(counts) else counts
         one = lambda x, t: pa.array([x], t)
         ints = pa.list_(pa.int32())
-        columns = [one(keys, pa.list_(key_type)), one(lengths.tobytes(), pa.binary()), one(terms, pa.list_(pa.string())), one(counts, ints), one(np.ascontiguousarray(flat[:, 0]).tobytes(), pa.binary()), one(np.ascontiguousarray(flat[:, 1]).tobytes(), pa.binary()), one(most, ints), one(least, ints)]
-        assert n == len(lengths)
+        columns = [one(part.column(0), pa.list_(part.column(0).type)), one(lengths.tobytes(), pa.binary()), one(words.dictionary, pa.list_(pa.string())), one(counts, ints), one(place.tobytes(), pa.binary()), one(tfs.tobytes(), pa.binary()), one(most, ints), one(least, ints)]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     def run(batches):
-        keys, lists, held = [], [], 0
         for b in batches:
-            key_type = b.column(0).type
-            for k, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = words.as_py()
-                if keys and (len(keys) == docs or held + len(words) > TOKENS):
-                    yield packed(keys, lists, key_type)
-                    keys, lists, held = [], [], 0
-                keys.append(k)
-                lists.append(words)
-                held += len(words)
-        if keys:
-            yield packed(keys, lists, key_type)
+            sizes = pc.list_value_length(b.column(1)).to_numpy()
+            start, held = 0, 0
+            for i, n in enumerate(sizes.tolist()):
+                if i > start and (i - start == docs or held + n > TOKENS):
+                    yield packed(b.slice(start, i - start))
+                    start, held = i, 0
+                held += n
+            if start < b.num_rows:
+                yield packed(b.slice(start))
 
     return tokens.select(key, "tokens").mapInArrow(run, schema)
 
