@@ -31,8 +31,6 @@ DOCS = 512
 TOKENS = 1 << 18
 #: Scores that differ by less may be equal when they are rounded.
 SLACK = 1e-8
-#: Share of a block's documents below which they are looked up one by one.
-FEW = 0.1
 
 
 def blocks(tokens: DataFrame, key: str = "chunk_id", docs: int = DOCS) -> DataFrame:
@@ -119,7 +117,8 @@ def _scores(b: _Batch, key: str, counts_only: bool):
                 norm = ix.K1 * (1 - ix.B + ix.B * lengths / b.avgdl)
                 at = pc.index_in(asked, value_set=terms).fill_null(-1).to_numpy()
                 bound = most * (ix.K1 + 1) / (most + ix.K1 * (1 - ix.B + ix.B * least / b.avgdl))
-                impacts: dict[int, np.ndarray] = {}
+                impacts = tfs * (ix.K1 + 1) / (tfs + norm[places])
+                ends = starts + counts
                 for q, own, weights in b.queries:
                     here = at[own]
                     known = here >= 0
@@ -134,34 +133,24 @@ def _scores(b: _Batch, key: str, counts_only: bool):
                     floor = best[q][0] - SLACK if q in best else -np.inf
                     if rest[0] < floor:
                         continue
-                    acc, seen, alive = np.zeros(len(lengths)), np.zeros(len(lengths), dtype=bool), None
-                    for n, (term, weight) in enumerate(zip(here.tolist(), w.tolist(), strict=True)):
-                        if alive is None and rest[n] < floor:
-                            alive = np.flatnonzero(acc + rest[n] >= floor)
-                            if len(alive) > FEW * len(lengths):
-                                alive = None
-                        elif alive is not None:
-                            alive = alive[acc[alive] + rest[n] >= floor]
-                        if alive is not None and not len(alive):
+                    whole = int((rest[:-1] >= floor).sum())  # so many terms have to be read through
+                    parts = [slice(x, y) for x, y in zip(starts[here[:whole]].tolist(), ends[here[:whole]].tolist(), strict=True)]
+                    docs = np.concatenate([places[x] for x in parts])
+                    added = np.concatenate([impacts[x] for x in parts]) * np.repeat(w[:whole], counts[here[:whole]])
+                    acc, seen, alive = np.bincount(docs, added, len(lengths)), np.zeros(len(lengths), dtype=bool), None
+                    seen[docs] = True
+                    read[q] += len(docs)
+                    for n in range(whole, len(here)):
+                        alive = np.flatnonzero(acc + rest[n] >= floor) if alive is None else alive[acc[alive] + rest[n] >= floor]
+                        if not len(alive):
                             break
-                        mine = slice(starts[term], starts[term] + counts[term])
-                        docs = places[mine]
-                        if alive is None:
-                            part = impacts.get(term)
-                            if part is None:
-                                tf = tfs[mine]
-                                part = impacts[term] = tf * (ix.K1 + 1) / (tf + norm[docs])
-                            acc[docs] += weight * part
-                            seen[docs] = True
-                            read[q] += len(docs)
-                        else:
-                            where = np.searchsorted(docs, alive)
-                            hit = where < len(docs)
-                            hit[hit] = docs[where[hit]] == alive[hit]
-                            found, tf = alive[hit], tfs[mine][where[hit]]
-                            acc[found] += weight * (tf * (ix.K1 + 1) / (tf + norm[found]))
-                            seen[found] = True
-                            read[q] += len(found)
+                        mine = slice(starts[here[n]], ends[here[n]])
+                        where = np.searchsorted(places[mine], alive)
+                        hit = where < counts[here[n]]
+                        hit[hit] = places[mine][where[hit]] == alive[hit]
+                        found = alive[hit]
+                        acc[found] += w[n] * impacts[mine][where[hit]]
+                        read[q] += len(found)
                     hits = np.flatnonzero(seen) if alive is None else alive[seen[alive]]
                     if not len(hits):
                         continue
