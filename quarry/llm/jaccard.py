@@ -13,9 +13,10 @@ within their first x - o + l and y - o + l. Several orders are used, and a candi
 3. and 4. In the lists of shingles that many nodes share (more than FEW), sets are replaced by their differences from the list's pivot, a
    member of it. If x and y differ from the pivot by the sets u and v, they differ from each other by u ^ v, and a link allows no more than
    (1 - T) / (1 + T) * (x + y) of that; so u and v share (|u| + |v| - that) / 2 elements or more, which is one at least unless
-   both are linked to the pivot. Prefixes of the differences under two orders, rarest first among those of the same pivot
-   and by hash, have to meet. What near copies have in common is thereby gone, and only what sets them apart is compared. Their
-   lists are split in the same way where they have more than FEW * MORE members of different components, LEVELS times in all.
+   both are linked to the pivot. Elements that lie in the same differences make a class, which counts by its number of elements: an edit,
+   or a slot of a template, is one class however long it is. Prefixes of the classes under two orders, rarest first among those of the same
+   pivot and by hash, have to meet, and the weights of the common ones have to suffice. What near copies have in common is thereby gone, and
+   only what sets them apart is compared. Their lists are split in the same way where they have more than FEW * MORE members of different components, LEVELS times in all.
 
 Candidates are verified on whole sets. First come star rounds: the list of each shingle has one pivot, which is tried against the
 others (first the one with fewest shingles of its own), and what is connected then needs no further test. Then the lists that
@@ -48,14 +49,18 @@ BROADCAST = 1_000_000
 #: Members of a list whose pairs may be tried one by one; longer lists are split by the differences from a pivot. Lists of differences
 #: overlap more, and few of their pairs pass, so MORE times as many members are allowed there.
 FEW, MORE, LEVELS = 64, 16, 2
-#: Elements of a difference that its rows in lists carry along; pairs of larger ones are verified on whole sets.
+#: Classes of a difference that its rows in lists carry along, the heaviest ones.
 CARRIED = 256
+#: Elements that one class stands for at most; a token of a class holds their number in its lowest bits.
+HEAVIEST = (1 << 20) - 1
+DIFFERS = ["shared", "second", "every", "rest"]
 #: Bytes of shingles of a bucket that one task counts; larger buckets are salted.
 HOT = 1 << 24
 FLUSH = 1 << 20
 BLOCKS = "bucket int, tokens binary, nodes binary, sizes binary"
 FIRST = "doc_id long, text_hash long, n long, node long, " + BLOCKS
 SHARED_ROWS = "node long, n long, token long, df long"
+MARKED_ROWS = SHARED_ROWS + ", mark long"
 
 
 def required(n, percent: int):
@@ -143,8 +148,9 @@ def _sampled(width: int, percent: int, buckets: int):
     return run
 
 
-def _counted(least: int):
-    """SHARED_ROWS of the entries that lie in `least` nodes of those here or more, one bucket at a time; the highest bit of n marks the core."""
+def _counted(least: int, classes: bool = False):
+    """SHARED_ROWS of the entries that lie in `least` nodes of those here or more, one bucket at a time; the highest bit of n marks the core.
+    Or MARKED_ROWS, with a hash of the nodes that a token lies in."""
 
     def out(parts):
         t, v, z = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -158,10 +164,11 @@ def _counted(least: int):
         runs = np.diff(np.append(np.flatnonzero(first), len(t)))
         df = np.repeat(runs, runs)
         keep = df >= least
-        t, v, z, df = t[keep].view(np.int64), v[keep], z[keep].astype(np.int64), df[keep]
-        for i in range(0, len(t), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(v[s]), pa.array(z[s]), pa.array(t[s]), pa.array(df[s].astype(np.int64))], names=["node", "n", "token", "df"])
+        columns = [v[keep], z[keep].astype(np.int64), t[keep].view(np.int64), df[keep].astype(np.int64)]
+        if classes:
+            columns.append(np.repeat(np.bitwise_xor.reduceat(mixed(v.view(np.uint64)), np.flatnonzero(first)), runs)[keep].view(np.int64))
+        for i in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["node", "n", "token", "df", "mark"][: len(columns)])
 
     def run(batches):
         at, parts = None, []
@@ -178,22 +185,23 @@ def _counted(least: int):
     return run
 
 
-def shared_entries(blocks: DataFrame, hot: int = HOT) -> DataFrame:
-    """SHARED_ROWS of all tokens of two nodes or more. Buckets of more than hot bytes (a token in a third of all nodes, say) are salted,
-    and their counts are added up."""
-    columns = ["bucket", "tokens", "nodes", "sizes"]
+def shared_entries(blocks: DataFrame, hot: int = HOT, classes: bool = False) -> DataFrame:
+    """SHARED_ROWS (or MARKED_ROWS, for classes) of all tokens of two nodes or more. Buckets of more than hot bytes (a token in a third of all nodes,
+    say) are salted, and their counts are added up."""
+    columns, schema = ["bucket", "tokens", "nodes", "sizes"], MARKED_ROWS if classes else SHARED_ROWS
     sizes = blocks.groupBy("bucket").agg(F.sum(F.length("tokens")).alias("bytes")).where(F.col("bytes") > hot)
     large = {r["bucket"]: -(-r["bytes"] // hot) for r in sizes.collect()}  # buckets, of which there are a few for each partition
     if not large:
-        return blocks.select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(2), SHARED_ROWS)
+        return blocks.select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(2, classes), schema)
     among = F.col("bucket").isin(list(large))
-    whole = blocks.where(~among).select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(2), SHARED_ROWS)
+    whole = blocks.where(~among).select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(2, classes), schema)
     salts = F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("bucket"))
     some = blocks.where(among).withColumn("salt", F.pmod(F.xxhash64("nodes"), salts))
     some = some.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").select(columns)
     rows = written(some.mapInArrow(_counted(1), SHARED_ROWS).groupBy("node", "token").agg(F.max("n").alias("n")), "salted")
-    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return whole.unionByName(rows.join(counts, "token").select("node", "n", "token", "df"))
+    marks = [F.bit_xor(F.xxhash64("node")).alias("mark")] if classes else []
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"), *marks).where("df > 1")
+    return whole.unionByName(rows.join(counts, "token").select(*[c.split()[0] for c in schema.split(", ")]))
 
 
 def _prefixes(percent: int):
@@ -311,14 +319,15 @@ def may_link(a: list[Column], b: list[Column], percent: int) -> Column:
 
 
 def may_differ(a: list[Column], b: list[Column], percent: int) -> Column:
-    """Whether two nodes, given by their differences from one pivot as [n, d, shared, second, every], reach the threshold, as far as that can be
-    told: the differences can share enough, their prefixes under the second order meet, and what they share is enough."""
-    (n, d, shared, second, every), (m, e, shared_m, second_m, every_m) = a, b
+    """Whether two nodes, given by their differences from one pivot as [n, d, *DIFFERS], reach the threshold, as far as that can be told: the
+    differences can share enough, their prefixes under the second order meet, and what they share is enough. Classes are carried heaviest first,
+    so what two differences share beyond the carried ones lies in the rest of one of them as a whole."""
+    (n, d, shared, second, every, rest), (m, e, shared_m, second_m, every_m, rest_m) = a, b
     apart = F.floor((n + m) * (100 - percent) / (100 + percent))
     sizes = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (2 * F.least(shared, shared_m) + apart >= d + e)
     meet = F.coalesce(F.arrays_overlap(second, second_m), F.lit(True))
-    enough = F.when(every.isNull() | every_m.isNull(), True).otherwise(2 * F.size(F.array_intersect(every, every_m)) + apart >= d + e)
-    return sizes & meet & enough
+    both = F.aggregate(F.array_intersect(every, every_m), F.greatest(rest, rest_m), lambda s, x: s + x.bitwiseAND(F.lit(HEAVIEST)))
+    return sizes & meet & (2 * both + apart >= d + e)
 
 
 def open_pairs(here: DataFrame, info: list[str], allowed) -> DataFrame:
@@ -376,50 +385,75 @@ def _differences(buckets: int):
     return run
 
 
-def _two_prefixes(batches):
-    """Of each key's shared tokens, sorted by key: how many there are, the prefixes under two orders, rarest first and by hash, and all of
-    them (the latter two null beyond CARRIED); nothing of keys that share too few."""
-    names = ["key", "shared", "tokens", "second", "every"]
-    held: list[tuple] = []
+def _two_prefixes(carried: int):
+    """Of each key's shared tokens, sorted by key, the classes (tokens that lie in the same differences); and of these how much they weigh together
+    (shared), the prefixes under two orders, rarest first and by hash (the latter null beyond so many), the heaviest ones (every) and the
+    weight of the others (rest); nothing of keys that share too little."""
+    names = ["key", "shared", "tokens", "second", "every", "rest"]
 
     def out(columns):
-        key, need, token, df = columns
-        hashed = mixed(token.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-        by_df, by_hash = np.lexsort((hashed, df, key)), np.lexsort((hashed, key))
+        key, need, _, df, mark = columns
+        order = np.lexsort((mark, key))
+        key, need, df, mark = key[order], need[order], df[order], mark[order]
         new = np.ones(len(key), dtype=bool)
-        new[1:] = key[by_df][1:] != key[by_df][:-1]
+        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
         heads = np.flatnonzero(new)
-        shared = np.diff(np.append(heads, len(key)))
-        take = shared - need[by_df][heads] + 1
-        rows = [(h, s, k) for h, s, k in zip(heads.tolist(), shared.tolist(), take.tolist(), strict=True) if k > 0]
-        t, u, v = token[by_df], token[by_hash], key[by_df]
-        lists = [[t[h : h + k] for h, _, k in rows], [u[h : h + k] if k <= CARRIED else None for h, _, k in rows], [u[h : h + s] if s <= CARRIED else None for h, s, _ in rows]]
-        return pa.RecordBatch.from_arrays([pa.array([v[h] for h, _, _ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=names)
-
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if not len(columns[0]):
-            continue
-        held.append(columns)
-        last = columns[0][-1]
-        if columns[0][0] == last:
-            continue
-        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-        cut = int(np.flatnonzero(whole[0] != last)[-1]) + 1
-        yield out([c[:cut] for c in whole])
-        held = [[c[cut:] for c in whole]]
-    if held:
-        yield out([np.concatenate(c) for c in zip(*held, strict=True)])
+        weight = np.diff(np.append(heads, len(key)))
+        parts = -(-weight // HEAVIEST)
+        owner = np.repeat(np.arange(len(heads)), parts)
+        part = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        weight, at = np.minimum(weight[owner] - part * HEAVIEST, HEAVIEST), heads[owner]
+        key, need, df = key[at], need[at], df[at]
+        token = mixed(mark[at].view(np.uint64) + part.astype(np.uint64)) & ~np.uint64(HEAVIEST) | weight.astype(np.uint64)
+        hashed, token = mixed(token ^ np.uint64(0x5851F42D4C957F2D)), token.view(np.int64)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        heads = np.flatnonzero(new)
+        runs = np.diff(np.append(heads, len(key)))
+        shared, need = np.add.reduceat(weight, heads), need[heads]
+
+        def prefixes(order):
+            """Tokens in this order, and how many each key keeps: those without which less than it needs would be left."""
+            before = np.cumsum(weight[order]) - weight[order]
+            keep = before - np.repeat(before[heads], runs) <= np.repeat(shared - need, runs)
+            return token[order], np.add.reduceat(keep.astype(np.int64), heads)
+
+        (t, first), (u, second) = prefixes(np.lexsort((hashed, df, key))), prefixes(np.lexsort((hashed, key)))
+        heavy = token[np.lexsort((token, -weight, key))]
+        rows = [x for x in zip(key[heads].tolist(), heads.tolist(), runs.tolist(), shared.tolist(), first.tolist(), second.tolist()) if x[4]]
+        every = [np.unique(heavy[h : h + min(n, carried)]) for _, h, n, _, _, _ in rows]
+        lists = [[t[x[1] : x[1] + x[4]] for x in rows], [u[x[1] : x[1] + x[5]] if x[5] <= carried else None for x in rows], every]
+        rest = [x[3] - int((e & HEAVIEST).sum()) for x, e in zip(rows, every, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists), pa.array(rest, pa.int64())], names=names)
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            held.append(columns)
+            last = columns[0][-1]
+            if columns[0][0] == last:
+                continue
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(whole[0] != last)[-1]) + 1
+            yield out([c[:cut] for c in whole])
+            held = [[c[cut:] for c in whole]]
+        if held:
+            yield out([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
 
 
 def difference_lists(differences: DataFrame, buckets: int) -> DataFrame:
-    """Lists (token, node, n, d, shared, second, every) of the differences from each pivot."""
+    """Lists (token, node, n, d and DIFFERS) of the differences from each pivot."""
     d = differences.withColumn("key", F.xxhash64("a", "b"))
     blocks = written(d.select("key", "need", "tokens").mapInArrow(_differences(buckets), BLOCKS), "differences")
-    rows = shared_entries(blocks).repartition("node").sortWithinPartitions("node").mapInArrow(_two_prefixes, "key long, shared long, tokens array<long>, second array<long>, every array<long>")
-    rows = written(rows, "prefixes")
+    rows = shared_entries(blocks, classes=True).repartition("node").sortWithinPartitions("node")
+    rows = written(rows.mapInArrow(_two_prefixes(CARRIED), "key long, shared long, tokens array<long>, second array<long>, every array<long>, rest long"), "prefixes")
     spent(blocks)
-    lists = rows.join(d.select("key", F.col("b").alias("node"), "n", "d"), "key").select(F.explode("tokens").alias("token"), "node", "n", "d", "shared", "second", "every")
+    lists = rows.join(d.select("key", F.col("b").alias("node"), "n", "d"), "key").select(F.explode("tokens").alias("token"), "node", "n", "d", *DIFFERS)
     out = written(lists, "lists")
     spent(rows)
     return out
@@ -528,7 +562,7 @@ def jaccard_classes(docs: DataFrame, width: int = 4, percent: int = 85, stars: i
         if differences is None:
             break
         lists = difference_lists(differences, buckets)
-        info, allowed = ["n", "d", "shared", "second", "every"], lambda a, b: may_differ(a, b, percent)
+        info, allowed = ["n", "d", *DIFFERS], lambda a, b: may_differ(a, b, percent)
         rank = [F.col("d") - F.col("shared"), F.col("d")]
     spent(sets, want)
     cid = names.select("node", F.col("least").alias("cid"), F.col("node").alias("root"))

@@ -111,6 +111,61 @@ def test_pairs_of_near_copies_grow_with_their_number(spark, monkeypatch):
     assert counts[1] <= 2.5 * counts[0] and counts[1] < 300 * 20
 
 
+def templates(n, seed=9, slots=40, variants=2):
+    """Texts of 3,000 words from one template, of which each slot of 15 words has some variants: most pairs are just below the threshold."""
+    r = random.Random(seed)
+    words = [f"t{i}" for i in range(100_000)]
+    fixed = [r.choices(words, k=60) for _ in range(slots)]
+    filled = [[r.choices(words, k=15) for _ in range(variants)] for _ in range(slots)]
+    return [(i, " ".join(w for f, v in zip(fixed, filled, strict=True) for w in f + r.choice(v))) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [150, 300])
+def test_long_texts_of_one_template(spark, monkeypatch, n):
+    """Differences of hundreds of elements, but few classes: only few pairs more than the links themselves are tried."""
+    opened = []
+
+    def tables(df, name, codec="zstd", own=jaccard.written):
+        out = own(df, name, codec)
+        if name == "open":
+            opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", tables)
+    docs = templates(n)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), few=16).collect())
+    assert got == sorted(brute(docs, 4, 85))
+    assert 1 < len({c for _, _, c in got}) < n and sum(opened) <= 20 * n
+
+
+@pytest.mark.parametrize("carried", [2, 256])
+def test_classes_of_differences(monkeypatch, carried):
+    """What two differences share is never held to be less than it is, also where classes are not all carried or are dealt to several tokens."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "HEAVIEST", 3)
+    r = random.Random(carried)
+    keys = {k: set() for k in range(1, 9)}
+    for start in range(0, 600, 6):
+        within = r.sample(sorted(keys), r.randint(2, 5))
+        for t in range(start, start + r.randint(1, 6)):
+            for k in within:
+                keys[k].add(t)
+    nodes = {t: [k for k in keys if t in keys[k]] for t in range(600)}
+    mark = {t: hash(tuple(v)) for t, v in nodes.items()}
+    rows = [(k, 40, t, len(nodes[t]), mark[t]) for k in keys for t in sorted(keys[k])]
+    names = ["node", "n", "token", "df", "mark"]
+    got = drive(jaccard._two_prefixes(carried), pa.table({c: pa.array([x[i] for x in rows], pa.int64()) for i, c in enumerate(names)}), 50).to_pylist()
+    assert [x["key"] for x in got] == sorted(keys) and all(x["shared"] == len(keys[x["key"]]) for x in got)
+    for x, y in combinations(got, 2):
+        both = len(keys[x["key"]] & keys[y["key"]])
+        bound = sum(t & 3 for t in set(x["every"]) & set(y["every"])) + max(x["rest"], y["rest"])
+        assert bound >= both
+        if both >= 40:
+            assert set(x["tokens"]) & set(y["tokens"])
+            assert x["second"] is None or y["second"] is None or set(x["second"]) & set(y["second"])
+
+
 def test_words_of_equal_sums_are_told_apart(spark):
     """Strings on which polynomial sums modulo a power of two agree."""
     a = "a"
