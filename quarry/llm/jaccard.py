@@ -185,7 +185,7 @@ def _counted(least: int, classes: bool = False):
     return run
 
 
-def shared_entries(blocks: DataFrame, hot: int = HOT, classes: bool = False) -> DataFrame:
+def shared_entries(blocks: DataFrame, hot: int = HOT, *, classes: bool = False) -> DataFrame:
     """SHARED_ROWS (or MARKED_ROWS, for classes) of all tokens of two nodes or more. Buckets of more than hot bytes (a token in a third of all nodes,
     say) are salted, and their counts are added up."""
     columns, schema = ["bucket", "tokens", "nodes", "sizes"], MARKED_ROWS if classes else SHARED_ROWS
