@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as many
+
 #: A word: letters and digits of any script, joined by single hyphens.
 WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 #: A token of the lexical index, where . _ - belong to words.
@@ -113,6 +115,8 @@ def route(query: Column | str, patterns: Sequence[str] = tuple(LEXICAL_PATTERNS)
 def category(path: Column | str, patterns: dict[str, str], default: str = "general") -> Column:
     """P5: the category of the longest pattern that the path holds; of equally long ones, the first given."""
     p = F.lower(F.replace(_c(path), F.lit("\\"), F.lit("/")))
+    if len(patterns) > many.FEW:
+        return F.coalesce(many.longest(p, patterns), F.lit(default))
     out = F.lit(default)
     for pattern, name in reversed(sorted(patterns.items(), key=lambda x: -len(x[0]))):
         out = F.when(F.contains(p, F.lit(pattern)), name).otherwise(out)
@@ -123,8 +127,8 @@ def keywords(text: Column | str, routes: dict[str, Sequence[str]]) -> Column:
     """Route keywords and tools that the text holds, CVE ids, technique ids, and addresses if there are five at most; sorted."""
     t = _c(text)
     low = F.lower(t)
-    known = F.array(*[F.lit(k) for k in dict.fromkeys([k.lower() for ks in routes.values() for k in ks] + TOOLS)])
-    held = F.filter(known, lambda k: F.contains(low, k))
+    known = list(dict.fromkeys([k.lower() for ks in routes.values() for k in ks] + TOOLS))
+    held = many.held(low, known) if len(known) > many.FEW else F.filter(F.array(*[F.lit(k) for k in known]), lambda k: F.contains(low, k))
     cve = F.regexp_extract_all(t, F.lit(r"(?i)CVE-\d{4}-\d{4,}"), F.lit(0))
     technique = F.regexp_extract_all(t, F.lit(r"T\d{4}(?:\.\d{3})?"), F.lit(0))
     ip = F.regexp_extract_all(t, F.lit(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), F.lit(0))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .digests import ordered_digest, row_hash  # noqa: F401
 from .retrieval import small
 
 # Names that never belong to a corpus.
@@ -94,30 +94,12 @@ def parity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.agg(F.count("*").alias("left_rows")).crossJoin(b.agg(F.count("*").alias("right_rows"))).crossJoin(only(a, b, "left_only")).crossJoin(only(b, a, "right_only"))  # one row each
 
 
-def row_hash(*columns: str) -> Column:
-    """A hash of a row's length-prefixed fields; null has no length."""
-    field = lambda c: F.when(F.col(c).isNull(), F.lit("-;")).otherwise(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"), F.lit(";")))
-    return F.sha2(F.concat(*[field(c) for c in columns]), 256)
-
-
 def set_digest(df: DataFrame, *columns: str) -> DataFrame:
     """One row: n, digest_sum: the same for any order of rows, computed without bringing them together."""
     part = F.conv(F.substring(row_hash(*columns), 1, 12), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest_sum"))
 
 
-def ordered_digest(df: DataFrame, key: str, *columns: str) -> str:
-    """sha256 over the rows' hashes in the order of their keys' bytes; a key that repeats is an error. Row hashes
-    stream through the driver one partition at a time; use set_digest where that is too much."""
-    fold, last = hashlib.sha256(), None
-    for r in df.select(F.col(key).cast("string").alias("k"), row_hash(key, *columns).alias("h")).orderBy("k").toLocalIterator():
-        if r["k"] == last:
-            raise ValueError(f"{key} repeats: {last}")
-        last = r["k"]
-        fold.update(bytes.fromhex(r["h"]))
-    return fold.hexdigest()
-
-
 def tree_digest(files: DataFrame, by: str) -> DataFrame:
     """By, files, digest_sum over each file's path, sha256 and size, without bringing the files together. files: by, path, sha256, size."""
     line = F.concat("path", F.lit("\0"), "sha256", F.lit("\0"), F.col("size").cast("string"), F.lit("\n"))

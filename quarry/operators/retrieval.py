@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..functions import patterns as many
 from ..functions import text as tx
 from . import index as ix
 
 RRF, MISSING = 60, 1000
 #: Query rows (or query terms) that may be broadcast; beyond, joins shuffle.
 BROADCAST = 200_000
+#: Routes that go to every task.
+ROUTES = 100_000
 #: Query vectors that are held as one matrix by each task.
 PROBES = 20_000
 
@@ -208,10 +211,18 @@ def expansion_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def keyword_route(queries: DataFrame, routes: DataFrame) -> DataFrame:
-    """query_id, routed_by: the category with most keywords in the query; the one declared first wins ties. routes: category, keyword, cat_ord."""
+    """query_id, routed_by: the category with most keywords in the query; the one declared first wins ties. A keyword of several words is
+    looked for anywhere, others between word boundaries. routes: category, keyword, cat_ord. Up to ROUTES of them are found in one pass over each query; more are joined."""
     k, q = F.lower("keyword"), F.lower("query_text")
-    word = F.concat(F.lit(r"(?U)\b\Q"), k, F.lit(r"\E\b"))
-    hits = queries.join(small(routes), F.when(F.contains(k, F.lit(" ")), F.contains(q, k)).otherwise(F.rlike(q, word)))
+    listed = routes.where("keyword is not null").select(k.alias("keyword"), "category", "cat_ord")
+    rows = listed.limit(ROUTES + 1).collect()
+    if len(rows) <= ROUTES:
+        words = [r["keyword"] for r in rows]
+        names = queries.sparkSession.createDataFrame([(i, r["category"], r["cat_ord"]) for i, r in enumerate(rows)], f"i int, category {routes.schema['category'].dataType.simpleString()}, cat_ord {routes.schema['cat_ord'].dataType.simpleString()}")
+        hits = queries.select("query_id", F.explode(many.found(q, words, [" " not in w for w in words])).alias("i")).join(F.broadcast(names), "i")
+    else:
+        word = F.concat(F.lit(r"(?U)\b\Q"), k, F.lit(r"\E\b"))
+        hits = queries.join(small(routes), F.when(F.contains(k, F.lit(" ")), F.contains(q, k)).otherwise(F.rlike(q, word)))
     n = hits.groupBy("query_id", "category", "cat_ord").agg(F.count("*").alias("n"))
     best = ranked(n, [F.desc("n"), F.asc("cat_ord")], 1).select("query_id", F.col("category").alias("routed_by"))
     return queries.select("query_id").join(best, "query_id", "left")

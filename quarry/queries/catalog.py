@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as cn
+from ..functions import patterns as many
 from ..functions import text as tx
 from ..operators import ann, blockmax
 from ..operators import chunking as ch
+from ..operators import digests as dg
 from ..operators import evidence as ev
 from ..operators import index as ix
 from ..operators import lexical as lx
@@ -183,6 +185,27 @@ def extract_keywords(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keywords("text", routes), ",").alias("keywords"))
 
 
+#: Patterns of the query log that are looked for at once; more are an error, as they go to every task.
+MOST_PATTERNS = 100_000
+
+
+@query(rf"""with w as (select regexp_extract_all(lower(text), '{WORDS}') as t from benchmark),
+p as (select distinct unnest(list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1]))) as p from w),
+h as (select doc_id, p from documents, p where contains(lower(text), p))
+select doc_id, count(p) as n_patterns, sum(length(p))::bigint as n_letters from documents left join h using (doc_id) group by all""")
+def benchmark_terms(spark, sf_dir):
+    """P6 with many patterns: how many of the query log's words and pairs of neighbouring words a document holds anywhere, and their letters in all."""
+    w = tx.words(F.col("text"))
+    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    rows = t(spark, sf_dir, "benchmark").select(F.explode(F.concat(w, pairs)).alias("p")).distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    hit = many.held(F.lower("text"), sorted(r["p"] for r in rows))
+    d = t(spark, sf_dir, "documents").select("doc_id", hit.alias("held"))
+    letters = F.aggregate("held", F.lit(0).cast("long"), lambda s, p: s + F.length(p))
+    return d.select("doc_id", F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("n_patterns"), F.when(F.size("held") > 0, letters).alias("n_letters"))
+
+
 @query(rf"""with x as (select doc_id, source || ' ' || lang || ' ' || text as q, lower(source || '/' || lang || ' ' || 'doc' || doc_id || '.md') as p from documents),
 y as (select *, regexp_extract_all(lower(q), '{WORDS}') as qt, regexp_extract_all(p, '{WORDS}') as pt from x)
 select doc_id, round(case when len(qt) = 0 or len(pt) = 0 then 0 else least(0.003, coalesce(list_sum(list_transform(qt, lambda w: case when list_contains(pt, w) then 0.0006 when contains(p, w) then 0.0003 else 0 end)), 0)
@@ -642,6 +665,19 @@ def backend_parity(spark, sf_dir):
     return mt.parity(*_manifests(spark, sf_dir), "path")
 
 
+@query(f"with {MANIFESTS} select path, case when b.s is null then 'missing' when a.s is null then 'extra' else 'differing' end as difference from a full join b using (path) where a.s is distinct from b.s")
+def tree_diff(spark, sf_dir):
+    return dg.differing_rows(*_manifests(spark, sf_dir), "path", "sha256")
+
+
+@query("""with f as (select sha256(doc_id::varchar) as p, octet_length(encode(doc_id::varchar)) || ':' || doc_id || ';' || coalesce(octet_length(encode(text)) || ':' || text || ';', '-;') || coalesce(octet_length(encode(source)) || ':' || source || ';', '-;') as row from documents),
+h as (select level, substr(p, 1, 2 * level) as prefix, sha256(row) as h from f, (values (0), (1)) l(level)),
+s as (select level, prefix, count(*) as n, sum(('0x' || substr(h, 1, 12))::bigint) as s0, sum(('0x' || substr(h, 13, 12))::bigint) as s1, sum(('0x' || substr(h, 25, 12))::bigint) as s2, sum(('0x' || substr(h, 37, 12))::bigint) as s3 from h group by all)
+select level, prefix, n, sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) as digest from s""")
+def digest_tree(spark, sf_dir):
+    return dg.tree(t(spark, sf_dir, "documents"), "doc_id", "text", "source", depth=1).select("level", "prefix", "n", "digest")
+
+
 @query("""with h as (select sha256(octet_length(encode(doc_id::varchar)) || ':' || doc_id || ';' || octet_length(encode(text)) || ':' || text || ';' || octet_length(encode(lang)) || ':' || lang || ';') as h from documents)
 select count(*) as n, sum(('0x' || substr(h, 1, 12))::bigint)::varchar as digest_sum from h""")
 def row_digest(spark, sf_dir):
