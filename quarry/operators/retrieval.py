@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import IntegerType, StructField, StructType, _parse_datatype_string
 
 from ..functions import patterns as many
 from ..functions import text as tx
@@ -31,6 +31,12 @@ def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def small_pool(hits: DataFrame, queries: DataFrame, k: int, most: int = BROADCAST) -> DataFrame:
+    """The k best rows of each query with a broadcast hint if there can be no more of them than so many; read from the queries alone. What is joined to
+    them then stays where it lies, whatever its size."""
+    return F.broadcast(hits) if queries.limit(most // k + 1).count() <= most // k else hits
+
+
 def ranked(df: DataFrame, order: list[Column], k: int, per: str = "query_id", name: str = "rank") -> DataFrame:
     """The first k rows of each query, with their rank."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col(name) <= k)
@@ -156,15 +162,18 @@ def reranked(hits: DataFrame, k: int, scorer=lexical_overlap, pool: int | None =
 def diversified(hits: DataFrame, k: int, weight: float = 0.7, key: str = "chunk_id") -> DataFrame:
     """Maximal marginal relevance within each query's pool (a few hundred rows at most, cut before). Adds mmr_rank."""
 
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rank").reset_index(drop=True)
-        if len(f) <= k:
-            return f.assign(mmr_rank=range(1, len(f) + 1))
-        sets = [frozenset((t or "").lower().split()) for t in f["content"]]
-        value = f["relevance"]
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        taken = picked(table.column("content").to_pylist(), table.column("relevance").to_pandas())
+        return table.take(pa.array(taken, pa.int64())).append_column("mmr_rank", pa.array(range(1, len(taken) + 1), pa.int32()))
+
+    def picked(texts: list, value: pd.Series) -> list[int]:
+        if len(texts) <= k:
+            return list(range(len(texts)))
+        sets = [frozenset((t or "").lower().split()) for t in texts]
         low, high = value.min(), value.max()
         relevance = ((value - low) / (high - low) if high > low else value * 0 + 1.0).where(value.notna(), 0.0).fillna(0.0).tolist()
-        closest, taken, free = [0.0] * len(f), [0], list(range(1, len(f)))
+        closest, taken, free = [0.0] * len(sets), [0], list(range(1, len(sets)))
         while len(taken) < k and free:
             new = sets[taken[-1]]
             for i in free:
@@ -173,11 +182,12 @@ def diversified(hits: DataFrame, k: int, weight: float = 0.7, key: str = "chunk_
             best = max(free, key=lambda i: (round(weight * relevance[i] - (1 - weight) * closest[i], 12), -i))
             taken.append(best)
             free.remove(best)
-        return f.iloc[taken].assign(mmr_rank=range(1, len(taken) + 1))
+        return taken
 
-    keep = hits.select("query_id", "rank", key, "content", F.col("relevance").cast("double"))
-    out = keep.groupBy("query_id").applyInPandas(lambda f: choose(f)[["query_id", "rank", key, "mmr_rank"]], f"query_id {hits.schema['query_id'].dataType.simpleString()}, rank int, {key} {hits.schema[key].dataType.simpleString()}, mmr_rank int")
-    return hits.join(out.select("query_id", key, "mmr_rank"), ["query_id", key])
+    # The rows come with all their columns and leave with them, so the search behind them runs once.
+    hits = hits.withColumn("relevance", F.col("relevance").cast("double"))
+    schema = StructType([*hits.schema.fields, StructField("mmr_rank", IntegerType())])
+    return hits.groupBy("query_id").applyInArrow(choose, schema)
 
 
 def expanded(hits: DataFrame, chunks: DataFrame) -> DataFrame:

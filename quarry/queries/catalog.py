@@ -72,6 +72,17 @@ def doc_index(spark, sf_dir) -> dict[str, DataFrame]:
     return {"tokens": tokens, "postings": p, "corpus_stats": s, "term_stats": ix.term_stats(p, s)}
 
 
+def doc_blocks(spark, sf_dir) -> DataFrame:
+    """The documents' postings in blocks, written once for all reads of a query."""
+    return written(blockmax.blocks(ix.tokenized(corpus(spark, sf_dir), "doc_id"), "doc_id"), "blocks")
+
+
+def best(spark, sf_dir, k: int) -> DataFrame:
+    """query_id, rank, doc_id, score of the log's k best documents by BM25, small beside any table of documents."""
+    q = log(spark, sf_dir)
+    return rt.small_pool(blockmax.searched(q, doc_blocks(spark, sf_dir), k, "doc_id"), q, k)
+
+
 def doc_vectors(spark, sf_dir) -> DataFrame:
     return t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
@@ -345,8 +356,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"with {BM} select query_id, rank, doc_id, round(score, 6) as score from {top('bm_all', 'round(score, 9) desc, doc_id', 10)}")
 def bm25_topk(spark, sf_dir):
-    index = written(blockmax.blocks(ix.tokenized(corpus(spark, sf_dir), "doc_id"), "doc_id"), "blocks")
-    return blockmax.searched(log(spark, sf_dir), index, 10, "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return best(spark, sf_dir, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""with {BM}, f as (select bm_all.* from bm_all join documents using (doc_id) where {CAT} = 'beta')
@@ -445,7 +455,7 @@ pick(query_id, n, taken) as (
   from (select y.*, taken from pick join y using (query_id) where len(taken) < 10 and not list_contains(taken, rank)) group by query_id)
 select query_id, doc_id, rank, list_position(taken, rank)::int as mmr_rank from (select query_id, arg_max(taken, len(taken)) as taken from pick group by all) join k using (query_id) where list_contains(taken, rank)""")
 def mmr_select(spark, sf_dir):
-    h = rt.bm25(log(spark, sf_dir), doc_index(spark, sf_dir), 30, "doc_id").join(corpus(spark, sf_dir).select("doc_id", "content"), "doc_id").withColumn("relevance", F.col("score"))
+    h = best(spark, sf_dir, 30).join(corpus(spark, sf_dir).select("doc_id", "content"), "doc_id").withColumn("relevance", F.col("score"))
     return rt.diversified(h, 10, key="doc_id").select("query_id", "doc_id", "rank", "mmr_rank")
 
 
