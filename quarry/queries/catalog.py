@@ -523,10 +523,9 @@ select count(*) as n, round(avg(coalesce(1.0 / hit, 0)), 4)::double as mrr, roun
 def evaluate_mrr(spark, sf_dir):
     d = corpus(spark, sf_dir)
     q = log(spark, sf_dir)
-    # Found as a table of few queries against all texts: a stated set, checked in one pass.
-    cases = d.join(rt.small(q), F.contains("content", F.col("query_text"))).select("query_id", F.col("path").alias("expected"))
-    r = rt.bm25(q, doc_index(spark, sf_dir), 5, "doc_id").join(d.select("doc_id", F.col("path").alias("source")), "doc_id")
-    return rt.evaluated(cases, r)
+    cases = rt.holding(q, d.select("content", F.col("path").alias("expected"))).select("query_id", "expected")
+    r = best(spark, sf_dir, 5).join(d.select("doc_id", F.col("path").alias("source")), "doc_id")
+    return rt.evaluated(cases, rt.small_pool(r, q, 5))
 
 
 # --- evidence ---
