@@ -440,7 +440,7 @@ y as (select query_id, doc_id, old_rank, case when len(qt) > 0 then len(list_int
 select query_id, rank, doc_id, old_rank, round(s, 6) as reranker_score from {top('y', 'round(s, 9) desc, old_rank', 5)}""")
 def rerank_lexical(spark, sf_dir):
     q = log(spark, sf_dir)
-    h = rt.bm25(q, doc_index(spark, sf_dir), 20, "doc_id").join(q, "query_id").join(corpus(spark, sf_dir).select("doc_id", "content"), "doc_id")
+    h = rt.small_pool(best(spark, sf_dir, 20).join(q, "query_id"), q, 20).join(corpus(spark, sf_dir).select("doc_id", "content"), "doc_id")
     return rt.reranked(h, 5).select("query_id", "rank", "doc_id", "old_rank", F.round("reranker_score", 6).alias("reranker_score"))
 
 
