@@ -430,7 +430,7 @@ def min_score_filter(spark, sf_dir):
 @query(f"""with {BM}, k as {top('bm_all', 'round(score, 9) desc, doc_id', 8)}
 select query_id, doc_id, case when max(score) over w > min(score) over w then round((score - min(score) over w) / (max(score) over w - min(score) over w), 4) else 1 end as relative from k window w as (partition by query_id)""")
 def score_normalize(spark, sf_dir):
-    r = rt.bm25(log(spark, sf_dir), doc_index(spark, sf_dir), 8, "doc_id")
+    r = best(spark, sf_dir, 8)
     return r.select("query_id", "doc_id", rt.cohort_score(r, "score").alias("relative"))
 
 
