@@ -546,7 +546,7 @@ u as (select query_id, 'E' || row_number() over (partition by query_id order by
 
 def _units(spark, sf_dir) -> DataFrame:
     q = log(spark, sf_dir)
-    r = rt.bm25(q, doc_index(spark, sf_dir), 5, "doc_id").join(q, "query_id").join(corpus(spark, sf_dir).select("doc_id", "content"), "doc_id")
+    r = rt.small_pool(best(spark, sf_dir, 5).join(q, "query_id"), q, 5).join(corpus(spark, sf_dir).select("doc_id", "content"), "doc_id")
     return ev.units(r.select("query_id", "query_text", "rank", "content"), STOP)
 
 
