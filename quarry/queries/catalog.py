@@ -416,7 +416,7 @@ f as (select *, min(boosted) over (partition by query_id) as lo, max(boosted) ov
 @query(f"""with {HYBRID} select query_id, rank, doc_id, round(case when hi > lo then (boosted - lo) / (hi - lo) else 1 end, 4)::double as score, round(rrf_score, 6)::double as raw_rrf_score, coalesce(semantic_rank, 1000) as semantic_rank, coalesce(bm25_rank, 1000) as bm25_rank,
   case when semantic_rank is not null and bm25_rank is not null then 'hybrid' when semantic_rank is not null then 'semantic' else 'keyword' end as search_method, category from f""")
 def hybrid_search(spark, sf_dir):
-    engine = HybridSearch(corpus(spark, sf_dir), doc_vectors(spark, sf_dir), key="doc_id")
+    engine = HybridSearch(corpus(spark, sf_dir), doc_vectors(spark, sf_dir), "doc_id", {"blocks": doc_blocks(spark, sf_dir)})
     r = engine.run(log(spark, sf_dir), probes(spark, sf_dir), k=10, pool=30, alpha=0.5)
     return r.select("query_id", "rank", "doc_id", "score", "raw_rrf_score", "semantic_rank", "bm25_rank", "search_method", "category").fillna(rt.MISSING, ["semantic_rank", "bm25_rank"])
 
