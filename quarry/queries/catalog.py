@@ -399,7 +399,7 @@ def search_similar(spark, sf_dir):
 @query(f"with {FUSED} select query_id, doc_id, coalesce(semantic_rank, 1000) as semantic_rank, coalesce(bm25_rank, 1000) as bm25_rank, round(rrf_score, 9)::double as rrf_score from rrf")
 def rrf_fuse(spark, sf_dir):
     s = rt.nearest(probes(spark, sf_dir), doc_vectors(spark, sf_dir), 30, "doc_id")
-    b = rt.bm25(log(spark, sf_dir), doc_index(spark, sf_dir), 30, "doc_id")
+    b = best(spark, sf_dir, 30)
     return rt.fused(s, b, 0.5, "doc_id").withColumn("rrf_score", F.round("rrf_score", 9)).fillna(rt.MISSING, ["semantic_rank", "bm25_rank"])
 
 
