@@ -362,8 +362,11 @@ def bm25_topk(spark, sf_dir):
 @query(f"""with {BM}, f as (select bm_all.* from bm_all join documents using (doc_id) where {CAT} = 'beta')
 select query_id, rank, doc_id, round(score, 6) as score from {top('f', 'round(score, 9) desc, doc_id', 10)}""")
 def category_filtered_search(spark, sf_dir):
-    keep = corpus(spark, sf_dir).where("category = 'beta'").select("doc_id")
-    return rt.bm25(log(spark, sf_dir), doc_index(spark, sf_dir), 10, "doc_id", within=keep).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    d = corpus(spark, sf_dir)
+    parts = [blockmax.blocks(ix.tokenized(d.where(which), "doc_id"), "doc_id").withColumn("kept", F.lit(kept)) for which, kept in (("category = 'beta'", True), ("category <> 'beta'", False))]
+    index = written(parts[0].union(parts[1]), "blocks")
+    found = blockmax.searched(log(spark, sf_dir), index.where("kept").drop("kept"), 10, "doc_id", stats=blockmax.statistics(index))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {KNN} select query_id, rank, doc_id, round(distance, 6) as distance from {top('knn_all', 'round(distance, 9), doc_id', 10)}")
