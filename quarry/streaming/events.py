@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,21 +121,32 @@ def rate_limited_stream(stream: DataFrame, per: str = "user_id", rpm: int = 60,
 
 def debounced(events: DataFrame, per: str, wait: float = 10.0) -> DataFrame:
     """ST1: per, batch, deadline, paths: the first event sets a deadline, later ones up to it join. events: per, ts, path."""
-    s = events.select(per, seconds("ts").alias("t"), F.col("path").cast("string"))
+    s = events.select(per, seconds("ts").alias("t"), F.col("path").cast("string").alias("path"))
     kind = events.schema[per].dataType.simpleString()
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["t", "path"])
-        batch, until, out = -1, float("-inf"), []
-        for t in f["t"]:
-            if t > until:
-                batch, until = batch + 1, t + wait
-            out.append((batch, until))
-        f = f.assign(batch=[b for b, _ in out], deadline=[u for _, u in out])
-        g = f.groupby(["batch", "deadline"])["path"].nunique().reset_index(name="paths")
-        return pd.DataFrame({per: f[per].iloc[0], "batch": g["batch"], "deadline": g["deadline"], "paths": g["paths"]})
-
-    return s.groupBy(per).applyInPandas(one, f"{per} {kind}, batch long, deadline double, paths long")
+    def run(batches):
+        # A key's events come in the order of their times; only its number of batches and its deadline are held from one stretch to the next.
+        own, batch, until = object(), -1, float("-inf")
+        for b in batches:
+            keys, times = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+            starts = pc.not_equal(keys.slice(1), keys.slice(0, max(0, b.num_rows - 1))).fill_null(True).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(starts) + 1).tolist(), b.num_rows] if b.num_rows else []
+            numbers, deadlines = np.empty(b.num_rows, dtype=np.int64), np.empty(b.num_rows)
+            for first, last in zip(edges, edges[1:], strict=False):
+                if (key := keys[first].as_py()) != own:
+                    own, batch, until = key, -1, float("-inf")
+                at, known = first, first + int(np.count_nonzero(~np.isnan(times[first:last])))  # events without a time come last and join
+                while at < last:
+                    to = at + int(np.searchsorted(times[at:known], until, "right")) if at < known else last
+                    to = last if to == known else to
+                    numbers[at:to], deadlines[at:to] = batch, until
+                    if to < last:
+                        batch, until = batch + 1, times[to] + wait
+                    at = to
+            yield pa.RecordBatch.from_arrays([keys, pa.array(numbers), pa.array(deadlines), b.column(2)], names=[per, "batch", "deadline", "path"])
+
+    placed = s.repartition(per).sortWithinPartitions(per, F.asc_nulls_last("t")).mapInArrow(run, f"{per} {kind}, batch long, deadline double, path string")
+    return placed.groupBy(per, "batch", "deadline").agg(F.countDistinct("path").alias("paths"))
 
 
 def backoff(failures: Column | str, debounce: float = 10.0, longest: float = 300.0) -> Column:

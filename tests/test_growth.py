@@ -4,11 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 from test_blockmax import tables
 
+from quarry.functions import patterns as many
 from quarry.operators import blockmax
 from quarry.operators import index as ix
 from quarry.operators import retrieval as rt
 from quarry.plans.search import HybridSearch
 from quarry.queries import catalog
+from quarry.sources import parsers as ps
+from quarry.streaming import events as es
 
 
 def plan(df):
@@ -62,3 +65,42 @@ def test_matched_counts_what_is_found(spark):
     index = blockmax.blocks(ix.tokenized(chunks), docs=70)
     assert {tuple(r) for r in blockmax.matched(queries, index).collect()} == {tuple(r) for r in want.collect()}
     assert blockmax.matched(queries.limit(0), index).count() == 0
+
+
+def test_debounce_in_stretches(spark):
+    """A key's events are read in stretches; batches run on over their ends, ties and events without a time."""
+    at = [0.0, 3.0, 10.0, 10.0, 10.5, 30.0, 31.0, 31.0, 40.0, 41.0, None]
+    e = spark.createDataFrame([(k, None if t is None else 1e9 + t, p) for k in ("a", "b", None) for i, t in enumerate(at) for p in (f"p{i % 3}", None)] + [("c", None, "p")], "k string, s double, path string").select("k", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "path")
+    one = [(0, 1e9 + 10, 3), (1, 1e9 + 20.5, 1), (2, 1e9 + 40, 3), (3, 1e9 + 51, 2)]
+    want = {(k, *x) for k in ("a", "b", None) for x in one} | {("c", -1, float("-inf"), 1)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            d = es.debounced(e, "k", 10.0)
+            assert {tuple(r) for r in d.collect()} == want
+            assert "FlatMapGroupsInPandas" not in plan(d)  # no key's log is one frame
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_benchmark_terms_stay_in_the_task(spark, sf):
+    """Counts leave the task, not the patterns that each text holds."""
+    d = spark.createDataFrame([("abc b",), ("",), (None,), ("zz",)], "text string")
+    assert [tuple(r["x"]) for r in d.select(many.counted(F.col("text"), ["b", "abc", "b", "ß"]).alias("x")).collect()] == [(2, 4), (0, 0), (0, 0), (0, 0)]
+    assert "array<string>" not in catalog.benchmark_terms(spark, sf)._jdf.queryExecution().optimizedPlan().toJSON()
+
+
+def test_pages_leave_in_parts(spark, monkeypatch):
+    html = spark.createDataFrame([(i, "https://x.org/a", f"<html><title>t{i}</title><body><p>b{i}</p></body></html>") for i in range(9)] + [(10, "https://x.org/b", None)], "page_id long, url string, html string").coalesce(1)
+    whole = sorted(map(repr, ps.pages(html).collect()))
+    monkeypatch.setattr(ps, "PAGES", 2)
+    assert sorted(map(repr, ps.pages(html).collect())) == whole and len(whole) == 10
+    assert "MapInPandas" not in plan(ps.pages(html))
+
+
+def test_postings_are_counted_where_they_lie(spark, sf, tmp_path):
+    assert "Aggregate" not in plan(catalog.postings(spark, sf))
+    d = spark.createDataFrame([(1, "a b a", "s", "en"), (1, "b", "s", "en"), (2, "", "s", "en")], "doc_id long, text string, source string, lang string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalog.postings(spark, str(tmp_path)).collect()} == {(1, "a", 2, 3), (1, "b", 2, 3)}  # repeated keys are one document
