@@ -84,6 +84,24 @@ def held(text: Column, patterns: Sequence[str]) -> Column:
     return names(text)
 
 
+def counted(text: Column, patterns: Sequence[str]) -> Column:
+    """n, letters: how many of the patterns the text holds, and their letters in all; the patterns themselves stay in the task."""
+    patterns = list(dict.fromkeys(patterns))
+
+    @F.pandas_udf("n long, letters long")
+    def numbers(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        finder, letters = Finder(patterns), [len(p) for p in patterns]
+        for s in texts:
+            n, of = [], []
+            for x in s:
+                ids = finder(x) if x is not None else []
+                n.append(len(ids))
+                of.append(sum(letters[i] for i in ids))
+            yield pd.DataFrame({"n": n, "letters": of}, dtype="int64")
+
+    return numbers(text)
+
+
 def longest(text: Column, names: dict[str, str]) -> Column:
     """The name of the longest pattern that the text holds; of equally long ones, the first given; null without one. names: pattern to name."""
     order = sorted(names, key=lambda p: -len(p))

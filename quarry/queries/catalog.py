@@ -211,10 +211,9 @@ def benchmark_terms(spark, sf_dir):
     rows = t(spark, sf_dir, "benchmark").select(F.explode(F.concat(w, pairs)).alias("p")).distinct().limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns")
-    hit = many.held(F.lower("text"), sorted(r["p"] for r in rows))
+    hit = many.counted(F.lower("text"), sorted(r["p"] for r in rows))
     d = t(spark, sf_dir, "documents").select("doc_id", hit.alias("held"))
-    letters = F.aggregate("held", F.lit(0).cast("long"), lambda s, p: s + F.length(p))
-    return d.select("doc_id", F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("n_patterns"), F.when(F.size("held") > 0, letters).alias("n_letters"))
+    return d.select("doc_id", F.col("held.n").alias("n_patterns"), F.when(F.col("held.n") > 0, F.col("held.letters")).alias("n_letters"))
 
 
 @query(rf"""with x as (select doc_id, source || ' ' || lang || ' ' || text as q, lower(source || '/' || lang || ' ' || 'doc' || doc_id || '.md') as p from documents),
