@@ -340,6 +340,9 @@ def neighbor_expand(spark, sf_dir):
 
 @query(f"with {INDEX} select doc_id, term, tf, dl::int as dl from post")
 def postings(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    if d.groupBy("doc_id").count().where("count > 1").isEmpty():  # each document's words are counted where it lies
+        return blockmax.postings(blockmax.blocks(ix.tokenized(corpus(spark, sf_dir), "doc_id"), "doc_id"), "doc_id")
     return doc_index(spark, sf_dir)["postings"].select("doc_id", "term", "tf", "dl")
 
 
