@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType, _parse_datat
 
 from ..functions import patterns as many
 from ..functions import text as tx
+from ..tables import written
 from . import index as ix
 
 RRF, MISSING = 60, 1000
@@ -242,41 +243,34 @@ def _times(phrase: tuple, toks: list) -> int:
     return sum(t == phrase[0] and tuple(toks[i : i + len(phrase)]) == phrase for i, t in enumerate(toks))
 
 
-def _spread(asked: set[tuple]):
-    """Rows (key, df): in how many of a batch's (chunk_id, toks) each phrase stands."""
-    single, longer = {p[0] for p in asked if len(p) == 1}, [p for p in asked if len(p) > 1]
-
-    def run(batches):
-        for batch in batches:
-            df: Counter = Counter()
-            for toks in batch.column(1):
-                toks = toks.as_py()
-                words = set(toks)
-                df.update(words & single)
-                df.update(" ".join(p) for p in longer if words.issuperset(p) and _times(p, toks))
-            yield [list(df), list(df.values())]
-
-    return run
-
-
 def _held(queries: list):
-    """Rows (query_id, chunk_id, dl, key, times, tf): of each batch of (chunk_id, toks) the phrases of queries whose phrases a chunk all holds."""
+    """Of each batch of (chunk_id, toks), in one pass, rows (query_id, chunk_id, dl, key, times, tf, n): the phrases of queries whose phrases a chunk all
+    holds; for each phrase (key, n) in how many chunks it stands; and one row (dl, n) of all words and chunks."""
+    asked = {tuple(p) for r in queries for p in r["phrases"]}
+    single, longer = {p[0] for p in asked if len(p) == 1}, [p for p in asked if len(p) > 1]
     by_word: dict[str, list] = {}
     for r in queries:
         by_word.setdefault(max((p[0] for p in r["phrases"]), key=lambda w: (len(w), w)), []).append((r["query_id"], frozenset(t for p in r["phrases"] for t in p), Counter(map(tuple, r["phrases"]))))
 
     def run(batches):
         for batch in batches:
-            found = []
+            found: list[tuple] = []
+            df: Counter = Counter()
+            total = 0
             for chunk, toks in zip(batch.column(0), batch.column(1), strict=True):
                 toks = toks.as_py()
                 words, counts = set(toks), None
+                total += len(toks)
+                df.update(words & single)
+                df.update(" ".join(p) for p in longer if words.issuperset(p) and _times(p, toks))
                 for query, needed, phrases in (x for w in words & by_word.keys() for x in by_word[w] if x[1] <= words):
                     counts = counts or Counter(toks)
                     tfs = [counts[p[0]] if len(p) == 1 else _times(p, toks) for p in phrases]
                     if all(tfs):
-                        found += [(query, chunk.as_py(), len(toks), " ".join(p), n, tf) for (p, n), tf in zip(phrases.items(), tfs, strict=True)]
-            yield [list(x) for x in zip(*found, strict=True)] or [[] for _ in range(6)]
+                        found += [(query, chunk.as_py(), len(toks), " ".join(p), n, tf, None) for (p, n), tf in zip(phrases.items(), tfs, strict=True)]
+            found += [(None, None, None, p, None, None, n) for p, n in df.items()]
+            found.append((None, None, total, None, None, None, batch.num_rows))
+            yield [list(x) for x in zip(*found, strict=True)]
 
     return run
 
@@ -293,10 +287,12 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, most: int = 4_000_000) ->
     c = chunks.select("chunk_id", tx.lexical_tokens(F.concat_ws(" ", "content", "filename", "category")).alias("toks"))
     q = queries.select("query_id", tx.phrases("query_text").alias("phrases")).where(F.size("phrases") > 0)
     if few_words(queries, "query_text", most):
-        asked = q.collect()
-        df = mapped(c, _spread({tuple(p) for r in asked for p in r["phrases"]}), "key string, df long").groupBy("key").agg(F.sum("df").alias("df"))
         types = [d.schema[n].dataType.simpleString() for n, d in (("query_id", queries), ("chunk_id", chunks))]
-        held = mapped(c, _held(asked), f"query_id {types[0]}, chunk_id {types[1]}, dl long, key string, times long, tf long").join(F.broadcast(df), "key")
+        # Written, as it is read for hits, frequencies and lengths: the texts are cut into words once.
+        one = written(mapped(c, _held(q.collect()), f"query_id {types[0]}, chunk_id {types[1]}, dl long, key string, times long, tf long, n long"), "phrases")
+        df = one.where("tf is null and key is not null").groupBy("key").agg(F.sum("n").alias("df"))
+        held = one.where("tf is not null").drop("n").join(F.broadcast(df), "key")
+        stats = one.where("key is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("dl"), F.sum("n")).cast("double").alias("avgdl"))
     else:
         each = q.select("query_id", F.explode("phrases").alias("phrase")).groupBy("query_id", F.array_join("phrase", " ").alias("key"), "phrase").agg(F.count("*").alias("times"))
         asked = each.select("key", "phrase", F.col("phrase")[0].alias("term")).distinct()
@@ -306,7 +302,8 @@ def phrase_hits(queries: DataFrame, chunks: DataFrame, most: int = 4_000_000) ->
         need = each.groupBy("query_id").agg(F.count("*").alias("need"))
         held = each.drop("phrase").join(df, "key").join(tf, "key").join(need, "query_id")
         held = held.withColumn("held", F.count("*").over(Window.partitionBy("query_id", "chunk_id"))).where("held = need")
-    held = held.join(F.broadcast(c.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))), F.lit(True))
+        stats = c.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    held = held.join(F.broadcast(stats), F.lit(True))
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("times") * idf * ix.contribution(F.col("tf"), F.col("dl"), F.col("avgdl"), 1.2, 0.75)
     return held.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))

@@ -104,3 +104,14 @@ def test_postings_are_counted_where_they_lie(spark, sf, tmp_path):
     d = spark.createDataFrame([(1, "a b a", "s", "en"), (1, "b", "s", "en"), (2, "", "s", "en")], "doc_id long, text string, source string, lang string")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in catalog.postings(spark, str(tmp_path)).collect()} == {(1, "a", 2, 3), (1, "b", 2, 3)}  # repeated keys are one document
+
+
+def test_phrases_cut_texts_once(spark, sf):
+    for name in ("fts_search", "auto_dispatch"):
+        assert "documents.parquet" not in "".join(catalog.QUERIES[name](spark, sf).inputFiles())  # hits, frequencies and lengths are read from one written pass
+    none = spark.createDataFrame([], "chunk_id string, content string, filename string, category string")
+    queries = spark.createDataFrame([(1, "a b"), (2, "a-b.c"), (3, "?")], "query_id long, query_text string")
+    assert rt.phrase_hits(queries, none).count() == 0
+    chunks = spark.createDataFrame([("x", "a b a-b.c", "f", "g"), ("y", "b", "f", "g")], none.schema)
+    for most in (4_000_000, 1):  # at once, and joined in
+        assert {(r["query_id"], r["chunk_id"]) for r in rt.phrase_hits(queries, chunks, most).collect()} == {(1, "x"), (2, "x")}
