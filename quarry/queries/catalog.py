@@ -493,7 +493,7 @@ def fts_search(spark, sf_dir):
 
 @query(f"with {FTS} select query_id, rank, doc_id, round(score, 6) as score from {top('fts', 'round(score, 9) desc, doc_id', 20)}")
 def fts_index_search(spark, sf_dir):
-    index = lx.entries(corpus(spark, sf_dir), "doc_id").persist(StorageLevel.DISK_ONLY)  # read several times; a server holds it written
+    index = lx.entries(corpus(spark, sf_dir), "doc_id")  # read once; a server holds it written
     hits = lx.phrase_hits(log(spark, sf_dir), index, "doc_id")
     return rt.ranked(hits, [F.desc(F.round("score", 9)), F.asc("doc_id")], 20).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 

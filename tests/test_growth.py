@@ -7,6 +7,7 @@ from test_blockmax import tables
 from quarry.functions import patterns as many
 from quarry.operators import blockmax
 from quarry.operators import index as ix
+from quarry.operators import lexical as lx
 from quarry.operators import retrieval as rt
 from quarry.plans.search import HybridSearch
 from quarry.queries import catalog
@@ -115,3 +116,22 @@ def test_phrases_cut_texts_once(spark, sf):
     chunks = spark.createDataFrame([("x", "a b a-b.c", "f", "g"), ("y", "b", "f", "g")], none.schema)
     for most in (4_000_000, 1):  # at once, and joined in
         assert {(r["query_id"], r["chunk_id"]) for r in rt.phrase_hits(queries, chunks, most).collect()} == {(1, "x"), (2, "x")}
+
+
+def test_index_is_read_once(spark, monkeypatch):
+    rows = [("a", "one two one two one", "f.md", "g"), ("b", "two one. x-1 X-1", "f.md", "g"), ("c", "", "", ""), ("d", None, None, None), ("e", "one two", "f.md", "h"), ("f", "two one two", "f.md", "g")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string, filename string, category string").repartition(2)
+    queries = spark.createDataFrame([(1, "one"), (2, "one,two two"), (3, "x-1 x-1"), (4, "nothing one"), (5, ""), (6, None), (7, "one,two,one")], "query_id long, query_text string")
+    scores = lambda df: {(r["query_id"], r["chunk_id"]): round(r["score"], 9) for r in df.collect()}
+    want = scores(rt.phrase_hits(queries, chunks))
+    hits = lx.phrase_hits(queries, lx.entries(chunks))
+    assert "MapInArrow" not in plan(hits)  # what is joined and counted is read from the entries of asked words, written in one pass
+    assert want and scores(hits) == want
+    monkeypatch.setattr(lx, "TOKENS", 1)  # a part for each chunk, and words joined to the index
+    monkeypatch.setattr(lx, "WORDS", 0)
+    assert scores(lx.phrase_hits(queries, lx.entries(chunks))) == want
+
+
+def test_fts_index_search(spark, sf):
+    text = plan(catalog.fts_index_search(spark, sf))
+    assert "InMemoryRelation" not in text and "MapInArrow" not in text  # the whole index is neither kept nor read again
