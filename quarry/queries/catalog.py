@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -506,7 +505,7 @@ def fts_index_edits(spark, sf_dir):
     d = corpus(spark, sf_dir)
     index = lx.inserted(lx.entries(d.where("doc_id % 3 <> 0"), "doc_id"), d.where("doc_id % 3 = 0"), "doc_id")
     index = lx.replaced(index, d.where("doc_id % 7 = 0").withColumn("content", F.concat("content", F.lit(" and some words more"))), "doc_id")
-    index = lx.deleted(index, d.where("doc_id % 5 = 0"), "doc_id").persist(StorageLevel.DISK_ONLY)
+    index = lx.deleted(index, d.where("doc_id % 5 = 0"), "doc_id")  # asked for once; the choice of entries goes below the deletions
     hits = lx.phrase_hits(log(spark, sf_dir), index, "doc_id")
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 

@@ -135,3 +135,13 @@ def test_index_is_read_once(spark, monkeypatch):
 def test_fts_index_search(spark, sf):
     text = plan(catalog.fts_index_search(spark, sf))
     assert "InMemoryRelation" not in text and "MapInArrow" not in text  # the whole index is neither kept nor read again
+
+
+def test_fts_index_edits(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(lx, "written", lambda df, name, f=lx.written: asked.append((name, plan(df))) or f(df, name))
+    monkeypatch.setattr(lx, "small", lambda df: df)  # as many keys as are not broadcast
+    assert "InMemoryRelation" not in plan(catalog.fts_index_edits(spark, sf))
+    text = dict(asked)["asked"]
+    lines = text.split("\n")
+    assert "LeftAnti" in text and all("INSET" in lines[i - 1] or " IN (" in lines[i - 1] for i, x in enumerate(lines) if "MapInArrow" in x)  # deletions meet chosen entries alone
