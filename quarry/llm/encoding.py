@@ -18,6 +18,8 @@ tables give no rows. Lines of one point of time never see each other. Further co
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -155,9 +157,8 @@ def encoded(base: DataFrame, groups: dict[str, DataFrame], rows: int = ROWS) ->
     own, many = {name: df.columns for name, df in groups.items()}, len(groups)
     at = seconds(F.col("at"), dict(base.dtypes)["at"])
     lo, hi = (base.agg(F.percentile_approx(at, [0.001, 0.999], 1000).alias("q")).first().q or [0, 0])[:2]
-    kinds = [F.struct(*_value(codes[n], F.col(own[n][0]))) for n in groups]
     sums = [F.sum("n").alias("n"), F.sum("s").alias("s")]
-    values = base.select("at", "fold", "n", "s", F.explode(F.array(*kinds)).alias("v")).select("v.*", "at", "fold", "n", "s")
+    values = functools.reduce(DataFrame.union, [base.select(*_value(codes[n], F.col(own[n][0])), "at", "fold", "n", "s") for n in groups])
     values = written(values.groupBy(*KEY, "at", "fold").agg(*sums), "values", "snappy")
     owners = None
     for name, df in groups.items():
@@ -175,18 +176,19 @@ def encoded(base: DataFrame, groups: dict[str, DataFrame], rows: int = ROWS) ->
     high = written(running(slices(above, None, (lo, hi), rows)).select(*KEY, "at", "fold", "seen", "hits"), "high", "snappy")
     spent(above)
 
-    # The time comes first among the keys of joins, as rows are sorted by their first key fastest.
+    # The time comes first among the keys of joins, as rows are sorted by their first key fastest. Column and fold are one number there.
+    both = lambda col: (col * FOLDS + F.col("fold")).cast("int")
     top = high.where("col = 0").select("at", "fold", rate(F.col("seen"), F.col("hits"), F.lit(PRIOR)).alias("prior"))
-    middle = high.where("col > 0").join(top, ["at", "fold"]).select("at", "fold", F.col("key").alias("owner"), (F.col("col") - many).cast("byte").alias("code"), rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("prior"))
-    rates = low.withColumn("code", code).join(middle, ["at", "owner", "fold", "code"]).select("at", *KEY, "fold", "seen", rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("rate"))
+    middle = high.where("col > 0").join(top, ["at", "fold"]).select("at", F.col("key").alias("owner"), both(F.col("col") - many).alias("code"), rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("prior"))
+    rates = low.select("at", "key", both(F.col("col")).alias("place"), "owner", both(code).alias("code"), "seen", "hits").join(middle, ["at", "owner", "code"]).select("at", "key", "place", "seen", rate(F.col("seen"), F.col("hits"), F.col("prior")).alias("rate"))
     rates = written(rates, "rates", "snappy")
     spent(low, high)
 
     out = base
     for name, i in codes.items():
-        mine = rates.where(code == i).select(F.col("at").alias("t_"), F.col("key").alias("k_"), F.col("col").alias("v_"), F.col("fold").alias("f_"), F.col("seen").alias(f"{name}_n"), F.col("rate").alias(f"{name}_rate"))
+        mine = rates.where(F.call_function("div", F.col("place"), F.lit(FOLDS)) % NULL == i).select(F.col("at").alias("t_"), F.col("key").alias("k_"), F.col("place").alias("p_"), F.col("seen").alias(f"{name}_n"), F.col("rate").alias(f"{name}_rate"))
         key, column = _value(i, F.col(own[name][0]))
-        out = out.join(mine, (F.col("at") == F.col("t_")) & (key == F.col("k_")) & (F.col("fold") == F.col("f_")) & (column == F.col("v_"))).drop("k_", "v_", "t_", "f_")
+        out = out.join(mine, (F.col("at") == F.col("t_")) & (key == F.col("k_")) & (both(column) == F.col("p_"))).drop("k_", "p_", "t_")
     return out
 
 

@@ -7,6 +7,9 @@ from collections import defaultdict
 
 import pytest
 
+from oracle import connection, same
+
+from quarry.llm import encoding
 from quarry.llm.encoding import op13_target_encoding, target_rates
 
 TABLES = {
@@ -91,3 +94,20 @@ def test_times_with_a_zone_and_repeated_ids(spark):
 def test_the_query_has_a_row_for_each_group_of_lines(spark):
     got = op13_target_encoding(spark, "/root/testdata/sf0.001")
     assert got.count() == got.select("sale_id", "item_id", "vendor_id").distinct().count() > 0
+
+
+def test_values_are_dealt_out_without_lists(spark, monkeypatch):
+    """Each id column is a plain projection, and no list of three structs is made for every line."""
+    plans = {}
+    monkeypatch.setattr(encoding, "written", lambda df, name, *a, f=encoding.written: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and f(df, name, *a))
+    t = shop(5, 60)
+    assert sorted(map(tuple, target_rates(*frames(spark, t), rows=8).collect()), key=repr) == brute(t)
+    assert "Generate" not in plans["values"]
+
+
+def test_the_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = connection(sf)
+    for name in ("sale_lines", "sales", "items", "vendors", "clients"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    same(op13_target_encoding(spark, sf), con, encoding.OP13_SQL)
