@@ -17,6 +17,9 @@ that a third of all documents hold is one row a task. Groups are read as sorted
 Cases: null texts are empty; texts shorter than DEPTH lose nothing; matches lie within documents, overlaps and repeats within one
 document count; rows that repeat a document are occurrences like others; null ids are kept; an empty table gives no rows; further columns are kept,
 whatever their names.
+
+A passage of over 50 words is often shorter than DEPTH, and then it stays. So digests also counts passages: repeated windows of passage_of(DEPTH)
+bytes are found first, and windows of DEPTH are looked for within their ranges only, as each of them lies in one.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ PIECE = 1 << 18
 FLUSH = 1 << 18
 #: Entries of lists that may be broadcast; beyond, joins shuffle.
 BROADCAST = 1_000_000
+#: A passage has more words than these.
+WORDS = 50
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -100,6 +105,11 @@ def gram_of(depth: int) -> int:
     return depth * 16 // 25
 
 
+def passage_of(depth: int) -> int:
+    """Bytes that a passage has at least: 250 of 400, some 50 short words."""
+    return depth * 5 // 8
+
+
 def pieces(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int):
     """Pieces of the bytes of many texts: (offset of the piece, piece). Long ones overlap by depth - 1, so each window lies in one."""
     at, last = 0, len(raw)
@@ -189,7 +199,8 @@ def _joined(key: np.ndarray, start: np.ndarray, stop: np.ndarray):
 
 
 def _first_pass(depth: int):
-    """Rows of two kinds: ranges that are known to repeat (gram is null), and runs to be grouped."""
+    """Rows of two kinds: ranges that are known to repeat (gram is null), and runs to be grouped. With starts and stops as third and fourth
+    column only these ranges of a text are read, each like a text of its own."""
 
     def run(batches):
         held, n = [], 0
@@ -213,6 +224,10 @@ def _first_pass(depth: int):
             for b in by_bytes(batch, 1, PIECE):
                 keys = b.column(0).to_numpy()
                 texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+                before = np.zeros(len(texts), dtype=np.int64)
+                if b.num_columns > 2:
+                    cut = [(i, x, y) for i, (xs, ys) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) for x, y in zip(xs, ys, strict=True)]
+                    keys, before, texts = keys[[i for i, _, _ in cut]], np.array([x for _, x, _ in cut], dtype=np.int64), [texts[i][x:y] for i, x, y in cut]
                 lengths = np.array([len(t) for t in texts], dtype=np.int64)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
                 raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -224,7 +239,7 @@ def _first_pass(depth: int):
                         continue
                     first, count, gram, whole = runs(piece, begin[at : at + len(piece) - depth + 1], depth)
                     doc = begin[at + first]
-                    held.append((keys[doc], first + at - starts[doc], count, gram, whole))
+                    held.append((keys[doc], first + at - starts[doc] + before[doc], count, gram, whole))
                     n += len(first)
                 if n > FLUSH:
                     yield from flush()
@@ -412,9 +427,14 @@ def small(df: DataFrame, entries) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST else df
 
 
-def repeated_ranges(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Of (key, text) the maximal byte ranges that repeated windows cover: key, starts, stops. Keys without any are left out."""
-    first = written(texts.select("key", "text").mapInArrow(_first_pass(depth), RUNS), "runs")
+def repeated_ranges(texts: DataFrame, depth: int = DEPTH, within: DataFrame | None = None) -> DataFrame:
+    """Of (key, text) the maximal byte ranges that repeated windows cover: key, starts, stops. Keys without any are left out.
+    within: the same of a smaller depth; then only its ranges are searched."""
+    searched = texts.select("key", "text")
+    if within is not None:
+        long = within.select("key", F.expr(f"filter(arrays_zip(starts, stops), x -> x.stops - x.starts >= {depth})").alias("at")).where("size(at) > 0").select("key", "at.starts", "at.stops")
+        searched = searched.join(small(long, F.size("starts")), "key").select("key", "text", "starts", "stops")
+    first = written(searched.mapInArrow(_first_pass(depth), RUNS), "runs")
     ranges = ["key", "start", "stop"]
     sent = first.where("gram is not null").select("key", "gram", "whole", "weight", "first", "count")
     second = written(sent.repartition("gram").sortWithinPartitions("gram", "whole").mapInArrow(_second_pass(depth), RUNS), "groups")
@@ -480,25 +500,32 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return d.mapInArrow(run, docs.schema)
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_passages long"
 
 
 def digests(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Per document what was removed; the hash is that of the bytes that are left, text is them as characters, those cut in two kept whole."""
-    d, starts, stops = with_ranges(docs.select("doc_id", "text"), depth)
+    """Per document what was removed; the hash is that of the bytes that are left, text is them as characters, those cut in two kept whole.
+    n_passages: ranges of more than WORDS words that repeated windows of passage_of(depth) bytes cover; they are counted, not removed."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    passages = repeated_ranges(keyed.select("key", "text"), passage_of(depth))
+    ranges = repeated_ranges(keyed.select("key", "text"), depth, passages)
+    found = written(passages.toDF("key", "heads", "ends").join(ranges, "key", "left"), "found")
+    spent(passages, ranges)
+    d = keyed.join(small(found, F.size("heads") + F.coalesce(F.size("starts"), F.lit(0))), "key", "left")
 
     def run(batches):
         for batch in batches:
             for b in by_bytes(batch, 1, 4 << 20):
                 rows = []
-                for doc, raw, s, e in zip(*(c.to_pylist() for c in (b.column(0), b.column(1).cast(pa.binary()), b.column(2), b.column(3))), strict=True):
+                for doc, raw, s, e, heads, ends in zip(*(c.to_pylist() for c in (b.column(0), b.column(1).cast(pa.binary()), *b.columns[2:])), strict=True):
                     raw = raw or b""
                     kept = _kept(raw, s, e)
-                    rows.append((doc, len(raw), len(raw) - len(kept), len(s or ()), hashlib.sha256(kept).hexdigest(), kept_text(raw, s, e)))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    passages = sum(len(raw[x:y].split()) > WORDS for x, y in zip(heads or (), ends or (), strict=True))
+                    rows.append((doc, len(raw), len(raw) - len(kept), len(s or ()), hashlib.sha256(kept).hexdigest(), kept_text(raw, s, e), passages))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return d.select("doc_id", "text", starts, stops).mapInArrow(run, DIGEST)
+    return d.select("doc_id", "text", "starts", "stops", "heads", "ends").mapInArrow(run, DIGEST)
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
