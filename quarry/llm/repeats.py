@@ -106,8 +106,8 @@ def gram_of(depth: int) -> int:
 
 
 def passage_of(depth: int) -> int:
-    """Bytes that a passage has at least: 250 of 400, some 50 short words."""
-    return depth * 5 // 8
+    """Bytes that a passage has at least: 200 of 400, 50 words of three letters."""
+    return depth // 2
 
 
 def pieces(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int):

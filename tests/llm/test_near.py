@@ -242,10 +242,10 @@ def test_repeats_count_passages(spark, tmp_path):
     from quarry.llm import registry
 
     r = random.Random(11)
-    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(n))
+    words = lambda n, most=7: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, most))) for _ in range(n))
     docs, planted = [], {}
     for i in range(0, 60, 2):
-        passage = words(r.randint(55, 100))
+        passage = words(r.randint(55, 100)) if i else words(51, 3)
         planted[i] = planted[i + 1] = len(passage)
         docs += [(i + j, f"{words(r.randint(20, 90))}\n{passage}\n{words(r.randint(20, 90))}") for j in range(2)]
     docs += [(i, words(r.randint(1, 300))) for i in range(60, 100)]
@@ -253,7 +253,7 @@ def test_repeats_count_passages(spark, tmp_path):
     got = sorted((tuple(x) for x in registry.QUERIES["op7_repeats"](spark, str(tmp_path)).collect()), key=repr)
     assert [x[:5] for x in got] == brute_repeats([*docs, (100, None), (101, "")], 400)
     assert {x[0]: x[-1] for x in got} == {i: int(i in planted) for i in range(102)}
-    assert all(x[2] > 0 for x in got if planted.get(x[0], 0) >= 400) and min(planted.values()) < 390
+    assert all(x[2] > 0 for x in got if planted.get(x[0], 0) >= 400) and min(planted.values()) == planted[0] == 203
     assert not any(x[2] for x in got if planted.get(x[0], 0) < 390)
 
 
