@@ -453,13 +453,16 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, within: DataFrame | No
     return out
 
 
+def row_key():
+    return F.xxhash64("doc_id", "text")
+
+
 def with_ranges(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, str, str]:
     """docs with two columns more, and their names: starts and stops of the repeated ranges, null where nothing repeats."""
     names = [private(c, docs) for c in ("key", "starts", "stops")]
-    row_key = F.xxhash64("doc_id", "text")
-    found = repeated_ranges(docs.select(row_key.alias("key"), "text"), depth)
+    found = repeated_ranges(docs.select(row_key().alias("key"), "text"), depth)
     found = small(found, F.size("starts")).toDF(*names)
-    return docs.withColumn(names[0], row_key).join(found, names[0], "left").drop(names[0]), *names[1:]
+    return docs.withColumn(names[0], row_key()).join(found, names[0], "left").drop(names[0]), *names[1:]
 
 
 def _kept(raw: bytes, starts, stops) -> bytes:
@@ -506,7 +509,7 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def digests(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Per document what was removed; the hash is that of the bytes that are left, text is them as characters, those cut in two kept whole.
     n_passages: ranges of more than WORDS words that repeated windows of passage_of(depth) bytes cover; they are counted, not removed."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
     passages = repeated_ranges(keyed.select("key", "text"), passage_of(depth))
     ranges = repeated_ranges(keyed.select("key", "text"), depth, passages)
     found = written(passages.toDF("key", "heads", "ends").join(ranges, "key", "left"), "found")
